@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import incremental
+from . import incremental, references
 
-_MODULES = (incremental,)
+_MODULES = (references, incremental)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
