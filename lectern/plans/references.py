@@ -107,7 +107,7 @@ def extract_places(spark, sf_dir):
 
 @query(
     f"""WITH {S.segments_sql()}
-SELECT k, 2 AS line, 3 + 1 + 4 AS start_char, 4 + 1 + 1 + 4 + 2 AS start_byte, 3 + 1 + 4 + 1 AS start_utf16, 4 + 1 AS col_char, 4 + 2 + 1 AS col_byte, 4 + 1 AS col_utf16
+SELECT k, 2 AS line, 3 + 1 + 4 AS start_char, (1 + 4 + 1 + 1) + (2 + 2 + 1 + 1) AS start_byte, 3 + 1 + 4 + 1 AS start_utf16, 4 + 1 AS col_char, 4 + 2 + 1 AS col_byte, 4 + 1 AS col_utf16
 FROM segs WHERE style = 0"""
 )
 def extract_utf16(spark, sf_dir):
@@ -412,7 +412,8 @@ def counts_per_file(spark, sf_dir):
 
 _SUGGEST = """
 WITH names AS (
-  SELECT id, lower(book) AS key FROM default_books UNION SELECT id, lower(abbreviation) FROM default_books UNION SELECT id, lower(osis) FROM default_books UNION SELECT id, lower(usfm) FROM default_books),
+  SELECT id, lower(book) AS key FROM default_books UNION SELECT id, lower(abbreviation) FROM default_books UNION SELECT id, lower(osis) FROM default_books UNION SELECT id, lower(usfm) FROM default_books
+  UNION SELECT id, rtrim(lower(unnest(abbreviations)), '.') FROM default_books),
 r AS (SELECT id, min(CASE WHEN key = '1' THEN 0 WHEN starts_with(key, '1') THEN 1 WHEN starts_with(replace(key, ' ', ''), '1') THEN 2 END) AS rank FROM names GROUP BY id)
 SELECT id AS book_id, book AS name, CAST(rank AS INT) AS rank FROM r JOIN default_books USING (id) WHERE rank IS NOT NULL ORDER BY rank, id LIMIT 12
 """
