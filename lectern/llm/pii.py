@@ -69,23 +69,30 @@ def mod23_letter(digits: str, letter: str) -> bool:
 # Mail addresses, plain or written out.
 _EMAIL = re.compile(r"(?<![\w.+-])[^\W_][\w.+-]{0,63}(?:@|\s?[\[(]\s?at\s?[\])]\s?)[^\W_][\w-]{0,62}(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[^\W_][\w-]{0,62}){1,6}", re.I)
 
-_LEFT = r"(?<![\w:+])(?<!\d[.,/-])(?<![-/])"
+# What may not stand before and behind a number. The look-behind comes after the first character of a
+# pattern (the dot), so that the engine can skip to characters that may begin a match.
+_LEFT = r"(?<![\w:+].)(?<!\d[.,/-].)(?<![-/].)"
 _RIGHT = r"(?![\w:@])(?![-/.,]\d)"
+# Stretches with six digits or more, or of a card's shape: where numbers are looked for at all.
+_DENSE = re.compile(r"\d(?:(?:[ ().+/-]{0,3}\d){5,}|\d[A-Za-z]\d{5})")
 # Shapes of telephone numbers (with country code; North American; trunk prefix).
 _PHONES = [
-    (re.compile(_LEFT + r"(?:\+|00)[1-9]\d{0,2}[ .-]?(?:\(0\)[ .-]?)?\(?\d{1,8}\)?(?:[ ./-]?\d{2,8}){1,5}" + _RIGHT), 0.7, (9, 15)),
-    (re.compile(_LEFT + r"(?:1[ .-])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]?\d{4}" + _RIGHT), 0.65, (10, 11)),
-    (re.compile(_LEFT + r"\(?0[1-9]\d{0,3}\)?[ ./-]\d{2,8}(?:[ .-]\d{2,6}){0,4}" + _RIGHT), 0.6, (9, 12)),
-    (re.compile(_LEFT + r"0[1-9]\d{8,10}" + _RIGHT), 0.3, (10, 12)),
+    (re.compile(r"(?:\+|0(?=0))" + _LEFT + r"0?[1-9]\d{0,2}[ .-]?(?:\(0\)[ .-]?)?\(?\d{1,8}\)?(?:[ ./-]?\d{2,8}){1,5}" + _RIGHT, re.S), 0.7, (9, 15)),
+    (re.compile(r"(?:1(?=[ .-])|\((?=[2-9])|[2-9](?=\d{2}[ .-]))" + _LEFT + r"(?:(?<=1)[ .-](?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])|(?<=\()[2-9]\d{2}\) ?|(?<=[2-9])\d{2}[ .-])[2-9]\d{2}[ .-]?\d{4}" + _RIGHT, re.S), 0.65, (10, 11)),
+    (re.compile(r"(?:\((?=0)|0(?=[1-9]))" + _LEFT + r"(?:(?<=\()0)?[1-9]\d{0,3}\)?[ ./-]\d{2,8}(?:[ .-]\d{2,6}){0,4}" + _RIGHT, re.S), 0.6, (9, 12)),
+    (re.compile(r"0" + _LEFT + r"[1-9]\d{8,10}" + _RIGHT, re.S), 0.3, (10, 12)),
 ]
 # Shapes of identity numbers.
-_SSN = re.compile(_LEFT + r"\d{3}([- ])\d{2}\1\d{4}" + _RIGHT)
-_NINO = re.compile(_LEFT + r"[A-Z]{2}([ -]?)\d{2}\1\d{2}\1\d{2}\1[A-D]" + _RIGHT, re.I)
-_NIR = re.compile(_LEFT + r"[12]([ .-]?)\d{2}\1(?:\d{2})\1(?:\d{2}|2[AB])\1\d{3}\1\d{3}\1?\d{2}" + _RIGHT)
-_DNI = re.compile(_LEFT + r"(\d{8})([- ]?)([A-HJ-NP-TV-Z])" + _RIGHT, re.I)
-_CARD = re.compile(_LEFT + r"[A-Z]\d{2}[A-Z]\d{5}" + _RIGHT, re.I)
-_LONG = re.compile(_LEFT + r"\d(?:[ -]?\d){12,18}" + _RIGHT)
-_IBAN = re.compile(_LEFT + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _RIGHT)
+_SSN = re.compile(r"\d" + _LEFT + r"\d{2}([- ])\d{2}\1\d{4}" + _RIGHT, re.S)
+_NINO = re.compile(r"[A-Za-z]" + _LEFT + r"[A-Za-z]([ -]?)\d{2}\1\d{2}\1\d{2}\1[A-Da-d]" + _RIGHT, re.S)
+_NIR = re.compile(r"[12]" + _LEFT + r"([ .-]?)\d{2}\1(?:\d{2})\1(?:\d{2}|2[AB])\1\d{3}\1\d{3}\1?\d{2}" + _RIGHT, re.S)
+_DNI = re.compile(r"(\d" + _LEFT + r"\d{7})([- ]?)([A-HJ-NP-TV-Za-hj-np-tv-z])" + _RIGHT, re.S)
+_CARD = re.compile(r"[A-Za-z]" + _LEFT + r"\d{2}[A-Za-z]\d{5}" + _RIGHT, re.S)
+_LONG = re.compile(r"\d" + _LEFT + r"(?:[ -]?\d){12,18}" + _RIGHT, re.S)
+_IBAN = re.compile(r"[A-Z]" + _LEFT + r"[A-Z]\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _RIGHT, re.S)
+
+# What a mail address has in it.
+_AT = re.compile(r"@|[\[(]\s?at\s?[\])]", re.I)
 
 _CAP = r"[A-ZÀ-ÖØ-ÞŁŚŠŽÅΑ-Ω]"
 _WORD = rf"{_CAP}[\w'’-]*"
@@ -94,10 +101,10 @@ _STREET_EN = r"(?:Street|St\.|Road|Rd\.|Lane|Ln\.|Avenue|Ave\.|Drive|Dr\.|Court|
 _STREET_FR = r"(?:rue|avenue|boulevard|impasse|allée|place|chemin|quai|cours|route|square|passage|ruelle|sentier)"
 _STREET_IB = r"(?:Calle|C/|Avenida|Av\.|Plaza|Paseo|Camino|Ronda|Travesía|Rua|R\.|Travessa|Praça|Largo|Beco|Estrada|Alameda|Vía|Via)"
 _ADDRESSES = [
-    (re.compile(rf"(?<![\w.,:/-])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d{{1,4}}[a-z]?, )?\d{{1,5}}(?:-\d{{1,5}})?[a-z]? (?:[NSEW]\. )?(?:{_WORD} ){{1,3}}{_STREET_EN}(?!\w)(?:, (?:Apt|Flat|Unit|Suite|Apartment)\.? ?\d{{1,4}}[a-z]?)?"), 0.75),
-    (re.compile(rf"(?<![\w.,:/-])(?:(?:FLAT|APT\.?|UNIT) \d{{1,4}}, )?\d{{1,5}}(?:-\d{{1,5}})? (?:[NSEW]\. )?(?:{_CAP}{{2,}} ){{1,3}}{_STREET_EN.upper()}(?!\w)(?:, (?:APT|FLAT|UNIT)\.? ?\d{{1,4}})?"), 0.75),
-    (re.compile(rf"(?<![\w.,:/-])(?:(?:flat|apt\.?|unit) \d{{1,4}}, )?\d{{1,5}}(?:-\d{{1,5}})? (?:[nsew]\. )?(?:[^\W\d_]{{2,}} ){{1,2}}{_STREET_EN.lower()}(?!\w)(?:, (?:apt|flat|unit)\.? ?\d{{1,4}})?"), 0.35),
-    (re.compile(rf"(?<![\w.,:/-])\d{{1,4}}(?i: ?(?:bis|ter|quater)(?!\w)| ?[a-d](?=[ ,]))?,? (?i:{_STREET_FR}) (?i:(?:de la|de l['’]|des|du|de|d['’]|aux?|la|le|les) ?)?(?i:l['’])?{_WORD}(?:[ -](?i:(?:de la|des|du|de|d['’]|et)[ -]?)?{_WORD})*"), 0.7),
+    (re.compile(rf"\d(?<![\w.,:/-].)\d{{0,4}}(?:-\d{{1,5}})?[a-z]? (?:[NSEW]\. )?(?:{_WORD} ){{1,3}}{_STREET_EN}(?!\w)(?:, (?:Apt|Flat|Unit|Suite|Apartment)\.? ?\d{{1,4}}[a-z]?)?"), 0.75),
+    (re.compile(rf"\d(?<![\w.,:/-].)\d{{0,4}}(?:-\d{{1,5}})? (?:[NSEW]\. )?(?:{_CAP}{{2,}} ){{1,3}}{_STREET_EN.upper()}(?!\w)(?:, (?:APT|FLAT|UNIT)\.? ?\d{{1,4}})?"), 0.75),
+    (re.compile(rf"\d(?<![\w.,:/-].)\d{{0,4}}(?:-\d{{1,5}})? (?:[nsew]\. )?(?:[^\W\d_]{{2,}} ){{1,2}}{_STREET_EN.lower()}(?!\w)(?:, (?:apt|flat|unit)\.? ?\d{{1,4}})?"), 0.35),
+    (re.compile(rf"\d(?<![\w.,:/-].)\d{{0,3}}(?i: ?(?:bis|ter|quater)(?!\w)| ?[a-d](?=[ ,]))?,? (?i:{_STREET_FR}) (?i:(?:de la|de l['’]|des|du|de|d['’]|aux?|la|le|les) ?)?(?i:l['’])?{_WORD}(?:[ -](?i:(?:de la|des|du|de|d['’]|et)[ -]?)?{_WORD})*"), 0.7),
     (re.compile(rf"(?<!\w)(?:{_CAP}[\w-]*(?i:weg|straße|strasse|str\.|gasse|platz|allee)|(?:{_WORD} )?(?:Weg|Straße|Gasse|Platz|Allee|Ring)) \d{{1,4}}(?: ?[a-z](?!\w))?(?![:,.]\d)"), 0.7),
     (re.compile(rf"(?<!\w){_CAP}[\w-]*(?i:ring|damm|ufer|steig|pfad|hof|markt) \d{{1,4}}(?: ?[a-z](?!\w))?(?![:,.]\d)"), 0.4),
     (re.compile(rf"(?<!\w)(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Hinter der|Hinter dem|Unter den|Vor dem) (?:{_WORD} ){{1,3}}\d{{1,4}}(?: ?[a-z](?!\w))?(?![\d:,.]\d)"), 0.4),
@@ -105,6 +112,16 @@ _ADDRESSES = [
     (re.compile(rf"(?<!\w)(?:Οδός|οδός|Λεωφόρος|λεωφόρος|Πλατεία) (?:{_WORD} ){{1,3}}\d{{1,4}}(?:[Α-Ωα-ω](?!\w))?"), 0.7),
 ]
 
+# A flat before a house number.
+_FLAT = re.compile(r"(?<!\w)(?:Flat|Apt\.?|Apartment|Unit|Suite) \d{1,4}[a-z]?, $", re.I)
+# What a text must hold, in lower case, for a pattern of `_ADDRESSES` to be worth a try; None: a number, as most texts do.
+_ADDRESS_SIGNS = [
+    None, None, None, None, ("weg ", "straße ", "strasse ", "str. ", "gasse ", "platz ", "allee ", "ring "), ("ring ", "damm ", "ufer ", "steig ", "pfad ", "hof ", "markt "),
+    ("am ", "an de", "auf de", "im ", "in der ", "zum ", "zur ", "hinter de", "unter den ", "vor dem "),
+    ("calle ", "c/ ", "avenida ", "av. ", "plaza ", "paseo ", "camino ", "ronda ", "travesía ", "rua ", "r. ", "travessa ", "praça ", "largo ", "beco ", "estrada ", "alameda ", "vía ", "via "),
+    ("οδός ", "λεωφόρος ", "πλατεία "),
+]
+
 # Particles between given and family name.
 _PARTICLE = r"(?:van der|van den|van de|van|von der|von dem|von|vom|zu|zum|de la|de los|de las|de|del|della|di|da|do|dos|das|du|le|la|af|av|ter|ten)"
 _G = rf"(?:{_CAP}[^\W\d_]+(?:[-'’]{_CAP}[^\W\d_]+)*|{_CAP}\.)"
@@ -117,21 +134,29 @@ _ANY_NAME = "(?P<name>" + "|".join(_NAME_SHAPES) + ")"
 _PROPER_NAME = "(?P<name>" + "|".join(_NAME_SHAPES[:3]) + ")"
 
 # What stands before a private person's name. Titles are no part of it.
-_TITLE = r"(?:(?:Dr|Prof|Rev|Mr|Mrs|Ms|Miss|Mme|Mlle|M|Sr|Sra|Srta|Dra|Fr|Hr|Pfr)\.?|Sister|Brother|Father|Pastor|Pastora|Deacon|Pfarrerin|Pfarrer|Frau|Herrn?|Schwester|Bruder|Madame|Monsieur|Sœur|Frère|Père|Doña|Don|Hermana|Hermano|Padre|Irmã|Irmão|Dona|κα|κ\.|κυρία|κύριος|π\.)"
-_LEADS = [
-    # cue, behind, score: labels and fields take any spelling; phrases need their other half or a proper shape.
-    (rf"(?:^|[\s|;(])(?:Name|Speaker|Contact|Preacher|Host|Organi[sz]er|Author|Reader|Guest|Nom|Nombre|Nome|Orador(?:a)?|Sprecher(?:in)?|Redner(?:in)?|Orateur|Ponente|Όνομα|Ομιλητής|Μίλησε|Habla|Habló|Fala|Falou|Ansprechpartner(?:in)?)\s?:\s*(?:{_TITLE} )?", r"(?=\s*(?:$|[.;|,\n\"]|\s))", 0.9),
-    (r"\"(?:who|name|speaker|contact|person|author)\"\s?:\s?\"", r"(?=\")", 0.95),
-    (rf"(?:Thanks to|Dank an|Merci à|Gracias a|Obrigad[oa] a|Obrigad[oa] à|Thank you,?|Ευχαριστούμε (?:την|τον|τη)?) ?(?:{_TITLE} )?", r"(?= (?:for|für|pour|por|pel[oa]s?|για)\b)", 0.95),
-    (rf"(?:given by|Es sprach|Exposé de|Vortrag von|Charla de|Palestra de|Ομιλία (?:της|του)|We remember|Pray for|Wir gedenken|Habló|Falou) (?:{_TITLE} )?", r"(?= (?:in|im|ce|en|em|no|na|στο|στη|this|on|at|am|esta|hoje|hoy|today)\b|\.)", 0.9),
-    (rf"(?<!\w){_TITLE} ", r"(?= (?:kept|disagreed|agreed|said|spoke|led|wrote|asked|noted|replied|prayed|read|opened|closed|im|in|ce|dijo|disse|sagte|a dit)\b)", 0.85),
+_TITLES = (
+    "Dr Prof Rev Mr Mrs Ms Miss Mme Mlle M Sr Sra Srta Dra Fr Hr Pfr".split(),
+    "Sister Brother Father Pastor Pastora Deacon Pfarrerin Pfarrer Frau Herrn Herr Schwester Bruder Madame Monsieur Sœur Frère Père Doña Don Hermana Hermano Padre Irmã Irmão Dona κα κυρία κύριος".split(),
+)
+_TITLE = "(?:" + "|".join([rf"{t}\.?" for t in sorted(_TITLES[0], key=len, reverse=True)] + sorted(_TITLES[1], key=len, reverse=True) + [r"κ\.", r"π\."]) + ")"
+_LABEL = re.compile(
+    r"(?:^|[\s|;(])(?:Name|Speaker|Contact|Preacher|Host|Organi[sz]er|Author|Reader|Guest|Nom|Nombre|Nome|Orador(?:a)?|Sprecher(?:in)?|Redner(?:in)?|Orateur|Ponente|Όνομα|Ομιλητής|Μίλησε|Habla|Habló|Fala|Falou|Ansprechpartner(?:in)?)\s?$"
+)
+_FIELD = re.compile(r"\"(?:who|name|speaker|contact|person|author)\"\s?$")
+_COLON = re.compile(r":(?=\s{0,3}(?:\"|[^\W\d_]))")
+_LABELLED = re.compile(rf":\s*(?:{_TITLE} )?{_ANY_NAME}(?=\s*(?:$|[.;|,\n\"]|\s))", re.M)
+_QUOTED = re.compile(rf":\s?\"{_ANY_NAME}(?=\")")
+_PHRASES = [
+    (re.compile(rf"(?:Thanks to|Dank an|Merci à|Gracias a|Obrigad[oa] a|Obrigad[oa] à|Thank you,?|Ευχαριστούμε (?:την|τον|τη)?) ?(?:{_TITLE} )?{_ANY_NAME}(?= (?:for|für|pour|por|pel[oa]s?|για)\b)"), 0.95),
+    (re.compile(rf"(?:given by|Es sprach|Exposé de|Vortrag von|Charla de|Palestra de|Ομιλία (?:της|του)|We remember|Pray for|Wir gedenken|Habló|Falou) (?:{_TITLE} )?{_ANY_NAME}(?= (?:in|im|ce|en|em|no|na|στο|στη|this|on|at|am|esta|hoje|hoy|today)\b|\.)"), 0.9),
 ]
-_LEAD_PATTERNS = [(re.compile(lead + _ANY_NAME + behind, re.M), score) for lead, behind, score in _LEADS]
-_TITLED = re.compile(rf"(?<!\w){_TITLE} {_PROPER_NAME}")
-# A record: a line (or a sentence's rest) of fields; the first is the name.
-_RECORD = re.compile(rf"(?:^|(?<=[.!?:>\]\"”»] )|(?<=[.!?] )){_ANY_NAME}(?=\s?[;|]\s?\S)", re.M)
-# A signature block: the name on a line of its own, before a line that is another value.
-_BLOCK = re.compile(rf"(?:^|(?<=[.!?:>\]\"”»] ))(?:[-*>#]\s|\[[ x]\]\s)?[ \t]*{_ANY_NAME}[ \t]*$", re.M)
+# A title, then any spelling of a name before one of these verbs, or a proper name before anything.
+_TITLED = re.compile(rf"{_TITLE} (?=[^\W\d_])")
+_AFTER_TITLE = re.compile(rf"(?:{_ANY_NAME}(?= (?:kept|disagreed|agreed|said|spoke|led|wrote|asked|noted|replied|prayed|read|opened|closed|im|in|ce|dijo|disse|sagte|a dit)\b))")
+_PROPER_AFTER_TITLE = re.compile(_PROPER_NAME)
+# A record: fields of a line, the name first; and a signature block: the name on the line before another value.
+_LEAD_FIELD = r"(?:[^\W\d_][\w -]{0,24}:\s?)?"
+_BEFORE_VALUE = re.compile(rf"(?:(?<![^\n])|(?<=[.!?:>\]\"”»] ))(?:[-*>#]\s|\[[ x]\]\s)?[ \t]*{_ANY_NAME}(?:\s?[;|]\s?|[ \t]*\n\s*){_LEAD_FIELD}[\"<(]?$")
 
 # Cue words that raise or lower a proposal of a kind.
 _CUES = {
@@ -180,52 +205,80 @@ def _weigh(text: str, start: int, end: int, kind: str, score: float) -> float:
     return score
 
 
+def _regions(text: str) -> list[tuple[int, int]]:
+    """Where digits are dense, with room around, joined where they meet."""
+    out: list[tuple[int, int]] = []
+    for m in _DENSE.finditer(text):
+        lo, hi = max(0, m.start() - 16), min(len(text), m.end() + 40)
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _numbers(text: str) -> Iterator[Span]:
+    for lo, hi in _regions(text):
+        for pattern, base, (least, most) in _PHONES:
+            for m in pattern.finditer(text, lo, hi):
+                value = _trim_phone(m[0])
+                if least <= len(_digits(value)) <= most:
+                    end = m.start() + len(value)
+                    yield Span(m.start(), end, "phone", _weigh(text, m.start(), end, "phone", base))
+        for pattern, base in ((_SSN, 0.6), (_NINO, 0.65), (_CARD, 0.6)):
+            for m in pattern.finditer(text, lo, hi):
+                yield Span(m.start(), m.end(), "id_number", _weigh(text, m.start(), m.end(), "id_number", base) + 0.05)
+        for m in _NIR.finditer(text, lo, hi):
+            # Spaced as such a number it counts; a valid key confirms one without spaces or context.
+            base = (0.7 if m[1] else 0.3) + (0.4 if mod97_key(_digits(m[0])) else 0.0)
+            yield Span(m.start(), m.end(), "id_number", _weigh(text, m.start(), m.end(), "id_number", base))
+        for m in _DNI.finditer(text, lo, hi):
+            base = 0.8 if mod23_letter(m[1], m[3]) else 0.3
+            yield Span(m.start(), m.end(), "id_number", _weigh(text, m.start(), m.end(), "id_number", base))
+        for m in _LONG.finditer(text, lo, hi):
+            if luhn(_digits(m[0])):
+                yield Span(m.start(), m.end(), "id_number", _weigh(text, m.start(), m.end(), "id_number", 0.55))
+        for m in _IBAN.finditer(text, lo, hi):
+            yield Span(m.start(), m.end(), "id_number", 0.9 if mod97_iban(m[0]) else 0.0)
+
+
 def _values(text: str) -> Iterator[Span]:
     """Proposals of every kind but names, weighed."""
-    for m in _EMAIL.finditer(text) if "@" in text or "at" in text else ():
-        yield Span(m.start(), m.end(), "email", 1.0)
-    for pattern, base, (least, most) in _PHONES:
-        for m in pattern.finditer(text):
-            value = _trim_phone(m[0])
-            if least <= len(_digits(value)) <= most:
-                end = m.start() + len(value)
-                yield Span(m.start(), end, "phone", _weigh(text, m.start(), end, "phone", base))
-    for pattern, base in ((_SSN, 0.6), (_NINO, 0.65), (_CARD, 0.6)):
-        for m in pattern.finditer(text):
-            yield Span(m.start(), m.end(), "id_number", _weigh(text, m.start(), m.end(), "id_number", base) + 0.05)
-    for m in _NIR.finditer(text):
-        # Spaced as such a number it counts; a valid key confirms one without spaces or context.
-        base = (0.7 if m[1] else 0.3) + (0.4 if mod97_key(_digits(m[0])) else 0.0)
-        yield Span(m.start(), m.end(), "id_number", _weigh(text, m.start(), m.end(), "id_number", base))
-    for m in _DNI.finditer(text):
-        base = 0.8 if mod23_letter(m[1], m[3]) else 0.3
-        yield Span(m.start(), m.end(), "id_number", _weigh(text, m.start(), m.end(), "id_number", base))
-    for m in _LONG.finditer(text):
-        base = 0.55 if luhn(_digits(m[0])) else 0.0
-        yield Span(m.start(), m.end(), "id_number", _weigh(text, m.start(), m.end(), "id_number", base) if base else 0.0)
-    for m in _IBAN.finditer(text):
-        yield Span(m.start(), m.end(), "id_number", 0.9 if mod97_iban(m[0]) else 0.0)
-    for pattern, base in _ADDRESSES:
+    if _AT.search(text):
+        for m in _EMAIL.finditer(text):
+            yield Span(m.start(), m.end(), "email", 1.0)
+    yield from _numbers(text)
+    low = text.lower()
+    for k, ((pattern, base), signs) in enumerate(zip(_ADDRESSES, _ADDRESS_SIGNS, strict=True)):
+        if signs is not None and not any(x in low for x in signs):
+            continue
         for m in pattern.finditer(text):
-            yield Span(m.start(), m.end(), "address", _weigh(text, m.start(), m.end(), "address", base))
+            start = m.start()
+            if k < 3 and (flat := _FLAT.search(text, max(0, start - 20), start)):
+                start = flat.start()
+            yield Span(start, m.end(), "address", _weigh(text, start, m.end(), "address", base))
 
 
 def _names(text: str, values: list[Span]) -> Iterator[Span]:
-    for pattern, score in _LEAD_PATTERNS:
+    for m in _COLON.finditer(text):
+        before = text[max(0, m.start() - 24) : m.start()]
+        pattern, score = (_LABELLED, 0.9) if _LABEL.search(before) else (_QUOTED, 0.95) if _FIELD.search(before) else (None, 0.0)
+        if pattern is not None and (n := pattern.match(text, m.start())):
+            yield Span(n.start("name"), n.end("name"), "name", score)
+    for pattern, score in _PHRASES:
         for m in pattern.finditer(text):
             yield Span(m.start("name"), m.end("name"), "name", score)
     for m in _TITLED.finditer(text):
-        yield Span(m.start("name"), m.end("name"), "name", 0.7)
-    starts = {s.start for s in values}
-    for m in _RECORD.finditer(text):
-        at = m.end("name")
-        follows = re.match(r"\s?[;|]\s?(?:[^\W\d_][\w -]{0,24}:\s?)?", text[at:at + 40])
-        near = follows is not None and any(at <= s <= at + follows.end() + 1 for s in starts)
-        yield Span(m.start("name"), m.end("name"), "name", 0.9 if near else 0.3)
-    for m in _BLOCK.finditer(text):
-        nxt = re.match(r"\s*\n\s*", text[m.end() : m.end() + 8])
-        near = nxt is not None and any(m.end() + nxt.end() - 1 <= s <= m.end() + nxt.end() + 1 for s in starts)
-        yield Span(m.start("name"), m.end("name"), "name", 0.85 if near else 0.2)
+        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
+            continue
+        if n := _AFTER_TITLE.match(text, m.end()):
+            yield Span(n.start("name"), n.end("name"), "name", 0.85)
+        if n := _PROPER_AFTER_TITLE.match(text, m.end()):
+            yield Span(n.start("name"), n.end("name"), "name", 0.7)
+    for v in values:
+        lo = max(0, v.start - 110)
+        if n := _BEFORE_VALUE.search(text[lo : v.start]):
+            yield Span(lo + n.start("name"), lo + n.end("name"), "name", 0.9)
 
 
 def find_spans(text: str | None) -> list[Span]:
