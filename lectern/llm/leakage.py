@@ -39,7 +39,7 @@ STOCK_ITEMS = 3
 BLOCK_WORDS = 2_000_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
-_HYPHEN = re.compile(r"(?<=\w)[-‐­][ \t]*\r?\n[ \t>]*(?=\w)")
+_HYPHEN = re.compile(r"(?<=\w)[-\u2010\u00ad][ \t]*\r?\n[ \t>]*(?=\w)")
 _WORD = re.compile(r"\w+(?:['’]\w+)*")
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+")
 
@@ -48,7 +48,7 @@ def words_of(text: str | None) -> list[str]:
     """The words that are compared. Pure numbers are numbering and are left out, on both sides."""
     if not text:
         return []
-    s = _HYPHEN.sub("", _TAG.sub("", text)).replace("­", "").replace("​", "")
+    s = _HYPHEN.sub("", _TAG.sub("", text)).replace("\u00ad", "").replace("\u200b", "")
     if not s.isascii():
         s = unicodedata.normalize("NFKC", s)
     return [w for x in _WORD.findall(s.casefold().replace("_", " ")) if not (w := x.replace("'", "").replace("’", "")).isdigit()]
