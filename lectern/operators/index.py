@@ -6,8 +6,10 @@ entry may be another device's, if that device searched the same version.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.places import fnv1a64
 
@@ -19,10 +21,10 @@ def pack_number(h: Column) -> Column:
     return F.pmod(h, F.lit(PACKS)).cast("int")
 
 
-@F.udf("bigint")
-def text_hash(text: str | None) -> int | None:
+@F.pandas_udf(T.LongType())
+def text_hash(texts: pd.Series) -> pd.Series:
     """FNV-1a of a text's UTF-8 bytes, where files must agree with other programs; else use `xxhash64`."""
-    return None if text is None else fnv1a64(text.encode("utf-8"))
+    return texts.map(lambda t: None if t is None else fnv1a64(t.encode("utf-8"))).astype("Int64")
 
 
 def check(listing: DataFrame, entries: DataFrame, confirmations: DataFrame) -> DataFrame:

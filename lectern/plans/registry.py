@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import incremental, references
+from . import incremental, index, references, sources
 
-_MODULES = (references, incremental)
+_MODULES = (references, sources, index, incremental)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
