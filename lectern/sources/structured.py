@@ -29,7 +29,8 @@ def json_pieces(text: str) -> Iterable[Piece]:
 
 def xml_pieces(text: str) -> Iterable[Piece]:
     """All text nodes joined by line breaks; a hit is placed in the deepest element that holds it."""
-    root = ElementTree.fromstring(text)
+    # Comments and instructions part text nodes, though their own text is not searched.
+    root = ElementTree.fromstring(text, ElementTree.XMLParser(target=ElementTree.TreeBuilder(insert_comments=True, insert_pis=True)))
     nodes: list[tuple[int, tuple]] = []  # where each text node starts, and its chain of elements
     out: list[str] = []
     size = 0

@@ -94,4 +94,4 @@ def place_in_cues(refs: DataFrame, cue_df: DataFrame, keys: list[str], start: st
 
     first = at(refs, F.col(start), "f", {"cue_id": "cue_id", "start_ms": "cue_start_ms", "end_ms": "_first_end"})
     last = at(first, F.col(end) - 1, "l", {"end_ms": "_last_end"})
-    return last.withColumn("cue_end_ms", F.when(F.col("cue_id").isNotNull(), F.coalesce("_last_end", "_first_end"))).withColumn("label", stamp(F.col("cue_start_ms"))).drop("_first_end", "_last_end")
+    return last.withColumn("cue_end_ms", F.when(F.col("cue_id").isNotNull(), F.coalesce("_last_end", "_first_end"))).withColumn("label", F.when(F.col("cue_start_ms").isNotNull(), stamp(F.col("cue_start_ms")))).drop("_first_end", "_last_end")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,12 +54,17 @@ def upsert_index(docs: DataFrame, canon: Canon, index_path: str, checkpoint: str
         spark = batch.sparkSession
         pack = F.pmod(F.xxhash64(*keys), F.lit(packs)).cast("int")
         batch = batch.dropDuplicates(keys).withColumn(partition, pack)
-        new = extract_refs(batch, canon, keys=[*keys, partition], located=False)
         touched = [r[0] for r in batch.select(partition).distinct().collect()]  # at most `packs` numbers
+        if not touched:
+            return
+        found = extract_refs(batch, canon, keys=[*keys, partition], located=False)
+        # A document without references keeps a row, which says that it was searched.
+        bare = batch.select(*keys, partition).join(found.select(*keys), keys, "left_anti")
+        new = found.unionByName(bare.withColumn("ref_no", F.lit(0)), allowMissingColumns=True)
         try:
             old = spark.read.parquet(index_path).where(F.col(partition).isin(touched)).join(batch.select(*keys), keys, "left_anti")
             merged = old.select(*new.columns).unionByName(new)
-        except Exception:  # noqa: BLE001 - the first batch has no index to read
+        except AnalysisException:  # the first batch has no index to read
             merged = new
         staged = f"{index_path}_stage/{number}"
         merged.write.mode("overwrite").partitionBy(partition).parquet(staged)
