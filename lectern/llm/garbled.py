@@ -33,6 +33,7 @@ BUCKETS = 1 << 17
 #: Nested layers that are undone at most. Each layer doubles the bytes of a character.
 MAX_LAYERS = 4
 #: Wrong readings of UTF-8.
+READ_LATIN = ("cp1252", "latin-1", "cp1250", "cp1254", "iso8859-15")
 READ_AS = ("cp1252", "latin-1", "cp1253", "cp1251", "cp437", "cp850", "mac_roman", "cp1250", "cp1254", "iso8859-15", "cp866", "koi8-r")
 #: Intended single-byte encodings and what they were read as.
 SINGLE = ("cp1252", "mac_roman", "cp437", "cp850", "cp1253", "cp1251", "cp1250")
@@ -41,6 +42,12 @@ READ_SINGLE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1253", "cp
 GAIN_EACH, GAIN_LEAST = 1.6, 5.0
 #: What a repair of a part of a line must gain besides, and the cost of a character that makes a line worth trying.
 SPLIT_COST, ODD_CHARACTER = 2.0, 14.0
+#: Cost that a repaired character may have at most, on average: the result must be common, not only less odd.
+SETTLED = 17.0
+#: The same for a line in which no character is odd in itself, and what each of its changes must gain.
+COMMON, PLAIN_GAIN_EACH = 14.0, 4.0
+#: What a rarer encoding must gain over one that is tried before it.
+TIE = 3.0
 
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
@@ -72,6 +79,43 @@ _SINGLE_PAIRS = [(read, meant) for read in READ_SINGLE for meant in SINGLE if re
 LOOK_ALIKES = frozenset("АВЕЅІЈКМНОРСТХЗаеѕіјорсухԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχγηωհոսօցզԼ")
 
 
+def _script(c: str) -> str:
+    return unicodedata.name(c, "?").partition(" ")[0]
+
+
+def is_anomaly(text: str, i: int) -> bool:
+    """Whether the character stands where correct text of any language hardly has it.
+
+    Controls and replacement characters anywhere; lines, blocks and mathematical signs beside a letter or
+    digit; fractions and signs within a word; a capital behind a small letter, or another script's letter,
+    within a word; a letter between digits or right behind a closing mark.
+    """
+    c = text[i]
+    if c == "\ufffd" or _C1.match(c):
+        return True
+    before, behind = text[i - 1 : i] or " ", text[i + 1 : i + 2] or " "
+    kind = unicodedata.category(c)
+    if kind[0] == "L" and c not in "ªºµ":
+        if before.isdigit() and (behind.isdigit() or behind == " ") or before in "?!":
+            return True
+        if before.isalpha() and before not in "ªºµ":
+            return (c.isupper() and (before.islower() or behind.islower())) or (_script(before) != _script(c) and c not in LOOK_ALIKES and before not in LOOK_ALIKES)
+        if c.isupper() and behind.isupper() and text[i + 2 : i + 3].islower():
+            return True
+        return behind.isalpha() and behind not in "ªºµ" and _script(behind) != _script(c) and c not in LOOK_ALIKES and behind not in LOOK_ALIKES
+    if c in "¤¦¬¨¯¸´":
+        return True
+    if kind in ("So", "Sm") and c not in "°±×÷":
+        return before.isalnum() or behind.isalnum()
+    if c in "¼½¾":
+        return before.isalpha() or behind.isalpha()
+    if kind[0] in "SN" or c in "ªºµ÷":
+        return before.isalpha() and behind.isalpha() or (kind == "Sc" and before.isalpha())
+    if kind in ("Po", "Pi", "Pf", "Ps", "Pd") and c not in "’'·-–—\u2010\u2011":
+        return before.isalpha() and behind.isalpha()
+    return False
+
+
 def _is_evidence(c: str) -> bool:
     """Whether a character speaks for a wrong encoding: no space, no invisible one, no mark, no look-alike."""
     return _C1.match(c) is not None or (c.isprintable() and not c.isspace() and c not in LOOK_ALIKES and not unicodedata.combining(c) and not "\uff00" <= c <= "\uffef" and not "\ufb00" <= c <= "\ufb06")
@@ -173,21 +217,44 @@ class Repairer:
         return float(self.surprise[_buckets(s)].sum()) + 6.0 * len(_C1.findall(s)) + 6.0 * s.count("�")
 
     def _runs(self, text: str) -> str:
-        """One layer of UTF-8 read as a legacy encoding undone, run by run."""
+        """One layer of UTF-8 read as a legacy encoding undone, run by run.
 
-        def fix(m: re.Match) -> str:
+        Runs that correct text hardly has come first; they establish the encodings under which runs that
+        could be words of another script are tried at all.
+        """
+        established: set[str] = set()
+
+        def fix(m: re.Match, strict: bool) -> str:
             run = m[0]
-            before, after = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
-            tries = {run[:a] + fixed + run[b:] for codec in READ_AS for a, b, fixed in _decoded_parts(run, codec)}
+            odd = any(is_anomaly(text, i) for i in range(m.start(), m.end()))
+            words = not odd and all(c.isalpha() and c not in "ªºµ" for c in run)
+            latin = all(c <= "\u024f" for c in run)
+            if strict and words and not latin:
+                return run
+            codecs = READ_AS if not words else (*(READ_LATIN if latin else ()), *sorted(established))
+            tries: dict[str, str] = {}
+            for codec in codecs:
+                for lo, hi, fixed in _decoded_parts(run, codec):
+                    if not odd and any(unicodedata.category(c) in ("Mn", "Cn", "Co", "Cc", "Sk", "Lm") for c in fixed):
+                        continue
+                    tries.setdefault(run[:lo] + fixed + run[hi:], codec)
             if not tries:
                 return run
+            before, after = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
             best, least = run, self.cost(before + run + after) - 2.0
-            for candidate in sorted(tries):
-                if (c := self.cost(before + candidate + after)) < least:
+            for candidate in tries:  # in order of the encodings; a rarer one must be clearly better
+                marks = sum(unicodedata.category(x) == "Mn" for x in candidate)
+                if (c := self.cost(before + candidate + after) + 4 * TIE * marks) < least - (TIE if best != run else 0.0):
                     best, least = candidate, c
+            if best != run:
+                established.add(tries[best])
             return best
 
-        return _HIGH.sub(fix, text)
+        out = _HIGH.sub(lambda m: fix(m, True), text)
+        if established and out != text:
+            text = out
+            out = _HIGH.sub(lambda m: fix(m, False), text)
+        return out
 
     def _pair(self, a: str, b: str) -> float:
         """Surprise of one pair, none within ASCII; a character's own charge is added where it stands second."""
@@ -225,6 +292,7 @@ class Repairer:
         if max(now) <= ODD_CHARACTER:
             return line
         evidence = [_is_evidence(c) for c in chars]
+        anomaly = [e and is_anomaly(line, i) for e, i in zip(evidence, places, strict=True)]
         best, gain = line, 0.0
         for read, meant in _SINGLE_PAIRS:
             fixed = _transcode(chars, read, meant)
@@ -235,7 +303,15 @@ class Repairer:
             for lo, hi in {(0, len(chars)), _whole_words(line, places, *_best_stretch(gains))}:
                 changed = [k for k in range(lo, hi) if chars[k] != fixed[k]]
                 g = sum(gains[lo:hi]) - (SPLIT_COST if hi - lo < len(chars) else 0.0)
-                if g > gain and g >= max(GAIN_LEAST, GAIN_EACH * len(changed)) and any(evidence[k] for k in changed):
+                if g <= gain or not any(evidence[k] for k in changed):
+                    continue
+                settled = sum(after[k] for k in changed) / len(changed)
+                # Where nothing is odd in itself, the whole line must turn into what is common in the corpus.
+                if any(anomaly[k] for k in changed):
+                    good = settled <= SETTLED and g >= max(GAIN_LEAST, GAIN_EACH * len(changed))
+                else:
+                    good = len(changed) > (1 if hi - lo == len(chars) else 2) and settled <= COMMON and g >= PLAIN_GAIN_EACH * len(changed)
+                if good:
                     out = list(line)
                     for k in changed:
                         out[places[k]] = fixed[k]
@@ -250,17 +326,26 @@ class Repairer:
             known = self.memo[line] = self._single(line)
         return known
 
+    def _layers(self, text: str, single_first: bool) -> tuple[str, int]:
+        s, layers = text, 0
+        if single_first:
+            s = "\n".join(self._memo_single(x) for x in s.split("\n"))
+            layers += s != text
+        while layers < MAX_LAYERS and (fixed := self._runs(s)) != s:
+            s, layers = fixed, layers + 1
+        fixed = "\n".join(self._memo_single(x) for x in s.split("\n"))
+        return (fixed, layers + 1) if fixed != s else (s, layers)
+
     def repair(self, text: str) -> tuple[bool, str, int]:
         """``(garbled, restored, layers undone)``."""
         if not _HIGH.search(text):
             return False, text, 0
-        s, layers = text, 0
-        while layers < MAX_LAYERS and (fixed := self._runs(s)) != s:
-            s, layers = fixed, layers + 1
-        lines = s.split("\n")
-        fixed_lines = [self._memo_single(x) for x in lines]
-        if fixed_lines != lines:
-            s, layers = "\n".join(fixed_lines), layers + 1
+        # Layers of UTF-8 first, then single bytes; or the other way round, where that costs less.
+        s, layers = self._layers(text, False)
+        if s != text:
+            other, more = self._layers(text, True)
+            if other != s and self.cost(other) < self.cost(s):
+                s, layers = other, more
         return s != text or "�" in text or bool(_C1.search(text)), s, layers
 
 

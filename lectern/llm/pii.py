@@ -91,6 +91,8 @@ _CARD = re.compile(r"[A-Za-z]" + _LEFT + r"\d{2}[A-Za-z]\d{5}" + _RIGHT, re.S)
 _LONG = re.compile(r"\d" + _LEFT + r"(?:[ -]?\d){12,18}" + _RIGHT, re.S)
 _IBAN = re.compile(r"[A-Z]" + _LEFT + r"[A-Z]\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _RIGHT, re.S)
 
+# An account number's beginning: what follows is part of it, whether it is valid or not.
+_IBAN_BEFORE = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4})* ?$")
 # What a mail address has in it.
 _AT = re.compile(r"@|[\[(]\s?at\s?[\])]", re.I)
 
@@ -221,6 +223,8 @@ def _numbers(text: str) -> Iterator[Span]:
     for lo, hi in _regions(text):
         for pattern, base, (least, most) in _PHONES:
             for m in pattern.finditer(text, lo, hi):
+                if _IBAN_BEFORE.search(text, max(0, m.start() - 30), m.start()):
+                    continue
                 value = _trim_phone(m[0])
                 if least <= len(_digits(value)) <= most:
                     end = m.start() + len(value)
@@ -236,7 +240,7 @@ def _numbers(text: str) -> Iterator[Span]:
             base = 0.8 if mod23_letter(m[1], m[3]) else 0.3
             yield Span(m.start(), m.end(), "id_number", _weigh(text, m.start(), m.end(), "id_number", base))
         for m in _LONG.finditer(text, lo, hi):
-            if luhn(_digits(m[0])):
+            if luhn(_digits(m[0])) and not _IBAN_BEFORE.search(text, max(0, m.start() - 30), m.start()):
                 yield Span(m.start(), m.end(), "id_number", _weigh(text, m.start(), m.end(), "id_number", 0.55))
         for m in _IBAN.finditer(text, lo, hi):
             yield Span(m.start(), m.end(), "id_number", 0.9 if mod97_iban(m[0]) else 0.0)
