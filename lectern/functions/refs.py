@@ -17,6 +17,10 @@ _BARE = re.compile(r"(?<![0-9A-Za-z_])[0-9]{1,3}[ \t]*:[ \t]*[0-9]")
 _QUANTITY = re.compile(rf"\s*[0-9]+(?:[^\W\d_]|[{grammar.UNIT_SPACES}]*[{grammar.UNITS}])")
 _ODD_CASE = re.compile(r"[^\W\d_]+")
 _GAP = re.compile(r"(?:[^\S\r\n]|[,;:(\[\-–—/])*")
+# What may belong to chapters and verses behind a name, and white space.
+_TAIL = re.compile(rf"[\s0-9IVXLCivxlcabdf,;:.{re.escape(grammar.RANGES)}]*+")
+#: Names and tails that a finder remembers; a bound on memory.
+KEPT = 200_000
 #: So many bytes without a space are data or code, not prose.
 LONG_TOKEN = 64
 
@@ -96,6 +100,8 @@ class Finder:
         self._candidate = re.compile(rf"{left}(?:{body})\.?", re.I)
         self._alone = re.compile(rf"{left}(?:{body}){right}\.?", re.I)
         self._single = re.compile(rf"{left}({body}){right}\.?(.*)", re.I)
+        self._names: dict[str, tuple] = {}
+        self._tails: dict[tuple[int, str], tuple] = {}
         self._heading = re.compile(options.heading.replace("{book}", f"(?P<book>(?i:{body}))"), re.M) if options.heading else None
 
     # --- search -----------------------------------------------------------------------------------
@@ -161,6 +167,42 @@ class Finder:
         return tr.keys[m[0].lower()], m.start(), m.end()
 
     def _read(self, t: str, start: int, end: int, stop: int) -> Found | None:
+        """The reference behind a name. Names and tails recur, so what they say is remembered."""
+        if self.options.translations is not None:
+            return self._read_anew(t, start, end, stop)
+        name = t[start:end]
+        about = self._names.get(name)
+        if about is None:
+            book = self.canon.get(name)
+            about = (book if book is not None and _plausible_case(name) else None, self.canon_ambiguous(name), name.endswith("."))
+            if len(self._names) < KEPT:
+                self._names[name] = about
+        book, ambiguous, dotted = about
+        if book is None or _in_long_token(t, start):
+            return None
+        # All that decides is the tail and the character behind it.
+        tail = t[end : min(_TAIL.match(t, end, stop).end() + 1, stop)]
+        counts = self.canon.chapters(book)
+        key = (book if counts else 0, tail)
+        known = self._tails.get(key)
+        if known is None:
+            scan = grammar.scan(tail)
+            got = self._resolved(tail, scan, counts, len(tail))
+            known = () if got is None else (got[0].segments, got[0].written, got[0].end, got[1], scan.nodes[0].first.start == 0, scan.nodes[0].first.roman)
+            if len(self._tails) >= KEPT:
+                self._tails.clear()
+            self._tails[key] = known
+        if not known:
+            return None
+        segments, written, size, sign, glued, roman = known
+        if ambiguous and not (sign == ":" or (sign == "." and dotted)):
+            return None
+        if glued and not dotted and (sign is None or roman):
+            return None  # as in codes: a verse is needed, and no Roman numeral
+        parts = [Written(start if k == 0 else end + w[0], end + w[1], None if w[2] is None else end + w[2]) for k, w in enumerate(written)]
+        return Found(start, end + size, book, segments, None, None, parts)
+
+    def _read_anew(self, t: str, start: int, end: int, stop: int) -> Found | None:
         name = t[start:end]
         book = self.canon.get(name)
         if book is None or _in_long_token(t, start) or not _plausible_case(name):
@@ -328,6 +370,10 @@ def _what_exists(name: str, s: Segment, counts: tuple[int, ...] | None) -> str |
 
 
 def _in_long_token(t: str, at: int) -> bool:
+    # A space near on both sides settles it: what lies between is less than LONG_TOKEN bytes.
+    near = 30 if t.isascii() else 8
+    if t.rfind(" ", max(0, at - near), at) >= 0 and t.find(" ", at, at + near) >= 0:
+        return False
     before = re.split(r"[ \t\n\f\r]", t[max(0, at - LONG_TOKEN) : at])[-1]
     after = re.split(r"[ \t\n\f\r]", t[at : at + LONG_TOKEN], maxsplit=1)[0]
     size = min(LONG_TOKEN, len(before.encode())) + min(LONG_TOKEN, len(after.encode()))
