@@ -40,16 +40,23 @@ SINGLE = ("cp1252", "mac_roman", "cp437", "cp850", "cp1253", "cp1251", "cp1250")
 READ_SINGLE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1253", "cp1251", "koi8-r", "cp1250")
 #: Surprise by which a line must improve for a single-byte repair: per changed character, and at all.
 GAIN_EACH, GAIN_LEAST = 1.6, 5.0
+#: The least gain where every changed character is one that correct text hardly has.
+GAIN_ODD = 3.0
 #: What a repair of a part of a line must gain besides, and the cost of a character that makes a line worth trying.
 SPLIT_COST, ODD_CHARACTER = 2.0, 14.0
 #: Cost that a repaired character may have at most, on average: the result must be common, not only less odd.
 SETTLED = 17.0
 #: The same for a line in which no character is odd in itself, and what each of its changes must gain.
 COMMON, PLAIN_GAIN_EACH = 14.0, 4.0
+#: Cost of a character on average at which a result is not yet trusted and the other order is tried.
+UNSETTLED = 10.0
 #: What a rarer encoding must gain over one that is tried before it.
 TIE = 3.0
 
 _HIGH = re.compile(r"[^\x00-\x7f]+")
+_HIGH_RUN = re.compile(r"[^\x00-\x7f]{2,}")  # a character in UTF-8 beyond ASCII has two bytes or more
+# A lead whose last trail byte was a no-break space that has become a plain one.
+_LOST_SPACE = re.compile(r"(?:[\u00c2\u00c3]|\u00e2\u20ac|\u00e2\u0080) ")
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 _FIELDS = [T.StructField("garbled", T.BooleanType()), T.StructField("restored", T.StringType()), T.StructField("layers", T.IntegerType())]
 
@@ -95,7 +102,12 @@ def is_anomaly(text: str, i: int) -> bool:
         return True
     before, behind = text[i - 1 : i] or " ", text[i + 1 : i + 2] or " "
     kind = unicodedata.category(c)
+    if c in "ªº" and behind.isdigit() and not before.isdigit():
+        return True
     if kind[0] == "L" and c not in "ªºµ":
+        alone = behind == " " and (i == 0 or before in "\n ")
+        if alone and (c in "ÂÃÄÅÆÊËÎÏÐÑÕØÙÛÝÞ" or (c.islower() and (i == 0 or before == "\n"))):
+            return True  # no word of one letter, or no beginning of a line
         if before.isdigit() and (behind.isdigit() or behind == " ") or before in "?!":
             return True
         if before.isalpha() and before not in "ªºµ":
@@ -214,7 +226,15 @@ class Repairer:
         self.pairs: dict[str, float] = {}
 
     def cost(self, s: str) -> float:
-        return float(self.surprise[_buckets(s)].sum()) + 6.0 * len(_C1.findall(s)) + 6.0 * s.count("�")
+        """Surprise of the pairs beyond ASCII, and the charges for controls and lost characters."""
+        pair, known, total = self._pair, self.pairs, 0.0
+        before = "\n"
+        for c in f"{s}\n":
+            if c > "\x7f" or before > "\x7f":
+                got = known.get(before + c)
+                total += pair(before, c) if got is None else got
+            before = c
+        return total
 
     def _runs(self, text: str) -> str:
         """One layer of UTF-8 read as a legacy encoding undone, run by run.
@@ -226,8 +246,10 @@ class Repairer:
 
         def fix(m: re.Match, strict: bool) -> str:
             run = m[0]
+            if not any(_might_be_utf8(run, codec) for codec in READ_AS):
+                return run
             odd = any(is_anomaly(text, i) for i in range(m.start(), m.end()))
-            words = not odd and all(c.isalpha() and c not in "ªºµ" for c in run)
+            words = not odd and all(c.isalpha() and c not in "ªºµ" or unicodedata.category(c) in ("Cf", "Zs", "Mn") for c in run)
             latin = all(c <= "\u024f" for c in run)
             if strict and words and not latin:
                 return run
@@ -250,12 +272,29 @@ class Repairer:
                 established.add(tries[best])
             return best
 
-        out = _HIGH.sub(lambda m: fix(m, True), text)
+        if _LOST_SPACE.search(text):
+            text = _LOST_SPACE.sub(lambda m: self._with_space(text, m), text)
+        out = _HIGH_RUN.sub(lambda m: fix(m, True), text)
         if established and out != text:
             text = out
-            out = _HIGH.sub(lambda m: fix(m, False), text)
+            out = _HIGH_RUN.sub(lambda m: fix(m, False), text)
         return out
 
+    def _with_space(self, text: str, m: re.Match) -> str:
+        """The lead and its lost trail byte, if what they make is likelier than the lead and a space."""
+        lead = m[0][:-1]
+        raw = lead.encode("cp1252", "ignore") if "\u0080" not in lead else lead.encode("latin-1")
+        try:
+            made = (raw + b"\xa0").decode("utf-8")
+        except UnicodeDecodeError:
+            return m[0]
+        before, after = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
+        # The space before the next word may have been the lost one.
+        for candidate in (made, made + " "):
+            if not made.isspace() and self.cost(before + candidate + after) < self.cost(before + m[0] + after) - 2.0:
+                return candidate
+        return m[0]
+
     def _pair(self, a: str, b: str) -> float:
         """Surprise of one pair, none within ASCII; a character's own charge is added where it stands second."""
         known = self.pairs.get(a + b)
@@ -293,6 +332,8 @@ class Repairer:
             return line
         evidence = [_is_evidence(c) for c in chars]
         anomaly = [e and is_anomaly(line, i) for e, i in zip(evidence, places, strict=True)]
+        if not any(anomaly) and sum(e and n > COMMON for e, n in zip(evidence, now, strict=True)) < 2:
+            return line
         best, gain = line, 0.0
         for read, meant in _SINGLE_PAIRS:
             fixed = _transcode(chars, read, meant)
@@ -302,13 +343,14 @@ class Repairer:
             gains = [-1e6 if y is None else a - b for a, b, y in zip(now, after, fixed, strict=True)]
             for lo, hi in {(0, len(chars)), _whole_words(line, places, *_best_stretch(gains))}:
                 changed = [k for k in range(lo, hi) if chars[k] != fixed[k]]
-                g = sum(gains[lo:hi]) - (SPLIT_COST if hi - lo < len(chars) else 0.0)
+                odd = bool(changed) and all(anomaly[k] for k in changed)
+                g = sum(gains[lo:hi]) - (SPLIT_COST if hi - lo < len(chars) and not odd else 0.0)
                 if g <= gain or not any(evidence[k] for k in changed):
                     continue
                 settled = sum(after[k] for k in changed) / len(changed)
                 # Where nothing is odd in itself, the whole line must turn into what is common in the corpus.
                 if any(anomaly[k] for k in changed):
-                    good = settled <= SETTLED and g >= max(GAIN_LEAST, GAIN_EACH * len(changed))
+                    good = settled <= SETTLED and g >= max(GAIN_ODD if odd else GAIN_LEAST, GAIN_EACH * len(changed))
                 else:
                     good = len(changed) > (1 if hi - lo == len(chars) else 2) and settled <= COMMON and g >= PLAIN_GAIN_EACH * len(changed)
                 if good:
@@ -342,13 +384,23 @@ class Repairer:
             return False, text, 0
         # Layers of UTF-8 first, then single bytes; or the other way round, where that costs less.
         s, layers = self._layers(text, False)
-        if s != text:
+        if s != text and self.cost(s) > UNSETTLED * sum(map(len, _HIGH.findall(s))):
             other, more = self._layers(text, True)
             if other != s and self.cost(other) < self.cost(s):
                 s, layers = other, more
         return s != text or "�" in text or bool(_C1.search(text)), s, layers
 
 
+_LEADS = {codec: frozenset(c for c, b in _TABLES[codec].items() if 0xC2 <= b <= 0xF4) for codec in READ_AS}
+_TRAILS = {codec: frozenset(c for c, b in _TABLES[codec].items() if 0x80 <= b <= 0xBF) for codec in READ_AS}
+
+
+def _might_be_utf8(run: str, codec: str) -> bool:
+    """Whether a lead byte is followed by a trail byte anywhere in the run."""
+    leads, trails = _LEADS[codec], _TRAILS[codec]
+    return any(a in leads and b in trails for a, b in zip(run, run[1:], strict=False))
+
+
 def _decoded_parts(run: str, codec: str) -> Iterator[tuple[int, int, str]]:
     """Stretches of a run that are whole UTF-8 under a reading: the run itself, else its longest valid stretches."""
     table = _TABLES[codec]

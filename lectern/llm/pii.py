@@ -100,11 +100,13 @@ _CAP = r"[A-ZÀ-ÖØ-ÞŁŚŠŽÅΑ-Ω]"
 _WORD = rf"{_CAP}[\w'’-]*"
 # Kinds of street, by language.
 _STREET_EN = r"(?:Street|St\.|Road|Rd\.|Lane|Ln\.|Avenue|Ave\.|Drive|Dr\.|Court|Ct\.|Close|Way|Place|Square|Terrace|Crescent|Gardens|Row|Hill|Walk|Grove|Park|Mews|Boulevard|Blvd\.)"
+# Street words that are no other word's abbreviation: one of them behind another belongs to the name ("Green Park Road").
+_STREET_WORD = "(?:Street|Road|Lane|Avenue|Drive|Court|Close)"
 _STREET_FR = r"(?:rue|avenue|boulevard|impasse|allée|place|chemin|quai|cours|route|square|passage|ruelle|sentier)"
 _STREET_IB = r"(?:Calle|C/|Avenida|Av\.|Plaza|Paseo|Camino|Ronda|Travesía|Rua|R\.|Travessa|Praça|Largo|Beco|Estrada|Alameda|Vía|Via)"
 _ADDRESSES = [
-    (re.compile(rf"\d(?<![\w.,:/-].)\d{{0,4}}(?:-\d{{1,5}})?[a-z]? (?:[NSEW]\. )?(?:{_WORD} ){{1,3}}{_STREET_EN}(?!\w)(?:, (?:Apt|Flat|Unit|Suite|Apartment)\.? ?\d{{1,4}}[a-z]?)?"), 0.75),
-    (re.compile(rf"\d(?<![\w.,:/-].)\d{{0,4}}(?:-\d{{1,5}})? (?:[NSEW]\. )?(?:{_CAP}{{2,}} ){{1,3}}{_STREET_EN.upper()}(?!\w)(?:, (?:APT|FLAT|UNIT)\.? ?\d{{1,4}})?"), 0.75),
+    (re.compile(rf"\d(?<![\w.,:/-].)\d{{0,4}}(?:-\d{{1,5}})?[a-z]? (?:[NSEW]\. )?(?:(?!{_STREET_WORD.upper()} ){_WORD} ){{1,3}}?{_STREET_EN}(?!\w)(?! {_STREET_WORD}(?!\w))(?:, (?:Apt|Flat|Unit|Suite|Apartment)\.? ?\d{{1,4}}[a-z]?)?"), 0.75),
+    (re.compile(rf"\d(?<![\w.,:/-].)\d{{0,4}}(?:-\d{{1,5}})? (?:[NSEW]\. )?(?:{_CAP}{{2,}} ){{1,3}}?{_STREET_EN.upper()}(?!\w)(?! {_STREET_WORD.upper()}(?!\w))(?:, (?:APT|FLAT|UNIT)\.? ?\d{{1,4}})?"), 0.75),
     (re.compile(rf"\d(?<![\w.,:/-].)\d{{0,4}}(?:-\d{{1,5}})? (?:[nsew]\. )?(?:[^\W\d_]{{2,}} ){{1,2}}{_STREET_EN.lower()}(?!\w)(?:, (?:apt|flat|unit)\.? ?\d{{1,4}})?"), 0.35),
     (re.compile(rf"\d(?<![\w.,:/-].)\d{{0,3}}(?i: ?(?:bis|ter|quater)(?!\w)| ?[a-d](?=[ ,]))?,? (?i:{_STREET_FR}) (?i:(?:de la|de l['’]|des|du|de|d['’]|aux?|la|le|les) ?)?(?i:l['’])?{_WORD}(?:[ -](?i:(?:de la|des|du|de|d['’]|et)[ -]?)?{_WORD})*"), 0.7),
     (re.compile(rf"(?<!\w)(?:{_CAP}[\w-]*(?i:weg|straße|strasse|str\.|gasse|platz|allee)|(?:{_WORD} )?(?:Weg|Straße|Gasse|Platz|Allee|Ring)) \d{{1,4}}(?: ?[a-z](?!\w))?(?![:,.]\d)"), 0.7),
@@ -146,7 +148,7 @@ _LABEL = re.compile(
 )
 _FIELD = re.compile(r"\"(?:who|name|speaker|contact|person|author)\"\s?$")
 _COLON = re.compile(r":(?=\s{0,3}(?:\"|[^\W\d_]))")
-_LABELLED = re.compile(rf":\s*(?:{_TITLE} )?{_ANY_NAME}(?=\s*(?:$|[.;|,\n\"]|\s))", re.M)
+_LABELLED = re.compile(rf":\s*(?:(?!M\.? ){_TITLE} )?{_ANY_NAME}(?=\s*(?:$|[.;|,\n\"]|\s))", re.M)
 _QUOTED = re.compile(rf":\s?\"{_ANY_NAME}(?=\")")
 _PHRASES = [
     (re.compile(rf"(?:Thanks to|Dank an|Merci à|Gracias a|Obrigad[oa] a|Obrigad[oa] à|Thank you,?|Ευχαριστούμε (?:την|τον|τη)?) ?(?:{_TITLE} )?{_ANY_NAME}(?= (?:for|für|pour|por|pel[oa]s?|για)\b)"), 0.95),
@@ -158,8 +160,12 @@ _AFTER_TITLE = re.compile(rf"(?:{_ANY_NAME}(?= (?:kept|disagreed|agreed|said|spo
 _PROPER_AFTER_TITLE = re.compile(_PROPER_NAME)
 # A record: fields of a line, the name first; and a signature block: the name on the line before another value.
 _LEAD_FIELD = r"(?:[^\W\d_][\w -]{0,24}:\s?)?"
-_BEFORE_VALUE = re.compile(rf"(?:(?<![^\n])|(?<=[.!?:>\]\"”»] ))(?:[-*>#]\s|\[[ x]\]\s)?[ \t]*{_ANY_NAME}(?:\s?[;|]\s?|[ \t]*\n\s*){_LEAD_FIELD}[\"<(]?$")
+_BEFORE_VALUE = re.compile(rf"(?:(?<![^\n])|(?<=[.!?:;>\]\"”»*] ))(?:[-*>#]\s|\[[ x]\]\s)?[ \t]*{_ANY_NAME}(?:\s?[;|]\s?|[ \t]*\n\s*){_LEAD_FIELD}[\"<(]?$")
+# The same behind other words, for a name that is written as one.
+_BEFORE_VALUE_LOOSE = re.compile(rf"(?<=[a-zà-ÿα-ωά-ώ0-9)] ){_PROPER_NAME}(?:\s?[;|]\s?|[ \t]*\n\s*){_LEAD_FIELD}[\"<(]?$")
 
+# Words that begin a sentence, not a name.
+_NO_GIVEN_NAME = frozenset("A An At By For From He How If In It No Of On Or See She So The They This To We What When Where Who Why You".split())
 # Cue words that raise or lower a proposal of a kind.
 _CUES = {
     "phone": re.compile(r"(?i)\b(?:call|ring|phone|tel|tél|telefon\w*|mobile|number|appeler|llamar|ligue|fax|whatsapp|sms|τηλέφωνο|via)\b"),
@@ -283,6 +289,8 @@ def _names(text: str, values: list[Span]) -> Iterator[Span]:
         lo = max(0, v.start - 110)
         if n := _BEFORE_VALUE.search(text[lo : v.start]):
             yield Span(lo + n.start("name"), lo + n.end("name"), "name", 0.9)
+        elif n := _BEFORE_VALUE_LOOSE.search(text[lo : v.start]):
+            yield Span(lo + n.start("name"), lo + n.end("name"), "name", 0.7)
 
 
 def find_spans(text: str | None) -> list[Span]:
@@ -291,7 +299,7 @@ def find_spans(text: str | None) -> list[Span]:
         return []
     values = [s for s in _values(text) if s.score >= THRESHOLD]
     kept: list[Span] = []
-    names = [s for s in _names(text, values) if s.score >= THRESHOLD]
+    names = [s for s in _names(text, values) if s.score >= THRESHOLD and text[s.start : s.end].partition(" ")[0] not in _NO_GIVEN_NAME]
     for s in sorted([*values, *names], key=lambda s: (-(s.score if s.kind != "email" else 9), s.start - s.end, s.start)):
         if all(s.end <= k.start or s.start >= k.end for k in kept):
             kept.append(s)
