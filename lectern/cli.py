@@ -231,6 +231,15 @@ def print_refs(a: argparse.Namespace, canon: Canon, docs, refs, out) -> int:
         for r in rows:
             print(f"{r['path']}:{r['refs']}", file=out)
         return len(rows)
+    if a.mode == "index":
+        s = F.transform("segments", lambda x: F.array(x["kind"], x["sc"], x["sv"], x["ec"], x["ev"]))
+        one = F.struct("ref_no", "book_id", s.alias("segments"), "line", "label")
+        rows = refs.groupBy("path").agg(F.sort_array(F.collect_list(one)).alias("refs")).orderBy("path").select(F.to_json(F.struct("path", "refs")))
+        n = 0
+        for r in rows.toLocalIterator():
+            print(r[0], file=out)
+            n += 1
+        return n
     shown = sinks.named(refs, canon)
     order = ordering.bible_order() if a.sort == "bible" else ordering.file_order()
     shown = shown.orderBy(*order)

@@ -15,6 +15,20 @@ from .refs import Finder, Options
 REF = T.StructType([T.StructField("book_id", T.IntegerType()), T.StructField("segments", T.ArrayType(SEGMENT))])
 
 
+_SPANS = "ARRAY<STRUCT<s: INT, e: INT>>"
+#: Functions in SQL itself, which Catalyst puts into the plan: over positions (see `algebra.with_spans`).
+SQL_FUNCTIONS = [
+    f"CREATE OR REPLACE TEMPORARY FUNCTION refs_overlap(a {_SPANS}, b {_SPANS}) RETURNS BOOLEAN RETURN exists(a, x -> exists(b, y -> x.s <= y.e AND y.s <= x.e))",
+    f"CREATE OR REPLACE TEMPORARY FUNCTION refs_contain(a {_SPANS}, b {_SPANS}) RETURNS BOOLEAN RETURN forall(b, y -> exists(a, x -> x.s <= y.s AND y.e <= x.e))",
+    f"CREATE OR REPLACE TEMPORARY FUNCTION merge_refs(a {_SPANS}) RETURNS {_SPANS} RETURN aggregate(array_sort(a), CAST(array() AS {_SPANS}), (acc, x) -> "
+    f"CASE WHEN size(acc) > 0 AND x.s <= coalesce(try_element_at(acc, -1).e, -9) + 1 THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', try_element_at(acc, -1).s, 'e', greatest(try_element_at(acc, -1).e, x.e)))) "
+    f"ELSE concat(acc, array(x)) END)",
+    "CREATE OR REPLACE TEMPORARY FUNCTION verse_pos(chapter INT, verse INT, lengths ARRAY<INT>) RETURNS INT RETURN "
+    "aggregate(slice(lengths, 1, least(chapter - 1, size(lengths))), 0, (n, x) -> n + x) + greatest(chapter - 1 - size(lengths), 0) * 999 + verse",
+    "CREATE OR REPLACE TEMPORARY FUNCTION bcv(book INT, chapter INT, verse INT) RETURNS INT RETURN book * 1000000 + chapter * 1000 + coalesce(verse, 999)",
+]
+
+
 def _finder(shared, state: dict) -> Finder:
     if "f" not in state:
         state["f"] = Finder(shared.value)
@@ -56,7 +70,7 @@ def read_ref(spark: SparkSession, canon: Canon):
 
 
 def register(spark: SparkSession, canon: Canon) -> None:
-    """`parse_ref`, `read_ref`, `parse_osis`, `parse_usfm`, `format_ref`, `to_osis`, `to_usfm`, and the table function `extract_refs`."""
+    """`parse_ref`, `read_ref`, `parse_osis`, `parse_usfm`, `format_ref`, `to_osis`, `to_usfm`, the functions of SQL_FUNCTIONS, and the table function `extract_refs`."""
     shared = spark.sparkContext.broadcast(canon)
     for name, call in (
         ("parse_ref", parse_ref(spark, canon)), ("read_ref", read_ref(spark, canon)),
@@ -79,6 +93,9 @@ def register(spark: SparkSession, canon: Canon) -> None:
     spark.udf.register("to_osis", writer(osis))
     spark.udf.register("to_usfm", writer(usfm))
 
+    for statement in SQL_FUNCTIONS:
+        spark.sql(statement)
+
     @F.udtf(returnType="ref_no int, book_id int, segments array<struct<kind:int,sc:int,sv:int,ec:int,ev:int>>, start_char int, end_char int, written string")
     class ExtractRefs:
         def __init__(self):

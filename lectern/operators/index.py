@@ -6,12 +6,18 @@ entry may be another device's, if that device searched the same version.
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.places import fnv1a64
+from ..canon import Canon
+from ..functions.places import fnv1a64, snippet
+from ..functions.refs import Options
+from .extract import extract_refs
 
 PACKS = 32
 
@@ -116,6 +122,67 @@ def save(entries: DataFrame, path: str) -> None:
     entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pack_device", "kind", "pack_number").parquet(path)
 
 
+def build_entries(docs: DataFrame, canon: Canon, device: str, engine: str = "", options: Options = Options()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries, references and details of searched files (``path, kind, size, mtime, text``).
+
+    The details (snippets) are a table of their own, joined only where they are shown.
+    """
+    files = docs.withColumn("hash", F.when(F.col("kind") == "text", text_hash("text")))
+    refs = extract_refs(files.select("path", "text"), canon, keys=["path"], options=options)
+    counts = refs.groupBy("path").agg(F.count("*").cast("int").alias("n_refs"))
+    entries = files.join(counts, "path", "left").select(
+        F.lit(device).alias("pack_device"), "kind", pack_number(F.coalesce("hash", F.xxhash64("path"))).alias("pack_number"), "path", "size", "mtime", "hash", F.coalesce("n_refs", F.lit(0)).alias("n_refs"), F.lit(engine).alias("engine")
+    )
+
+    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("at", T.IntegerType())]))
+    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([snippet(t, int(a), int(b)) for t, a, b in zip(texts, starts, ends, strict=True)], columns=["text", "at"])
+
+    details = refs.select("path", "ref_no", "start_char", "end_char").join(files.select("path", "text"), "path").select("path", "ref_no", cut("text", "start_char", "end_char").alias("s")).select("path", "ref_no", F.col("s.text").alias("snippet"), F.col("s.at").alias("snippet_at"))
+    return entries, refs, details
+
+
+def fingerprint(canon: Canon, options: Options = Options()) -> str:
+    """What a stored result depends on besides its file: the canon and the options, not the filters."""
+    state = (canon.books, canon.genres, sorted(canon.counts.items()), options.context_book, options.heading, options.books_alone, options.translations)
+    return hashlib.sha256(repr(state).encode()).hexdigest()[:16]
+
+
+def cached_refs(docs: DataFrame, canon: Canon, cache: str, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """References of files (``path, size, mtime, text``) and the stamps that were read from the cache.
+
+    Unfiltered results are stored under the canon's fingerprint; only files whose stamp is not stored are
+    searched, and their results are added. A file without references keeps its stamp. Stale stamps stay
+    until `prune_cache`.
+    """
+    spark = docs.sparkSession
+    place = f"{cache}/fingerprint={fingerprint(canon, options)}"
+    stamp = ["path", "size", "mtime"]
+    try:
+        stamps, known = spark.read.parquet(f"{place}/stamps"), spark.read.parquet(f"{place}/refs")
+    except AnalysisException:
+        stamps = known = None
+    wanted = docs if stamps is None else docs.join(stamps.select(*stamp), stamp, "left_anti")
+    hits = docs.select(*stamp).limit(0) if stamps is None else docs.select(*stamp).join(stamps.select(*stamp), stamp, "left_semi")
+    fresh = extract_refs(wanted.select(*stamp, "text"), canon, keys=stamp, options=options)
+    # Where the reading and the writing meet, the new results are written first and read back.
+    fresh.write.mode("append").parquet(f"{place}/refs")
+    wanted.select(*stamp).write.mode("append").parquet(f"{place}/stamps")
+    every = spark.read.parquet(f"{place}/refs").dropDuplicates([*stamp, "ref_no"])
+    return every.join(docs.select(*stamp), stamp, "left_semi"), hits
+
+
+def prune_cache(docs: DataFrame, canon: Canon, cache: str, options: Options = Options()) -> None:
+    """Rewrite the cache without files that are gone or have changed."""
+    spark = docs.sparkSession
+    place = f"{cache}/fingerprint={fingerprint(canon, options)}"
+    stamp = ["path", "size", "mtime"]
+    for name in ("refs", "stamps"):
+        kept = spark.read.parquet(f"{place}/{name}").join(docs.select(*stamp), stamp, "left_semi")
+        kept.write.mode("overwrite").parquet(f"{place}/{name}_new")
+        spark.read.parquet(f"{place}/{name}_new").write.mode("overwrite").parquet(f"{place}/{name}")
+
+
 def scope(entries: DataFrame, file: str | None = None, folder: str | None = None) -> DataFrame:
     if file is not None:
         return entries.where(F.col("path") == file)

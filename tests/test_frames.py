@@ -330,6 +330,40 @@ def test_index_tables(spark, tmp_path):
     assert spark.range(3).select(index.pack_number(F.col("id") - 2)).collect()[0][0] == 30
 
 
+def test_index_entries_and_cache(spark, canon, tmp_path):
+    d = spark.createDataFrame([("a.md", "text", 9, 1, "see John 3:16 é"), ("b.md", "text", 9, 1, "none"), ("c.epub", "epub", 9, 1, "Jude 5, Rom 8")], "path string, kind string, size bigint, mtime bigint, text string")
+    entries, refs, details = index.build_entries(d, canon, "d1", "0.1")
+    got = {r["path"]: (r["n_refs"], r["hash"] is None, 0 <= r["pack_number"] < 32) for r in entries.collect()}
+    assert got == {"a.md": (1, False, True), "b.md": (0, False, True), "c.epub": (2, True, True)} and refs.count() == 3
+    assert {r["path"]: r["snippet"] for r in details.where("ref_no = 1").collect()} == {"a.md": "see John 3:16 é", "c.epub": "Jude 5, Rom 8"}
+    cache = str(tmp_path / "cache")
+    first, hits = index.cached_refs(d, canon, cache)
+    assert first.count() == 3 and hits.count() == 0
+    changed = d.where("path <> 'b.md'").withColumn("mtime", F.when(F.col("path") == "a.md", 2).otherwise(F.col("mtime"))).withColumn("text", F.when(F.col("path") == "a.md", "Jude 6").otherwise("not searched again"))
+    second, hits = index.cached_refs(changed, canon, cache)
+    assert sorted((r["path"], r["written"]) for r in second.collect()) == [("a.md", "Jude 6"), ("c.epub", "Jude 5"), ("c.epub", "Rom 8")] and [r[0] for r in hits.collect()] == ["c.epub"]
+    index.prune_cache(changed, canon, cache)
+    assert spark.read.parquet(f"{cache}/fingerprint={index.fingerprint(canon)}/stamps").count() == 2
+    assert index.fingerprint(canon) != index.fingerprint(canon.removed({"books": [{"book": "Jude"}]}))
+
+
+def test_units():
+    from lectern.functions import units
+
+    g = grammar
+    assert units.parse_unit(g.VERSE, "3:16") == (0, 3, 16, 3, 16) and units.parse_unit(g.ACROSS, "3:16-4:2") == (2, 3, 16, 4, 2) and units.parse_unit(g.CHAPTERS_TO_VERSE, "1-2:3") == (5, 1, 1, 2, 3)
+    for kind, text in ((g.VERSE, "3"), (g.VERSE, "3:999"), (g.VERSES, "3:18-16"), (g.CHAPTER, "x"), (g.CHAPTERS, "4-3")):
+        with pytest.raises(units.UnitError):
+            units.parse_unit(kind, text)
+    assert units.parse_segment("3:16-18") == (1, 3, 16, 3, 18)
+    for text in ("3:16, 18", "3:", "", "3 x"):
+        with pytest.raises(units.UnitError):
+            units.parse_segment(text)
+    assert units.coerce((0, 3, 16, 3, 16), g.VERSES) == (1, 3, 16, 3, 16) and units.coerce((5, 1, 1, 2, 3), g.ACROSS) == (2, 1, 1, 2, 3) and units.to_json((1, 3, 16, 3, 18)) == {"start": "3:16", "end": "3:18"}
+    with pytest.raises(units.UnitError):
+        units.coerce((3, 3, 1, 3, None), g.VERSE)
+
+
 def test_incremental_steps_survive_failures(spark, tmp_path):
     runs = spark.createDataFrame([(1, "ok"), (2, "failed"), (3, "ok"), (4, "ok")], "run_no int, status string")
     cols = "list_id bigint, run_no int, device string, path string, size bigint, mtime bigint, hash bigint, modified_ns bigint, seen_at timestamp"
@@ -401,6 +435,9 @@ def test_sql_functions(spark, canon):
     sql.register(spark, canon)
     r = spark.sql("SELECT format_ref(parse_ref('jn 3:16')) a, to_osis(parse_usfm('JHN 3:16-18')) b, to_usfm(parse_osis('John.3')) c, parse_ref('none').book_id d, format_ref(read_ref('Jude')) e").first()
     assert tuple(r) == ("John 3:16", "John.3.16-John.3.18", "JHN 3", None, "Jude")
+    q = "SELECT refs_overlap(a, b) o, refs_contain(a, b) c, merge_refs(concat(a, b)) m, verse_pos(3, 4, array(10, 20)) p, bcv(43, 3, NULL) k FROM VALUES (array(named_struct('s', 1, 'e', 5)), array(named_struct('s', 6, 'e', 9))) t(a, b)"
+    r = spark.sql(q).first()
+    assert (r["o"], r["c"], [tuple(x) for x in r["m"]], r["p"], r["k"]) == (False, False, [(1, 9)], 34, 43003999)
     assert spark.sql("SELECT written FROM VALUES ('see Jn 4:1, Jude 5') t(x), LATERAL extract_refs(x)").count() == 2
 
 
