@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract, index
 from ..streaming import refs as streaming
-from ..tables import table
+from ..tables import scratch_path, table
 from . import synthetic as S
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -89,6 +89,28 @@ def book_bitmaps(spark, sf_dir):
     return index.book_bitmap(refs, "file").select("file", F.get("books", F.lit(0)).alias("w0"), F.get("books", F.lit(1)).alias("w1"))
 
 
+@query(f"WITH {S.segments_sql()} SELECT 'f' || keys.k || '.md' AS path, CAST(count(segs.k) AS INT) AS n_refs, length('They say, see  today, and so on.') > 0 AS hashed FROM keys LEFT JOIN segs ON segs.k = keys.k AND seg_no = 1 GROUP BY keys.k")
+def index_entries(spark, sf_dir):
+    """Entries of searched files."""
+    docs = S.documents_of(spark, sf_dir).select(F.concat(F.lit("f"), F.col("k").cast("string"), F.lit(".md")).alias("path"), F.lit("text").alias("kind"), F.lit(1).cast("bigint").alias("size"), F.lit(1).cast("bigint").alias("mtime"), "text")
+    entries, _, _ = index.build_entries(docs, S.canon(spark, sf_dir), "dev-new")
+    return entries.select("path", "n_refs", F.col("hash").isNotNull().alias("hashed"))
+
+
+@query(f"WITH {S.segments_sql()} SELECT 'f' || k AS path, book_id FROM segs WHERE seg_no = 1 AND k % 4 <> 0 UNION ALL SELECT 'f' || k, 65 FROM keys WHERE k % 4 = 0")
+def index_cached_search(spark, sf_dir):
+    """A second search of files of which a quarter has changed: the others come from the cache."""
+    cache = scratch_path(spark, "cache")
+    canon = S.canon(spark, sf_dir)
+    docs = S.documents_of(spark, sf_dir).select("k", F.concat(F.lit("f"), F.col("k").cast("string")).alias("path"), F.lit(1).cast("bigint").alias("size"), F.lit(1).cast("bigint").alias("mtime"), "text")
+    index.cached_refs(docs.drop("k"), canon, cache)
+    new = F.col("k") % 4 == 0
+    # The unchanged files' texts are not looked at: they are replaced here, and the results stay.
+    later = docs.select("path", "size", F.when(new, 2).otherwise(F.col("mtime")).cast("bigint").alias("mtime"), F.when(new, "only Jude 1:2").otherwise("unread").alias("text"))
+    refs, _ = index.cached_refs(later, canon, cache)
+    return refs.select("path", "book_id")
+
+
 _EVENTS = S.segments_sql(source="events", key="event_id", extra="ts")
 
 

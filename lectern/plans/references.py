@@ -261,6 +261,26 @@ def _passages_frame(spark, sf_dir):
     return algebra.with_positions(df, S.canon(spark, sf_dir))
 
 
+@query(
+    f"""WITH {S.positions_sql()}, x AS (SELECT k % 7 AS g, * FROM pos WHERE style = 0),
+m AS (SELECT g, book_id, pos_start, pos_end, max(pos_end) OVER (PARTITION BY g, book_id ORDER BY pos_start, pos_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x)
+SELECT g, book_id, CAST(count(*) FILTER (WHERE reach IS NULL OR pos_start > reach + 1) AS BIGINT) AS segments FROM m GROUP BY g, book_id"""
+)
+def passages_from_verses(spark, sf_dir):
+    """Single verses as passages: how many segments are left when neighbours join, also across chapters."""
+    seg = _segments(spark, sf_dir).where("style = 0").withColumn("g", F.col("k") % 7)
+    merged = algebra.merge_refs(seg.select("g", "book_id", "kind", "sc", "sv", "ec", "ev"), S.canon(spark, sf_dir), ["g"])
+    return merged.groupBy("g", "book_id").agg(F.count("*").alias("segments"))
+
+
+@query(f"WITH {S.segments_sql()} SELECT k, seg_no, sc * 1000 + sv <= 6030 AND 3005 <= ec * 1000 + coalesce(ev, 999) AS overlaps, 3005 <= sc * 1000 + sv AND ec * 1000 + coalesce(ev, 999) <= 6030 AS contained FROM segs")
+def structural_tests(spark, sf_dir):
+    """Overlap and containment by the numbers alone, against 3:5-6:30."""
+    d = _segments(spark, sf_dir).withColumn("s", F.struct("kind", "sc", "sv", "ec", "ev"))
+    wanted = F.struct(F.lit(2).alias("kind"), F.lit(3).alias("sc"), F.lit(5).alias("sv"), F.lit(6).alias("ec"), F.lit(30).alias("ev"))
+    return d.select("k", "seg_no", filters.structural_overlap(F.col("s"), wanted).alias("overlaps"), filters.structural_contains(wanted, F.col("s")).alias("contained"))
+
+
 # --- filters --------------------------------------------------------------------------------------
 
 
@@ -306,6 +326,15 @@ def verses_only_no_single_chapters(spark, sf_dir):
     return _filtered(spark, sf_dir, filters.RefFilter(verses_only=True, single_chapter_books=False))
 
 
+@query(f"WITH {S.segments_sql()} SELECT k, book_id FROM segs WHERE style = 0 AND k % 3 = 1")
+def translation_filter(spark, sf_dir):
+    """References followed by one translation, under any of its names."""
+    name = F.when(F.col("k") % 3 == 0, " (ESV)").when(F.col("k") % 3 == 1, F.when(F.col("k") % 2 == 0, ", av").otherwise(" KJV")).otherwise(" and more")
+    docs = S.ref_texts(spark, sf_dir).where("style = 0").select("k", F.concat(F.lit("see "), "ref", name).alias("text"))
+    r = extract.extract_refs(docs, S.canon(spark, sf_dir), options=Options(translations=Translations(("ESV", "KJV"), (("AV", "KJV"),))))
+    return filters.RefFilter(translations=("kjv",)).apply(r, S.canon(spark, sf_dir)).select("k", "book_id")
+
+
 @query(f"WITH {S.segments_sql()} SELECT DISTINCT k, book_id FROM segs WHERE book_id BETWEEN 40 AND 66 AND (book_id BETWEEN 45 AND 57 OR book_id = 43) AND book_id <> 45")
 def scope_filter(spark, sf_dir):
     """The New Testament's letters of Paul and John, without Romans."""
@@ -355,6 +384,17 @@ def parse_refs(spark, sf_dir):
     return extract.explode_segments(r, ["k"])
 
 
+@query(f"WITH {S.segments_sql()} SELECT k, seg_no, book_id, kind, sc, sv, ec, ev FROM segs")
+def read_usfm(spark, sf_dir):
+    """References written as USFM and read back by the function that takes OSIS, USFM and plain text."""
+    from ..functions import sql
+
+    books = table(spark, sf_dir, "default_books").select(F.col("id").alias("book_id"), "usfm")
+    read = sql.read_ref(spark, S.canon(spark, sf_dir))
+    r = _refs(spark, sf_dir).join(books, "book_id").select("k", read(C.usfm(F.col("usfm"), F.col("segments"))).alias("p"))
+    return extract.explode_segments(r.select("k", "p.book_id", "p.segments"), ["k"])
+
+
 @query(f"WITH {S.segments_sql()} SELECT k, seg_no, CASE WHEN kind IN (0, 3) THEN false ELSE true END AS is_range, sc || ':' || sv AS first, coalesce(ec || ':' || ev, CAST(ec AS VARCHAR)) AS last FROM segs WHERE kind < 3")
 def segment_ends(spark, sf_dir):
     s = F.struct("kind", "sc", "sv", "ec", "ev")

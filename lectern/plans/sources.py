@@ -161,6 +161,15 @@ def kinds(spark, sf_dir):
     return table(spark, sf_dir, "listing").groupBy(files_.kind_of(F.col("path")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT event_id AS k, event_id % 3 = 0 AS is_binary, CASE event_id % 3 WHEN 1 THEN 'x' || chr(65533) || event_type ELSE 'x' || event_type END AS text FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, true, 'x' || chr(0) || event_type FROM events WHERE event_id % 3 = 0")
+def binary_sniff(spark, sf_dir):
+    """Contents with a zero byte are binary; bytes that are no UTF-8 become replacement characters."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), "event_type")
+    middle = F.when(F.col("k") % 3 == 0, F.unhex(F.lit("00"))).when(F.col("k") % 3 == 1, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    content = F.concat(F.encode(F.lit("x"), "UTF-8"), middle, F.encode("event_type", "UTF-8"))
+    return e.select("k", files_.is_binary(content).alias("is_binary"), files_.decode_lossy(content).alias("text"))
+
+
 # --- printing -------------------------------------------------------------------------------------
 
 
