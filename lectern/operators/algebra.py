@@ -14,6 +14,8 @@ from ..functions import columns as C
 
 #: Rows of book dimensions that may be broadcast. A canon has at most 255 books.
 _DIM_ROWS = 10_000
+#: Verses of a book per bucket of an interval join: more than most references hold, so that most are in one or two.
+BUCKET = 16
 
 
 def dim_positions(spark: SparkSession, canon: Canon) -> DataFrame:
@@ -125,9 +127,9 @@ def collect_segments(segments: DataFrame, keys: list[str]) -> DataFrame:
 def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", keys: list[str] | None = None) -> DataFrame:
     """Pairs of segments that share a verse, each pair once: ``left`` columns as ``l_*``, ``right`` as ``r_*``.
 
-    Both sides are put into buckets of book and chapter, so the join is an equi-join that spreads and
-    that AQE can split where a bucket is hot; a pair is reported in the bucket where the later one
-    starts. With ``left_semi`` or ``left_anti`` the rows of ``left`` are kept or dropped by ``keys``: all
+    Both sides are put into buckets of BUCKET positions of a book, so the join is an equi-join that
+    spreads and that AQE can split where a bucket is hot, and few rows meet that share no verse; a pair is
+    reported in the bucket where the later one starts. With ``left_semi`` or ``left_anti`` the rows of ``left`` are kept or dropped by ``keys``: all
     rows of a key go together (a reference's segments, or one segment if the keys are that fine).
     """
     ln = {c: f"l_{c}" for c in left.columns}
@@ -138,17 +140,18 @@ def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", keys: l
     if how in ("left_semi", "left_anti"):
         if not keys:
             raise ValueError("a semi or anti join of intervals needs the keys of a row")
-        same = (F.col("l_book_id") == F.col("r_book_id")) & (F.col("l__chapter") == F.col("r__chapter"))
+        same = (F.col("l_book_id") == F.col("r_book_id")) & (F.col("l__bucket") == F.col("r__bucket"))
         hits = _buckets(one, "l_").join(_buckets(two, "r_"), same & overlap, "left_semi").select(*[F.col(f"l_{k}").alias(f"_h_{k}") for k in keys]).distinct()
         match = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
         return left.join(hits, match, how)
     a, b = _buckets(one, "l_"), _buckets(two, "r_")
-    owner = F.col("l__chapter") == F.greatest("l_sc", "r_sc")
-    return a.join(b, (F.col("l_book_id") == F.col("r_book_id")) & (F.col("l__chapter") == F.col("r__chapter")) & overlap & owner).drop("l__chapter", "r__chapter")
+    owner = F.col("l__bucket") == F.expr(f"greatest(l_pos_start, r_pos_start) DIV {BUCKET}")
+    return a.join(b, (F.col("l_book_id") == F.col("r_book_id")) & (F.col("l__bucket") == F.col("r__bucket")) & overlap & owner).drop("l__bucket", "r__bucket")
 
 
 def _buckets(df: DataFrame, prefix: str) -> DataFrame:
-    return df.withColumn(f"{prefix}_chapter", F.explode(F.expr(f"sequence({prefix}sc, greatest({prefix}sc, {prefix}ec))")))
+    first, last = f"{prefix}pos_start", f"{prefix}pos_end"
+    return df.withColumn(f"{prefix}_bucket", F.explode(F.expr(f"sequence({first} DIV {BUCKET}, greatest({first}, {last}) DIV {BUCKET})")))
 
 
 def verse_counts(positions: DataFrame, keys: list[str] | None = None) -> DataFrame:

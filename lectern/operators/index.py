@@ -10,7 +10,7 @@ import hashlib
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,26 +38,28 @@ def check(listing: DataFrame, entries: DataFrame, confirmations: DataFrame) -> D
 
     ``fresh``: an entry of the same size and mtime, best the device's own, else one it has confirmed for
     this version, else the newest. ``unconfirmed``: only an entry of the same size; the newest is used
-    until it is confirmed. ``missing``: none. One equi-join by path, then one row per file kept by rank
-    (a window that keeps one row is limited before its shuffle).
+    until it is confirmed. ``missing``: none.
+
+    Each of the four is a lookup in entries that an aggregation has made unique by their key, so a file
+    with very many entries or sightings never pairs them all.
     """
-    l = listing.select("device", "path", "size", "mtime").distinct()
-    e = entries.select(F.col("path").alias("e_path"), F.col("pack_device").alias("entry_device"), F.col("size").alias("e_size"), F.col("mtime").alias("e_mtime"), F.col("written").alias("e_written"), "entry_id")
-    c = confirmations.select(
-        F.col("pack_device").alias("c_by"), F.col("path").alias("c_path"), F.col("size").alias("c_size"), F.col("mtime").alias("c_mtime"), F.col("device").alias("c_device"), F.col("written").alias("c_written")
-    ).distinct()
-    pairs = l.join(e, (F.col("path") == F.col("e_path")) & (F.col("size") == F.col("e_size")), "left")
-    confirmed = pairs.join(
-        c,
-        (F.col("c_by") == F.col("device")) & (F.col("c_path") == F.col("path")) & (F.col("c_size") == F.col("size")) & (F.col("c_mtime") == F.col("mtime")) & (F.col("c_device") == F.col("entry_device")) & (F.col("c_written") == F.col("e_written")),
-        "left",
-    )
-    exact = F.col("e_mtime") == F.col("mtime")
-    rank = F.when(exact & (F.col("entry_device") == F.col("device")), 0).when(F.col("c_device").isNotNull(), 1).when(exact, 2).when(F.col("entry_id").isNotNull(), 3).otherwise(4)
-    order = Window.partitionBy("device", "path", "size", "mtime").orderBy("rank", F.desc_nulls_last("e_written"), F.asc("entry_id"))
-    best = confirmed.withColumn("rank", rank).withColumn("n", F.row_number().over(order)).where("n = 1")
-    status = F.when(F.col("rank") <= 2, "fresh").when(F.col("rank") == 3, "unconfirmed").otherwise("missing")
-    return best.select("device", "path", "size", "mtime", status.alias("status"), "entry_id", "entry_device")
+    files = listing.select("device", "path", "size", "mtime").distinct()
+    e = entries.select("entry_id", "pack_device", "path", "size", "mtime", "written")
+    newest = F.max_by(F.struct("entry_id", "pack_device"), F.struct(F.coalesce("written", F.lit(-(2**63))), -F.col("entry_id")))
+
+    def best(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(newest.alias(name))
+
+    own = best(e, ["pack_device", "path", "size", "mtime"], "own").withColumnRenamed("pack_device", "device")
+    exact = best(e, ["path", "size", "mtime"], "exact")
+    same = best(e, ["path", "size"], "same")
+    said = confirmations.select(F.col("pack_device").alias("by"), "path", "size", F.col("mtime").alias("seen"), F.col("device").alias("pack_device"), "written").distinct()
+    confirmed = best(said.join(e, ["path", "size", "pack_device", "written"]).withColumn("mtime", F.col("seen")).withColumn("device", F.col("by")), ["device", "path", "size", "mtime"], "confirmed")
+    joined = files.join(own, ["device", "path", "size", "mtime"], "left").join(confirmed, ["device", "path", "size", "mtime"], "left").join(exact, ["path", "size", "mtime"], "left").join(same, ["path", "size"], "left")
+    entry = F.coalesce("own", "confirmed", "exact", "same")
+    fresh = F.coalesce("own", "confirmed", "exact").isNotNull()
+    status = F.when(fresh, "fresh").when(F.col("same").isNotNull(), "unconfirmed").otherwise("missing")
+    return joined.select("device", "path", "size", "mtime", status.alias("status"), entry["entry_id"].alias("entry_id"), entry["pack_device"].alias("entry_device"))
 
 
 def confirm(listing: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,12 +68,15 @@ def confirm(listing: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFram
     For each listed file (``device, path, size, mtime, hash``) the newest entry of its size with its hash,
     or of its size alone where the file's hash is unknown.
     """
-    e = entries.select(F.col("path").alias("e_path"), F.col("pack_device").alias("entry_device"), F.col("size").alias("e_size"), F.col("hash").alias("e_hash"), "written", "entry_id")
-    pairs = listing.join(e, (F.col("path") == F.col("e_path")) & (F.col("size") == F.col("e_size")) & (F.col("hash").isNull() | (F.col("hash") == F.col("e_hash"))))
-    order = Window.partitionBy("device", "path", "size", "mtime").orderBy(F.desc_nulls_last("written"), F.asc("entry_id"))
-    best = pairs.withColumn("n", F.row_number().over(order)).where("n = 1")
-    own = best.where("entry_device = device").select("entry_id", "mtime")
-    other = best.where("entry_device <> device").select(F.col("device").alias("pack_device"), "path", "size", "mtime", F.col("entry_device").alias("device"), "written")
+    e = entries.select("path", "size", F.col("hash").alias("e_hash"), "pack_device", "written", "entry_id")
+    newest = F.max_by(F.struct("entry_id", "pack_device", "written"), F.struct(F.coalesce("written", F.lit(-(2**63))), -F.col("entry_id")))
+    by_hash = e.where("e_hash IS NOT NULL").groupBy("path", "size", F.col("e_hash").alias("hash")).agg(newest.alias("e"))
+    by_size = e.groupBy("path", "size").agg(newest.alias("e"))
+    files = listing.select("device", "path", "size", "mtime", "hash").distinct()
+    found = files.where("hash IS NOT NULL").join(by_hash, ["path", "size", "hash"]).select("device", "path", "size", "mtime", "e")
+    found = found.unionByName(files.where("hash IS NULL").join(by_size, ["path", "size"]).select("device", "path", "size", "mtime", "e"))
+    own = found.where("e.pack_device = device").select("e.entry_id", "mtime")
+    other = found.where("e.pack_device <> device").select(F.col("device").alias("pack_device"), "path", "size", "mtime", F.col("e.pack_device").alias("device"), "e.written")
     return own, other
 
 
