@@ -31,6 +31,10 @@ def _compose(paths: pd.Series) -> pd.Series:
     return paths.map(lambda p: None if p is None else unicodedata.normalize("NFC", unicodedata.normalize("NFC", p).lower()))
 
 
+# So that Spark does not put the call into a filter and a projection and run it twice.
+_compose = _compose.asNondeterministic()
+
+
 def file_key(path: Column) -> Column:
     """What a path names, whatever its case, separators, empty or ``.`` segments, or composition."""
     plain = ~path.rlike(r"[^\x00-\x7F]")
