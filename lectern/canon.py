@@ -50,8 +50,15 @@ def name_key(name: str) -> str:
     return re.sub(_SPACE_CLASS, " ", name.lower()).strip().rstrip(".").strip()
 
 
-def trie_pattern(keys: Iterable[str]) -> str:
-    """One pattern that matches the longest of the keys at a place; shared beginnings are factored out."""
+# Characters that lower-case to another letter than their capital's: as case-insensitive patterns match them.
+_MORE_CASES = {"k": "\u212a", "s": "\u017f", "\u00e5": "\u212b"}
+
+
+def trie_pattern(keys: Iterable[str], cases: bool = False) -> str:
+    """One pattern that matches the longest of the keys at a place; shared beginnings are factored out.
+
+    With ``cases`` both cases of a letter are written out, which is faster than an insensitive pattern.
+    """
     trie: dict = {}
     for key in keys:
         node = trie
@@ -59,8 +66,15 @@ def trie_pattern(keys: Iterable[str]) -> str:
             node = node.setdefault(c, {})
         node[""] = {}
 
+    def letter(c: str) -> str:
+        if c == " ":
+            return _SPACE_CLASS
+        if cases and c.upper() != c and len(c.upper()) == 1:
+            return f"[{re.escape(c)}{re.escape(c.upper())}{_MORE_CASES.get(c, '')}]"
+        return re.escape(c)
+
     def write(node: dict) -> str:
-        branches = [(_SPACE_CLASS if c == " " else re.escape(c)) + write(child) for c, child in sorted(node.items()) if c]
+        branches = [letter(c) + write(child) for c, child in sorted(node.items()) if c]
         if not branches:
             return ""
         body = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"

@@ -187,18 +187,18 @@ def parse_osis(text: Column, codes: Column) -> Column:
     points = F.filter(F.split(text, r"[\s,;]+"), lambda p: p != "")
     shape = r"^([^.\-]+)\.(\d{1,3})(?:\.(\d{1,3}))?(?:-([^.\-]+)\.(\d{1,3})(?:\.(\d{1,3}))?)?$"
 
-    def group(p: Column, k: int) -> Column:
-        return F.nullif(F.regexp_extract(p, shape, k), F.lit(""))
+    # Each point's groups are taken apart once; a point of another shape stays whole and has no sixth part.
+    groups = F.transform(points, lambda p: F.when(p.contains("|"), F.array(p)).otherwise(F.split(F.regexp_replace(p, shape, "$1|$2|$3|$4|$5|$6"), r"\|")))
 
-    def one(p: Column) -> Column:
-        sc, sv, ec, ev = (group(p, k).cast("int") for k in (2, 3, 5, 6))
-        ranged = group(p, 4).isNotNull()
+    def one(g: Column) -> Column:
+        sc, sv, ec, ev = (F.nullif(F.get(g, F.lit(k)), F.lit("")).try_cast("int") for k in (1, 2, 4, 5))
+        ranged = F.get(g, F.lit(3)) != ""
         last = F.when(ranged, ec).otherwise(sc)
         end = F.when(ranged, ev).otherwise(sv)
-        good = p.rlike(shape) & (~ranged | (group(p, 4) == group(p, 1))) & ~(ranged & sv.isNotNull() & ev.isNull()) & (sc <= 255) & (F.coalesce(sv, F.lit(0)) <= 255) & (last <= 255) & (F.coalesce(end, F.lit(0)) <= 255)
-        return F.struct(F.when(good, F.try_element_at(codes, group(p, 1))).alias("book"), make_segment(sc, F.coalesce(sv, F.lit(1)), last, end).alias("seg"))
+        good = (F.size(g) == 6) & (~ranged | (F.get(g, F.lit(3)) == F.get(g, F.lit(0)))) & ~(ranged & sv.isNotNull() & ev.isNull()) & (F.greatest(sc, sv, last, end) <= 255)
+        return F.struct(F.when(good, F.try_element_at(codes, F.get(g, F.lit(0)))).alias("book"), make_segment(sc, F.coalesce(sv, F.lit(1)), last, end).alias("seg"))
 
-    parsed = F.transform(points, one)
+    parsed = F.transform(groups, one)
     books = F.array_distinct(F.transform(parsed, lambda x: x["book"]))
     valid = (F.size(points) > 0) & (F.size(books) == 1) & F.element_at(books, 1).isNotNull()
     return F.when(valid, F.struct(F.element_at(books, 1).alias("book_id"), F.transform(parsed, lambda x: x["seg"]).alias("segments")))

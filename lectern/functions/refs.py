@@ -97,7 +97,7 @@ class Finder:
         ascii_only = all(k.isascii() for k in canon.keys)
         left = r"(?<![0-9A-Za-z_])" if ascii_only else r"(?<!\w)"
         right = r"(?![0-9A-Za-z_])" if ascii_only else r"(?!\w)"
-        self._candidate = re.compile(rf"{left}(?:{body})\.?", re.I)
+        self._candidate = re.compile(rf"{left}(?:{trie_pattern(canon.keys, cases=True)})\.?")
         self._alone = re.compile(rf"{left}(?:{body}){right}\.?", re.I)
         self._single = re.compile(rf"{left}({body}){right}\.?(.*)", re.I)
         self._names: dict[str, tuple] = {}

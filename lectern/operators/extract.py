@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..canon import Canon
 from ..functions.places import Places
 from ..functions.refs import Finder, Options
+from ..tables import spread
 
 SEGMENT = T.StructType([T.StructField(n, T.IntegerType()) for n in ("kind", "sc", "sv", "ec", "ev")])
 _PA_SEGMENT = pa.struct([(n, pa.int32()) for n in ("kind", "sc", "sv", "ec", "ev")])
@@ -49,7 +50,8 @@ def _finder(shared, state: dict) -> Finder:
 
 
 def _documents(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    return df.where(F.col(text).isNotNull()).select(*keys, F.col(text).cast("string").alias("_text"))
+    docs = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).cast("string").alias("_text"))
+    return docs if docs.isStreaming else spread(docs)
 
 
 def extract_refs(df: DataFrame, canon: Canon, text: str = "text", keys: list[str] | None = None, options: Options = Options(), located: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..canon import Canon
 from ..functions.grammar import roman_text
-from ..tables import table
+from ..tables import spread, table
 
 N_BOOKS = 74
 
@@ -66,7 +66,7 @@ def _roman(c: Column) -> Column:
 
 def ref_texts(spark: SparkSession, sf_dir: str, source: str = "orders", key: str = "o_orderkey", extra: tuple[str, ...] = ()) -> DataFrame:
     """``k`` (the key), ``extra`` columns, ``style`` and ``ref``, the reference as text."""
-    df = table(spark, sf_dir, source).select(F.col(key).cast("bigint").alias("k"), *extra)
+    df = spread(table(spark, sf_dir, source).select(F.col(key).cast("bigint").alias("k"), *extra))
     for name, expression in key_columns("k").items():
         df = df.withColumn(name, F.expr(expression))
     books = table(spark, sf_dir, "default_books").select(F.col("id").alias("b"), "book", "abbreviation")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..canon import Canon
 from ..functions.refs import Finder, Options
 from ..operators.extract import SEGMENT, segments_array
+from ..tables import spread
 
 #: A piece: its text, and a function from a hit's (start, end) to the values of the adapter's columns (None drops the hit).
 Piece = tuple[str, Callable[[int, int], tuple | None]]
@@ -65,4 +66,4 @@ def extract_with(df: DataFrame, canon: Canon, adapter: Adapter, columns: T.Struc
 
     own = [T.StructField("ref_no", T.IntegerType()), T.StructField("book_id", T.IntegerType()), T.StructField("segments", T.ArrayType(SEGMENT)), T.StructField("written", T.StringType())]
     schema = T.StructType([df.schema[k] for k in keys] + own + list(columns) + [T.StructField("error", T.StringType())])
-    return df.where(F.col(content).isNotNull()).select(*keys, content).mapInArrow(run, schema)
+    return spread(df.where(F.col(content).isNotNull()).select(*keys, content)).mapInArrow(run, schema)

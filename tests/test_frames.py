@@ -135,6 +135,10 @@ def test_columns_write_like_python(spark, canon):
     for r in got:
         segs = passages[r["k"]][2]
         assert (r["w"], r["o"], r["u"]) == (notation.write_segments(segs), notation.osis(canon, 43, segs), notation.usfm(canon, 43, segs))
+    codes = F.create_map(F.lit("John"), F.lit(43), F.lit("Jude"), F.lit(65))
+    texts = ["John.3.16-John.4.2 John.5", "Jude.1.3,Jude.1.5", "John", "", None, "John.3.16-Jude.1.1", "John.3 Jude.1", "John.x", "John|3|16|||", "John.3.16-John.4", "John.300", "Nope.1"]
+    p = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").select("id", C.parse_osis(F.col("t"), codes).alias("p")).collect()
+    assert [r["id"] for r in p if r["p"] is not None] == [0, 1] and [tuple(s) for s in p[0]["p"]["segments"]] == notation.parse_osis(canon, texts[0])[1]
     spans = {r["k"]: [tuple(s) for s in r["spans"]] for r in algebra.with_spans(df, canon).collect()}
     assert spans == {k: notation.spans(s, canon.chapters(43)) for k, _, s in passages}
 

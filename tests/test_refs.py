@@ -134,6 +134,9 @@ def test_trie_is_the_longest_first_list(canon):
     text = "1 john 3 john song of songs 2 songs jn john marks psalms ps isaiah is 1 samson"
     a, b = (re.compile(rf"(?<![0-9A-Za-z_])(?:{p})", re.I) for p in (flat, trie_pattern(canon.keys)))
     assert [m[0] for m in a.finditer(text)] == [m[0] for m in re.compile(b.pattern, re.I).finditer(text)]
+    both = re.compile(rf"(?<![0-9A-Za-z_])(?:{trie_pattern(canon.keys, cases=True)})")
+    for t in (text, text.upper(), text.title(), text.replace("s", "\u017f").replace("k", "\u212a")):
+        assert [m.span() for m in a.finditer(t)] == [m.span() for m in both.finditer(t)]
 
 
 def test_places():
