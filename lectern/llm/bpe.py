@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import spread
+
 #: Where the vocabulary files of public tokenizers lie; a parameter of every function that needs it.
 VOCABULARIES = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: the public pattern that cuts a text before the merges of the rank files.
@@ -152,4 +154,4 @@ def encode_column(df: DataFrame, column: str, out: str = "ids", name: str = "byt
                 parts.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)))
             yield pa.concat_arrays(parts)
 
-    return df.withColumn(out, encode(F.col(column)))
+    return spread(df).withColumn(out, encode(F.col(column)))

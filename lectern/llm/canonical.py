@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import spread
+
 #: Weight of differing numbers: beyond any threshold.
 NUMBER_WEIGHT = 1000
 #: Ranks of abbreviations and codes: so short that an edit makes another one, hence only exact matches count.
@@ -261,7 +263,7 @@ def canonical_found(scopes: DataFrame, books: DataFrame, genres: DataFrame) -> D
         # The canonical names are a reference list; its size is checked before it is sent to the workers.
         names = canonical.select(F.col(name).alias("_n")).where("_n IS NOT NULL").distinct().limit(MAX_BROADCAST_SPELLINGS + 1)
         names = F.broadcast(names) if names.count() <= MAX_BROADCAST_SPELLINGS else canonical.select(F.col(name).alias("_n")).distinct()
-        items = scopes.select(F.col("scope_id").cast("bigint").alias("row_id"), F.posexplode(field).alias("pos", "value"))
+        items = spread(scopes.select("scope_id", field)).select(F.col("scope_id").cast("bigint").alias("row_id"), F.posexplode(field).alias("pos", "value"))
         items = items.where("value IS NOT NULL AND trim(translate(value, '\t\n\r ', '    ')) <> ''").join(names, F.col("value") == F.col("_n"), "left_anti")
         return match_values(items, "value", reference).select(F.lit(field).alias("field"), "row_id", F.col("pos").cast("int").alias("pos"), "target")
 

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import spread
+
 #: Pairs are counted in so many buckets: the size of the table that goes to the workers, whatever the corpus.
 BUCKETS = 1 << 17
 #: Nested layers that are undone at most. Each layer doubles the bytes of a character.
@@ -440,7 +442,8 @@ def repair_texts(df: DataFrame, column: str, surprise: np.ndarray, out: str = "r
     text = F.col(column)
     high = F.coalesce(text.rlike(r"[^\x00-\x7F]"), F.lit(False))
     # The tuple goes through one call for the rows beyond ASCII and is read off twice.
-    fixed = fix(F.when(high, text))
+    # Not deterministic for Spark: else a later filter would take the call below the union and run it again.
+    fixed = fix.asNondeterministic()(F.when(high, text))
     return df.withColumn(out, F.when(high, fixed).otherwise(F.struct(F.lit(False).alias("garbled"), text.alias("restored"), F.lit(0).alias("layers"))))
 
 
@@ -450,4 +453,5 @@ def garbled_records(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
+    rows = spread(rows)
     return repair_texts(rows, "text", surprise_table(pair_counts(rows)))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import spread
+
 SEED = 5
 RUN = 15
 #: Changed words within a run lie at least so many words apart.
@@ -232,6 +234,7 @@ def leaked_pairs(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id"
         blocks[-1].append((i, w))
         size += len(w)
     docs = documents.where(F.col(text).isNotNull() & F.col(doc_key).isNotNull()).select(F.col(doc_key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = spread(docs)
     result = None
     for block in blocks:
         part = docs.mapInArrow(_search(documents.sparkSession.sparkContext.broadcast(block)), "doc_id bigint, item_id bigint")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import spread
+
 THRESHOLD = 0.6
 #: Characters before and behind a span in which cue words count.
 BEFORE, BEHIND = 48, 24
@@ -330,7 +332,7 @@ def found_values(documents: DataFrame, key: str = "doc_id", column: str = "text"
             ids, kinds, found = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(found, pa.string())], names=["doc_id", "kind", "pii_text"])
 
-    return docs.mapInArrow(search, "doc_id bigint, kind string, pii_text string")
+    return spread(docs).mapInArrow(search, "doc_id bigint, kind string, pii_text string")
 
 
 def redact_column(df: DataFrame, column: str, out: str = "redacted") -> DataFrame:
@@ -338,4 +340,4 @@ def redact_column(df: DataFrame, column: str, out: str = "redacted") -> DataFram
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(redact)
 
-    return df.withColumn(out, run(F.col(column)))
+    return spread(df).withColumn(out, run(F.col(column)))
