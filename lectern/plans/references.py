@@ -47,7 +47,22 @@ def document_refs(spark: SparkSession, sf_dir: str, located: bool = True) -> Dat
     return extract.extract_refs(docs, S.canon_without_counts(spark, sf_dir), located=located)
 
 
-@query()
+# References as one pattern: a name, a number on the same or the next line, a colon after a name that is also a word.
+_KEY = "trim(rtrim(trim(lower({})), '.'))"
+_DOCUMENT_HITS = rf"""
+own AS (
+  SELECT id, book AS name, 0 AS rank FROM default_books UNION ALL SELECT id, abbreviation, 0 FROM default_books UNION ALL SELECT id, osis, 0 FROM default_books UNION ALL SELECT id, usfm, 0 FROM default_books
+  UNION ALL SELECT id, unnest(abbreviations), 1 FROM default_books),
+keys AS (SELECT {_KEY.format('name')} AS key, id FROM own WHERE {_KEY.format('name')} <> '' QUALIFY row_number() OVER (PARTITION BY {_KEY.format('name')} ORDER BY rank, id) = 1),
+amb AS (SELECT DISTINCT {_KEY.format('unnest(ambiguous)')} AS key FROM default_books),
+pat AS (SELECT '(?i)(?:^|[^0-9A-Za-z_])((?:' || string_agg(regexp_escape(key), '|' ORDER BY length(key) DESC, key) || ')\.?[^\S\n]*\n?[^\S\n]*[0-9]{{1,3}}(?:[:.]\s*[0-9])?)' AS p FROM keys),
+hits AS (SELECT doc_id, unnest(regexp_extract_all(text, (SELECT p FROM pat), 1)) AS hit FROM documents WHERE text IS NOT NULL),
+parts AS (SELECT doc_id, {_KEY.format("regexp_extract(hit, '^(.*?)\.?\s*[0-9]{1,3}(?:[:.]\s*[0-9])?$', 1)")} AS key, hit LIKE '%:%' AS verse FROM hits),
+found AS (SELECT doc_id, k.id AS book_id FROM parts JOIN keys k USING (key) WHERE verse OR key NOT IN (SELECT key FROM amb))
+"""
+
+
+@query(f"WITH {_DOCUMENT_HITS} SELECT book_id, any_value(b.book) AS book, count(*) AS refs, count(DISTINCT doc_id) AS documents FROM found JOIN default_books b ON b.id = book_id GROUP BY book_id")
 def documents_book_counts(spark, sf_dir):
     """References and documents per book, over all documents."""
     refs = document_refs(spark, sf_dir, located=False)
@@ -63,6 +78,13 @@ def documents_refs(spark, sf_dir):
     return r.select("doc_id", "ref_no", "book_id", C.write_segments(F.col("segments")).alias("segments"), "start_char", "end_char", "start_byte", "end_byte", "start_utf16", "end_utf16", "line", "col_utf16", "written")
 
 
+@query(f"WITH {_DOCUMENT_HITS} SELECT doc_id, count(*) AS refs, count(DISTINCT book_id) AS books FROM found GROUP BY doc_id")
+def documents_ref_counts(spark, sf_dir):
+    """References and books of each document that has any."""
+    refs = document_refs(spark, sf_dir, located=False)
+    return refs.groupBy("doc_id").agg(F.count("*").alias("refs"), F.count_distinct("book_id").alias("books"))
+
+
 @query("SELECT doc_id FROM documents WHERE text IS NULL OR trim(text) = ''")
 def empty_documents_without_refs(spark, sf_dir):
     """Null and blank texts give no references (an anti-join keeps them all)."""
