@@ -20,6 +20,7 @@ from ..functions.grammar import Segment, segment_order
 from ..functions.notation import spans as literal_spans
 from .algebra import with_spans
 
+# Ways to write a testament, and its books.
 _TESTAMENTS = {"o": (1, 39), "ot": (1, 39), "old": (1, 39), "old testament": (1, 39), "n": (40, 66), "nt": (40, 66), "new": (40, 66), "new testament": (40, 66)}
 
 
