@@ -29,6 +29,8 @@ VOCABULARIES = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that a worker keeps; beyond that it starts anew. Bounds its memory, not the results.
 KEPT_WORDS = 400_000
+#: Characters of a word beyond which it is not kept: such words hardly recur.
+LONG_WORD = 200
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -131,6 +133,9 @@ class Encoder:
             for w in c:
                 flat += words[w]
             offsets[i + 1] = len(flat)
+        for w in fresh:
+            if len(w) > LONG_WORD:
+                del words[w]
         return np.array(flat, dtype=np.int32), offsets
 
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,7 +38,6 @@ _SUFFIX = re.compile(r"\s*(?:\((?:all|genre|book|books)\)|\s[–—-]\s*notes)\s
 _INVISIBLE = dict.fromkeys([0x00AD, 0x034F, 0x061C, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF])
 
 
-@lru_cache(maxsize=100_000)
 def key_of(value: str) -> tuple[str, str]:
     """``(number, letters)`` of a typed value; number is empty where there is none."""
     s = unicodedata.normalize("NFKC", value).translate(_INVISIBLE).lower().strip()
@@ -155,7 +153,8 @@ class Matcher:
         found = sorted({(d, rank, target) for d, k in near for target, rank in self.targets[k].items() if d == 0 or rank not in EXACT_RANKS})
         if len(self.memo) >= 200_000:  # a bound on the worker's memory, not on the results
             self.memo.clear()
-        self.memo[value] = found
+        if len(value) <= 200:
+            self.memo[value] = found
         return found
 
 

@@ -363,6 +363,8 @@ class Repairer:
         return best
 
     def _memo_single(self, line: str) -> str:
+        if len(line) > 1000:  # long lines hardly recur
+            return self._single(line)
         known = self.memo.get(line)
         if known is None:
             if len(self.memo) >= 20_000:  # bounds the worker's memory only
