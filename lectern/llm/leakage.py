@@ -43,6 +43,7 @@ BLOCK_WORDS = 2_000_000
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
 _HYPHEN = re.compile(r"(?<=\w)[-\u2010\u00ad][ \t]*\r?\n[ \t>]*(?=\w)")
 _WORD = re.compile(r"\w+(?:['’]\w+)*")
+_PLAIN_WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+")
 
 
@@ -50,10 +51,17 @@ def words_of(text: str | None) -> list[str]:
     """The words that are compared. Pure numbers are numbering and are left out, on both sides."""
     if not text:
         return []
-    s = _HYPHEN.sub("", _TAG.sub("", text)).replace("\u00ad", "").replace("\u200b", "")
+    s = _TAG.sub("", text) if "<" in text else text
+    if "\n" in s:
+        s = _HYPHEN.sub("", s)
     if not s.isascii():
-        s = unicodedata.normalize("NFKC", s)
-    return [w for x in _WORD.findall(s.casefold().replace("_", " ")) if not (w := x.replace("'", "").replace("’", "")).isdigit()]
+        s = unicodedata.normalize("NFKC", s.replace("\u00ad", "").replace("\u200b", ""))
+    s = s.casefold()
+    if "_" in s:
+        s = s.replace("_", " ")
+    if "'" in s or "\u2019" in s:
+        return [w for x in _WORD.findall(s) if not (w := x.replace("'", "").replace("\u2019", "")).isdigit()]
+    return [w for w in _PLAIN_WORD.findall(s) if not w.isdigit()]
 
 
 def without_stock_lines(items: list[tuple[int, str | None]]) -> list[tuple[int, list[str]]]:
