@@ -19,7 +19,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -88,6 +89,7 @@ _SINGLE_PAIRS = [(read, meant) for read in READ_SINGLE for meant in SINGLE if re
 LOOK_ALIKES = frozenset("АВЕЅІЈКМНОРСТХЗаеѕіјорсухԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχγηωհոսօցզԼ")
 
 
+@lru_cache(maxsize=65536)
 def _script(c: str) -> str:
     return unicodedata.name(c, "?").partition(" ")[0]
 
@@ -130,6 +132,14 @@ def is_anomaly(text: str, i: int) -> bool:
     return False
 
 
+_PLAIN = frozenset(("Lu", "Ll", "Lo", "Pd", "Pi", "Pf", "Ps", "Po", "Sc", "No"))
+
+
+@lru_cache(maxsize=4096)
+def _is_plain(c: str) -> bool:
+    return unicodedata.category(c) in _PLAIN or c in "°†‡§¶"
+
+
 def _is_evidence(c: str) -> bool:
     """Whether a character speaks for a wrong encoding: no space, no invisible one, no mark, no look-alike."""
     return _C1.match(c) is not None or (c.isprintable() and not c.isspace() and c not in LOOK_ALIKES and not unicodedata.combining(c) and not "\uff00" <= c <= "\uffef" and not "\ufb00" <= c <= "\ufb06")
@@ -160,7 +170,7 @@ def _whole_words(line: str, places: list[int], lo: int, hi: int) -> tuple[int, i
     return lo, hi
 
 
-def _transcode(chars: list[str], read: str, meant: str) -> list[str | None]:
+def _transcode(chars: Iterable[str], read: str, meant: str) -> list[str | None]:
     """Each character as it was meant; None where it is not in either encoding."""
     table, made = _TABLES[read], _MEANT[meant]
     return [None if (b := table.get(c)) is None or b < 0x80 else made[b] for c in chars]
@@ -183,6 +193,25 @@ def _classes(points: np.ndarray) -> np.ndarray:
     return p
 
 
+def _class(c: str) -> int:
+    """`_classes` of one character."""
+    n = ord(c)
+    if n > 127:
+        return n
+    if 48 <= n <= 57:
+        return 48
+    if 65 <= n <= 90:
+        return 65
+    if 97 <= n <= 122:
+        return 97 if c in "aeiou" else 98
+    return 32 if n < 65 else n
+
+
+def _bucket(a: str, b: str) -> int:
+    """`pair_bucket` of one pair."""
+    return ((_class(a) * 0x9E3779B1 + _class(b) * 0x85EBCA6B) >> 7) & (BUCKETS - 1)
+
+
 def _points(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
@@ -302,9 +331,8 @@ class Repairer:
         known = self.pairs.get(a + b)
         if known is None:
             own = 6.0 if b == "\ufffd" or _C1.match(b) else 0.0
-            p = _classes(_points(a + b))
             odd = a > "\x7f" or b > "\x7f"
-            known = own + (float(self.surprise[int(pair_bucket(p[:1], p[1:])[0])]) if odd else 0.0)
+            known = own + (float(self.surprise[_bucket(a, b)]) if odd else 0.0)
             if len(self.pairs) < 500_000:
                 self.pairs[a + b] = known
         return known
@@ -337,7 +365,11 @@ class Repairer:
         if not any(anomaly) and sum(e and n > COMMON for e, n in zip(evidence, now, strict=True)) < 2:
             return line
         best, gain = line, 0.0
+        hot = {c for c, e, n in zip(chars, evidence, now, strict=True) if e and n > COMMON} or set(chars)
         for read, meant in _SINGLE_PAIRS:
+            # The oddest characters must become something that words are written with.
+            if not any(y is not None and x != y and _is_plain(y) for x, y in zip(hot, _transcode(hot, read, meant), strict=True)):
+                continue
             fixed = _transcode(chars, read, meant)
             if not any(e and y is not None and x != y for x, y, e in zip(chars, fixed, evidence, strict=True)):
                 continue

@@ -104,6 +104,15 @@ def _wrong(text: str, codec: str, layers: int = 1) -> str:
     return text
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=20))
+def test_costs_agree(repairer, text):
+    """Pair by pair and over arrays."""
+    padded = f"\n{text}\n"
+    own = [garbled._bucket(a, b) for a, b in zip(padded, padded[1:], strict=False) if a > "\x7f" or b > "\x7f"]
+    assert own == garbled._buckets(text).tolist()
+
+
 def test_clean_text_stays(repairer):
     for t in [*CLEAN, "", "plain", "a" * 100000, "é" * 20000]:
         assert repairer.repair(t) == (False, t, 0)
