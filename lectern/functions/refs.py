@@ -53,7 +53,7 @@ class SearchText:
         return offset + (self.removed[k - 1] if k else 0)
 
 
-@dataclass
+@dataclass(slots=True)
 class Found:
     """A reference in a text; offsets in characters of the original text, the end exclusive."""
 
@@ -111,14 +111,15 @@ class Finder:
         ahead = _CHAPTER_AHEAD.match
         return [(m.start(), m.end()) for m in self._candidate.finditer(text) if ahead(text, m.end())]
 
-    def search(self, original: str) -> list[Found]:
+    def search(self, original: str, with_parts: bool = True) -> list[Found]:
+        """Every reference in order. Without parts, the places of single segments are left out, which is faster."""
         text = SearchText(original)
         t = text.text
         spans = self.candidates(t)
         found: list[Found] = []
         for k, (start, end) in enumerate(spans):
             stop = spans[k + 1][0] if k + 1 < len(spans) else len(t)
-            if (f := self._read(t, start, end, stop)) is not None:
+            if (f := self._read(t, start, end, stop, with_parts)) is not None:
                 found.append(f)
         if self.options.context_book is not None or self._heading:
             found += self._bare(t, found, [s for s, _ in spans])
@@ -166,7 +167,7 @@ class Finder:
             return None
         return tr.keys[m[0].lower()], m.start(), m.end()
 
-    def _read(self, t: str, start: int, end: int, stop: int) -> Found | None:
+    def _read(self, t: str, start: int, end: int, stop: int, with_parts: bool) -> Found | None:
         """The reference behind a name. Names and tails recur, so what they say is remembered."""
         if self.options.translations is not None:
             return self._read_anew(t, start, end, stop)
@@ -199,6 +200,8 @@ class Finder:
             return None
         if glued and not dotted and (sign is None or roman):
             return None  # as in codes: a verse is needed, and no Roman numeral
+        if not with_parts:
+            return Found(start, end + size, book, segments)
         parts = [Written(start if k == 0 else end + w[0], end + w[1], None if w[2] is None else end + w[2]) for k, w in enumerate(written)]
         return Found(start, end + size, book, segments, None, None, parts)
 

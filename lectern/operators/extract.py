@@ -70,7 +70,7 @@ def extract_refs(df: DataFrame, canon: Canon, text: str = "text", keys: list[str
         for batch in batches:
             source, numbers, books, segments, spots, written, named = [], [], [], [], [], [], []
             for i, t in enumerate(batch.column(n).to_pylist()):
-                found = search(t)
+                found = search(t, False)
                 if not found:
                     continue
                 places = Places(t) if located else None
