@@ -33,6 +33,8 @@ from ..tables import spread
 
 #: Pairs are counted in so many buckets: the size of the table that goes to the workers, whatever the corpus.
 BUCKETS = 1 << 17
+#: Share of all pairs below which pairs are equally rare, and what every pair costs besides.
+RAREST, OFFSET = 1.3e-6, 0.29
 #: Nested layers that are undone at most. Each layer doubles the bytes of a character.
 MAX_LAYERS = 4
 #: Wrong readings of UTF-8.
@@ -116,7 +118,7 @@ def is_anomaly(text: str, i: int) -> bool:
             return True
         if before.isalpha() and before not in "ªºµ":
             return (c.isupper() and (before.islower() or behind.islower())) or (_script(before) != _script(c) and c not in LOOK_ALIKES and before not in LOOK_ALIKES)
-        if c.isupper() and behind.isupper() and text[i + 2 : i + 3].islower():
+        if behind.isupper() and (c.islower() or c.isupper() and text[i + 2 : i + 3].islower()):
             return True
         return behind.isalpha() and behind not in "ªºµ" and _script(behind) != _script(c) and c not in LOOK_ALIKES and behind not in LOOK_ALIKES
     if c in "¤¦¬¨¯¸´":
@@ -240,12 +242,18 @@ def _buckets(s: str) -> np.ndarray:
     return pair_bucket(p[at], p[at + 1]).astype(np.int64)
 
 
+def surprise_of(counts: np.ndarray) -> np.ndarray:
+    """Surprise in nats by the share that a bucket has of all pairs: it does not depend on the size of the corpus."""
+    share = counts / max(float(counts.sum()), 1.0)
+    return (OFFSET - np.log(share + RAREST)).astype(np.float32)
+
+
 def surprise_table(counts: DataFrame) -> np.ndarray:
-    """Surprise of each bucket in nats; at most BUCKETS rows come to the driver, half a megabyte."""
+    """Surprise of each bucket; at most BUCKETS rows come to the driver, half a megabyte."""
     table = np.zeros(BUCKETS)
     got = counts.toPandas()
     table[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return (math.log(table.sum() + BUCKETS) - np.log(table + 0.5)).astype(np.float32)
+    return surprise_of(table)
 
 
 class Repairer:

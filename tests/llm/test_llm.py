@@ -95,7 +95,7 @@ CLEAN = [
 def repairer():
     text = "\n".join(CLEAN * 200)
     table = np.bincount(garbled._buckets(text), minlength=garbled.BUCKETS).astype(float)
-    return garbled.Repairer((np.log(table.sum() + garbled.BUCKETS) - np.log(table + 0.5)).astype(np.float32))
+    return garbled.Repairer(garbled.surprise_of(table))
 
 
 def _wrong(text: str, codec: str, layers: int = 1) -> str:
@@ -160,6 +160,12 @@ def test_lost_characters_are_reported(repairer):
     assert repairer.repair("Le pr�f�r�")[0] and not repairer.repair("Leνit and Вaresodan and in Kingѕ")[0]
 
 
+def test_costs_do_not_depend_on_the_size():
+    one = np.bincount(garbled._buckets("\n".join(CLEAN)), minlength=garbled.BUCKETS).astype(float)
+    assert np.allclose(garbled.surprise_of(one), garbled.surprise_of(one * 1000))
+    assert np.isfinite(garbled.surprise_of(one * 0)).all()
+
+
 def test_garbled_frames(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*CLEAN * 20, None, "", _wrong(CLEAN[0], "cp1252")])], "id int, text string")
     got = garbled.garbled_records([("t", df, "id", "text")])
