@@ -45,12 +45,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, if it is so small that a scan would leave most of them without work.
 
-    Spark does not cut files below `spark.sql.files.openCostInBytes`. Below that size for each core the rows
-    are dealt out before an expensive function; what is shuffled is bounded by that size. Larger tables stay
-    as they are scanned.
+    Spark does not cut files below `spark.sql.files.openCostInBytes`. Fewer files than cores, below that size
+    for each core, are dealt out row by row before an expensive function; what is shuffled is bounded by
+    that size. Larger tables stay as they are scanned.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     cost = int(spark._jsparkSession.sessionState().conf().filesOpenCostInBytes())
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if cores > 1 and size < cost * cores else df
+    small = cores > 1 and size < cost * cores and len(df.inputFiles()) < cores
+    return df.repartition(cores) if small else df
