@@ -3,7 +3,7 @@
 A garbled text is re-encoded under the legacy encoding it was wrongly read in and strictly decoded as
 the intended one; the result is taken where a garbling cost drops, and the step is repeated for nested
 layers. The cost of a text is the surprise of its character pairs outside ASCII under pair counts of
-the whole corpus, plus fixed charges for characters that correct text does not hold (C1 controls,
+the corpus' distinct texts, words with an anomaly left out, plus fixed charges for characters that correct text does not hold (C1 controls,
 replacement characters). Two kinds of round trip are tried:
 
 * UTF-8 read as a legacy encoding: every run of characters beyond ASCII is tried by itself, so a text
@@ -63,6 +63,8 @@ _HIGH_RUN = re.compile(r"[^\x00-\x7f]{2,}")  # a character in UTF-8 beyond ASCII
 # A lead whose last trail byte was a no-break space that has become a plain one.
 _LOST_SPACE = re.compile(r"(?:[\u00c2\u00c3]|\u00e2\u20ac|\u00e2\u0080) ")
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
+# A word with a character beyond ASCII; it starts where no word goes on, so long ASCII is passed once.
+_HIGH_WORD = re.compile(r"(?<![\x21-\x7f])[\x21-\x7f]*+[^\x00-\x7f][^\x00-\x20]*+")
 _FIELDS = [T.StructField("garbled", T.BooleanType()), T.StructField("restored", T.StringType()), T.StructField("layers", T.IntegerType())]
 
 
@@ -134,6 +136,21 @@ def is_anomaly(text: str, i: int) -> bool:
     return False
 
 
+@lru_cache(maxsize=65536)
+def _anomaly_between(before: str, rest: str) -> bool:
+    return is_anomaly(before + rest, len(before))
+
+
+def _is_anomaly(text: str, i: int) -> bool:
+    """`is_anomaly`, remembered by the characters that it looks at."""
+    return _anomaly_between(text[i - 1 : i] if i else "", text[i : i + 3])
+
+
+def without_anomalies(text: str) -> str:
+    """The text without the words in which a character is an anomaly: what may count as correct."""
+    return _HIGH_WORD.sub(lambda m: "" if any(c > "\x7f" and _is_anomaly(text, i) for i, c in enumerate(m[0], m.start())) else m[0], text)
+
+
 _PLAIN = frozenset(("Lu", "Ll", "Lo", "Pd", "Pi", "Pf", "Ps", "Po", "Sc", "No"))
 
 
@@ -219,19 +236,22 @@ def _points(s: str) -> np.ndarray:
 
 
 def pair_counts(texts: DataFrame, column: str = "text") -> DataFrame:
-    """``bucket, n`` over all texts; each task sends one partial count for at most BUCKETS buckets."""
+    """``bucket, n`` over the distinct texts without words that hold an anomaly; each task sends one partial count for at most BUCKETS buckets.
+
+    So neither copies nor a garbling that many texts share make its pairs common.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            joined = "\n".join(x for x in batch.column(0).to_pylist() if x)
+            joined = "\n".join(without_anomalies(x) for x in batch.column(0).to_pylist() if x)
             if joined:
                 total += np.bincount(_buckets(joined), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
     high = texts.select(F.col(column).cast("string").alias("t")).where(F.col("t").rlike(r"[^\x00-\x7F]"))
-    return high.mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return high.distinct().mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def _buckets(s: str) -> np.ndarray:
@@ -287,7 +307,7 @@ class Repairer:
             run = m[0]
             if not any(_might_be_utf8(run, codec) for codec in READ_AS):
                 return run
-            odd = any(is_anomaly(text, i) for i in range(m.start(), m.end()))
+            odd = any(_is_anomaly(text, i) for i in range(m.start(), m.end()))
             words = not odd and all(c.isalpha() and c not in "ªºµ" or unicodedata.category(c) in ("Cf", "Zs", "Mn") for c in run)
             latin = all(c <= "\u024f" for c in run)
             if strict and words and not latin:
@@ -366,10 +386,11 @@ class Repairer:
         if not chars:
             return line
         now = self._locals(line, chars, places)
-        if max(now) <= ODD_CHARACTER:
-            return line
         evidence = [_is_evidence(c) for c in chars]
-        anomaly = [e and is_anomaly(line, i) for e, i in zip(evidence, places, strict=True)]
+        anomaly = [e and _is_anomaly(line, i) for e, i in zip(evidence, places, strict=True)]
+        # An anomaly is tried however common it is.
+        if not any(anomaly) and max(now) <= ODD_CHARACTER:
+            return line
         if not any(anomaly) and sum(e and n > COMMON for e, n in zip(evidence, now, strict=True)) < 2:
             return line
         best, gain = line, 0.0

@@ -175,6 +175,16 @@ def test_garbled_frames(spark):
     assert garbled.garbled_records([("t", df.limit(0), "id", "text")]).count() == 0
 
 
+@pytest.mark.parametrize("codec", ["mac_roman", "cp850"])
+def test_frequent_garbling_is_found(spark, codec):
+    """A third of all rows garbled by one reading, and copies of them, do not become correct."""
+    wrong = [t.encode("cp1252").decode(codec) for t in CLEAN[:2] + CLEAN[3:4]]
+    texts = CLEAN * 20 + wrong * 37
+    got = garbled.garbled_records([("t", spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text")])
+    found = {r["row_id"]: r["repair"]["restored"] for r in got.where("repair.garbled").collect()}
+    assert found == {i: CLEAN[(0, 1, 3)[(i - len(CLEAN) * 20) % 3]] for i in range(len(CLEAN) * 20, len(texts))}
+
+
 # --- 4: look-alikes -------------------------------------------------------------------------------
 
 
