@@ -151,14 +151,6 @@ def without_anomalies(text: str) -> str:
     return _HIGH_WORD.sub(lambda m: "" if any(c > "\x7f" and _is_anomaly(text, i) for i, c in enumerate(m[0], m.start())) else m[0], text)
 
 
-_PLAIN = frozenset(("Lu", "Ll", "Lo", "Pd", "Pi", "Pf", "Ps", "Po", "Sc", "No"))
-
-
-@lru_cache(maxsize=4096)
-def _is_plain(c: str) -> bool:
-    return unicodedata.category(c) in _PLAIN or c in "°†‡§¶"
-
-
 def _is_evidence(c: str) -> bool:
     """Whether a character speaks for a wrong encoding: no space, no invisible one, no mark, no look-alike."""
     return _C1.match(c) is not None or (c.isprintable() and not c.isspace() and c not in LOOK_ALIKES and not unicodedata.combining(c) and not "\uff00" <= c <= "\uffef" and not "\ufb00" <= c <= "\ufb06")
@@ -189,10 +181,17 @@ def _whole_words(line: str, places: list[int], lo: int, hi: int) -> tuple[int, i
     return lo, hi
 
 
+def _meant_as(read: str, meant: str) -> dict[str, str | None]:
+    """Characters of a reading as they were meant; None where the byte means nothing."""
+    return {c: _MEANT[meant][b] for c, b in _TABLES[read].items() if b >= 0x80}
+
+
+_MEANT_AS = {pair: _meant_as(*pair) for pair in _SINGLE_PAIRS}
+
+
 def _transcode(chars: Iterable[str], read: str, meant: str) -> list[str | None]:
     """Each character as it was meant; None where it is not in either encoding."""
-    table, made = _TABLES[read], _MEANT[meant]
-    return [None if (b := table.get(c)) is None or b < 0x80 else made[b] for c in chars]
+    return list(map(_MEANT_AS[read, meant].get, chars))
 
 
 def pair_bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -394,12 +393,13 @@ class Repairer:
         if not any(anomaly) and sum(e and n > COMMON for e, n in zip(evidence, now, strict=True)) < 2:
             return line
         best, gain = line, 0.0
-        hot = {c for c, e, n in zip(chars, evidence, now, strict=True) if e and n > COMMON} or set(chars)
-        for read, meant in _SINGLE_PAIRS:
-            # The oddest characters must become something that words are written with.
-            if not any(y is not None and x != y and _is_plain(y) for x, y in zip(hot, _transcode(hot, read, meant), strict=True)):
+        tried = set()
+        for pair in _SINGLE_PAIRS:
+            fixed = _transcode(chars, *pair)
+            # Pairs that make the same of the line are tried once.
+            if (made := tuple(fixed)) in tried:
                 continue
-            fixed = _transcode(chars, read, meant)
+            tried.add(made)
             if not any(e and y is not None and x != y for x, y, e in zip(chars, fixed, evidence, strict=True)):
                 continue
             after = self._locals(line, [x if y is None else y for x, y in zip(chars, fixed, strict=True)], places)

@@ -185,6 +185,14 @@ def test_frequent_garbling_is_found(spark, codec):
     assert found == {i: CLEAN[(0, 1, 3)[(i - len(CLEAN) * 20) % 3]] for i in range(len(CLEAN) * 20, len(texts))}
 
 
+@pytest.mark.parametrize(("text", "read", "meant"), [("a board of 3×4 ells", "mac_roman", "cp1252"), ("about 10\u00a0000 men", "cp437", "cp1252"), ("about 10\u00a0000 men", "cp850", "cp1252")])
+def test_signs_and_spaces_are_restored(text, read, meant):
+    """Lines whose only odd character meant a sign or a no-break space."""
+    table = np.bincount(garbled._buckets("\n".join([*CLEAN * 200, *[text] * 100])), minlength=garbled.BUCKETS).astype(float)
+    r = garbled.Repairer(garbled.surprise_of(table))
+    assert r.repair(text.encode(meant).decode(read)) == (True, text, 1) and r.repair(text) == (False, text, 0)
+
+
 # --- 4: look-alikes -------------------------------------------------------------------------------
 
 
