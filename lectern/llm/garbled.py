@@ -11,7 +11,7 @@ replacement characters). Two kinds of round trip are tried:
 * one legacy encoding read as another: a line at a time, since any byte decodes; here the cost decides.
 
 Odd input: null and empty texts are no cases and stay as they are; texts of any length are read whole;
-what cannot be restored (replacement characters, lost bytes) is reported and left.
+what cannot be restored (replacement characters, lead bytes whose trail bytes are lost) is reported and left.
 """
 
 from __future__ import annotations
@@ -63,6 +63,15 @@ _HIGH_RUN = re.compile(r"[^\x00-\x7f]{2,}")  # a character in UTF-8 beyond ASCII
 # A lead whose last trail byte was a no-break space that has become a plain one.
 _LOST_SPACE = re.compile(r"(?:[\u00c2\u00c3]|\u00e2\u20ac|\u00e2\u0080) ")
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
+# What is left of UTF-8 read as a legacy encoding where trail bytes were dropped or became '?'.
+_LOST_TRAIL = re.compile(
+    "(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])[\u00c2\u00c3\u00c4\u00c5\u00ce\u00cf\u00d0\u00d1](?![A-Z])"  # a capital lead behind a small letter
+    "|(?<=[A-Za-z])[\u251c\u252c]|(?<=[a-z])\u221a(?=[a-z?]|$)"  # C3 and C2 in cp437, cp850, and C3 in mac_roman
+    "|(?<=[a-z])[\u0393\u0413\u0446](?![\u0370-\u052f])"  # C3 in cp1253, cp1251, koi8-r
+    "|(?<![^\\W_])[\u00c2\u00c3]\\?"  # a lead without a word before it; 'AMANHÃ?' is one
+    "|\u00e2\\?+(?=[a-z])|\u00e2\\?{2}"
+    "|\u00e2\u20ac|\u201a\u00c4|\u0393\u00c7|\u00d4\u00c7|\u0432\u0402|\u03b2\u20ac"  # E2 80 in cp1252, mac_roman, cp437, cp850, cp1251, cp1253
+)
 # A word with a character beyond ASCII; it starts where no word goes on, so long ASCII is passed once.
 _HIGH_WORD = re.compile(r"(?<![\x21-\x7f])[\x21-\x7f]*+[^\x00-\x7f][^\x00-\x20]*+")
 _FIELDS = [T.StructField("garbled", T.BooleanType()), T.StructField("restored", T.StringType()), T.StructField("layers", T.IntegerType())]
@@ -453,7 +462,7 @@ class Repairer:
             other, more = self._layers(text, True)
             if other != s and self.cost(other) < self.cost(s):
                 s, layers = other, more
-        return s != text or "�" in text or bool(_C1.search(text)), s, layers
+        return s != text or "�" in text or bool(_C1.search(text)) or bool(_LOST_TRAIL.search(text)), s, layers
 
 
 _LEADS = {codec: frozenset(c for c, b in _TABLES[codec].items() if 0xC2 <= b <= 0xF4) for codec in READ_AS}

@@ -193,6 +193,16 @@ def test_signs_and_spaces_are_restored(text, read, meant):
     assert r.repair(text.encode(meant).decode(read)) == (True, text, 1) and r.repair(text) == (False, text, 0)
 
 
+@pytest.mark.parametrize("text", ["LuÃs went home", "the cafÃ? is open", "donâ€?t", "he said â€", "an Ã?tre", "donâ?t go", "donâ??t go", "Lu├s went", "caf√? then", "LuΓs went", "LuГs went", "the â€\nnext"])
+def test_lost_trail_bytes_are_reported(repairer, text):
+    assert repairer.repair(text)[0]
+
+
+@pytest.mark.parametrize("text", ["AMANHÃ? NÃO", "Olá? Âge? São?", "√2 and x = √y", "пять? âge", "Ñandú, Ångström, Äpfel", "10 Γ and Δ", "What â?"])
+def test_leads_in_correct_text_stay(repairer, text):
+    assert repairer.repair(text) == (False, text, 0)
+
+
 # --- 4: look-alikes -------------------------------------------------------------------------------
 
 
