@@ -259,6 +259,13 @@ def overlap_join(spark, sf_dir):
     return algebra.interval_join(p, p).groupBy(F.col("l_book_id").alias("book_id")).agg(F.count("*").alias("pairs"), F.sum("l_k").alias("ks"))
 
 
+@query(f"WITH {S.positions_sql()} SELECT a.book_id, count(*) AS pairs, CAST(sum(a.k) AS BIGINT) AS ks FROM pos a JOIN pos b ON a.book_id = b.book_id AND a.pos_start <= b.pos_end AND b.pos_start <= a.pos_end GROUP BY a.book_id")
+def overlap_join_all(spark, sf_dir):
+    """Pairs of segments that share a verse: all segments against all."""
+    p = _positions(spark, sf_dir).select("k", "book_id", "pos_start", "pos_end")
+    return algebra.interval_join(p, p).groupBy(F.col("l_book_id").alias("book_id")).agg(F.count("*").alias("pairs"), F.sum("l_k").alias("ks"))
+
+
 _PASSAGES = "(43, 2, 5, 3, 4), (66, 1, 1, 2, 9), (10, 4, 3, 4, 20)"
 _FILTER_SQL = f"WITH {S.positions_sql()}, f(book_id, sc, sv, ec, ev) AS (VALUES {_PASSAGES}), fp AS (SELECT book_id, {S.position_sql('book_id', 'sc', 'sv')} AS s, {S.position_sql('book_id', 'ec', 'ev')} AS e FROM f)"
 _PASSAGE_LIST = ((43, [verses(2, 5, 3, 4)]), (66, [verses(1, 1, 2, 9)]), (10, [verses(4, 3, 4, 20)]))

@@ -468,6 +468,22 @@ def test_contract_queries_match_sql(spark):
         assert got == want, name
 
 
+def test_overlap_join_over_all_keys(spark):
+    """Against brute force over every segment, no key left out."""
+    from collections import Counter
+
+    from lectern.plans import registry
+
+    q = registry.queries()
+    seg = q["positions"](spark, str(DATA)).selectExpr("k", "pos_start s", "pos_end e", "bcv_start DIV 1000000 b").collect()
+    want, ks = Counter(), Counter()
+    for x in seg:
+        n = sum(x["b"] == y["b"] and x["s"] <= y["e"] and y["s"] <= x["e"] for y in seg)
+        want[x["b"]] += n
+        ks[x["b"]] += n * x["k"]
+    assert {r["book_id"]: (r["pairs"], r["ks"]) for r in q["overlap_join_all"](spark, str(DATA)).collect()} == {b: (n, ks[b]) for b, n in want.items()}
+
+
 def test_nothing_outside_imports_the_training_data_package():
     for p in (ROOT / "lectern").rglob("*.py"):
         if "llm" not in p.parts:
