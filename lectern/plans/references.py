@@ -16,11 +16,15 @@ from . import synthetic as S
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, style: str | None = None):
+    """``style``: the query is registered once more, over all keys (`synthetic.register_all`)."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql
+        if style:
+            S.register_all(QUERIES, ORACLE_SQL, f, style)
         return f
 
     return add
@@ -31,8 +35,8 @@ def _refs(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
     return extract.extract_refs(S.documents_of(spark, sf_dir, **more), S.canon(spark, sf_dir), located=False)
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.explode_segments(_refs(spark, sf_dir), ["k", "style"])
+def _segments(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    return extract.explode_segments(_refs(spark, sf_dir, **more), ["k", "style"])
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,11 +122,12 @@ _SENTENCE = "'They say, see '"
     f"""WITH {S.segments_sql()}
 SELECT k, 1 AS ref_no, length({_SENTENCE}) AS start_char, length({_SENTENCE}) AS start_byte, 1 AS line, length({_SENTENCE}) + 1 AS col_char,
   length({_SENTENCE}) + length(b.book || ' ' || sc || ':' || sv) AS end_char, b.book || ' ' || sc || ':' || sv AS written
-FROM segs JOIN default_books b ON b.id = book_id WHERE style = 0"""
+FROM segs JOIN default_books b ON b.id = book_id WHERE style = 0""",
+    style="0",
 )
-def extract_places(spark, sf_dir):
+def extract_places(spark, sf_dir, style=None):
     """Offsets, lines and columns of references."""
-    docs = S.documents_of(spark, sf_dir).where("style = 0")
+    docs = S.documents_of(spark, sf_dir, style=style).where("style = 0")
     r = extract.extract_refs(docs, S.canon(spark, sf_dir), keys=["k"])
     return r.select("k", "ref_no", "start_char", "start_byte", "line", "col_char", "end_char", "written")
 
@@ -130,11 +135,12 @@ def extract_places(spark, sf_dir):
 @query(
     f"""WITH {S.segments_sql()}
 SELECT k, 2 AS line, 3 + 1 + 4 AS start_char, (1 + 4 + 1 + 1) + (2 + 2 + 1 + 1) AS start_byte, 3 + 1 + 4 + 1 AS start_utf16, 4 + 1 AS col_char, 4 + 2 + 1 AS col_byte, 4 + 1 AS col_utf16
-FROM segs WHERE style = 0"""
+FROM segs WHERE style = 0""",
+    style="0",
 )
-def extract_utf16(spark, sf_dir):
+def extract_utf16(spark, sf_dir, style=None):
     """Offsets in the three units behind characters of one to four bytes."""
-    docs = S.ref_texts(spark, sf_dir).where("style = 0").select("k", F.concat(F.lit("a\U0001f4d6b\néé  "), "ref").alias("text"))
+    docs = S.ref_texts(spark, sf_dir, style=style).where("style = 0").select("k", F.concat(F.lit("a\U0001f4d6b\néé  "), "ref").alias("text"))
     r = extract.extract_refs(docs, S.canon(spark, sf_dir), keys=["k"])
     return r.select("k", "line", "start_char", "start_byte", "start_utf16", "col_char", "col_byte", "col_utf16")
 
@@ -143,33 +149,35 @@ def extract_utf16(spark, sf_dir):
     f"""WITH {S.segments_sql()}
 SELECT k, 1 AS part_no, sc, sv, length({_SENTENCE}) AS start_char, b.book || ' ' || sc || ':' || sv AS written FROM segs JOIN default_books b ON b.id = book_id WHERE style = 4 AND seg_no = 1
 UNION ALL SELECT k, 2, sc, sv, length({_SENTENCE}) + length(b.book || ' ' || (SELECT f.sc || ':' || f.sv FROM segs f WHERE f.k = s.k AND f.seg_no = 1) || '; '),
-  CAST(CASE WHEN kind = 0 THEN sv ELSE sc END AS VARCHAR) FROM segs s JOIN default_books b ON b.id = book_id WHERE style = 4 AND seg_no = 2"""
+  CAST(CASE WHEN kind = 0 THEN sv ELSE sc END AS VARCHAR) FROM segs s JOIN default_books b ON b.id = book_id WHERE style = 4 AND seg_no = 2""",
+    style="4",
 )
-def extract_parts(spark, sf_dir):
+def extract_parts(spark, sf_dir, style=None):
     """Where each segment of a reference is written."""
-    docs = S.documents_of(spark, sf_dir).where("style = 4")
+    docs = S.documents_of(spark, sf_dir, style=style).where("style = 4")
     return extract.extract_parts(docs, S.canon(spark, sf_dir), keys=["k"]).select("k", "part_no", "sc", "sv", "start_char", "written")
 
 
 @query(
     f"""WITH {S.segments_sql()}
 SELECT k, b.book || ' ' || c || ':999 does not exist' AS message, CASE WHEN true THEN b.book || ' ' || c || ' has ' || {S.NV.format(b="b", c="c").replace("b *", "keys.b *")} || ' verses' END AS detail
-FROM keys JOIN default_books b ON b.id = keys.b WHERE style = 5"""
+FROM keys JOIN default_books b ON b.id = keys.b WHERE style = 5""",
+    style="5",
 )
-def problems(spark, sf_dir):
+def problems(spark, sf_dir, style=None):
     """References that do not exist, with what does."""
-    docs = S.documents_of(spark, sf_dir).where("style = 5")
+    docs = S.documents_of(spark, sf_dir, style=style).where("style = 5")
     return extract.find_problems(docs, S.canon(spark, sf_dir), keys=["k"]).select("k", "message", "detail")
 
 
 _NAMES = "CASE k % 3 WHEN 0 THEN 'ESV' WHEN 1 THEN 'KJV' END"
 
 
-@query(f"WITH {S.segments_sql()} SELECT {_NAMES} AS translation, count(*) AS refs FROM segs WHERE style IN (0, 1) GROUP BY 1")
-def translation_counts(spark, sf_dir):
+@query(f"WITH {S.segments_sql()} SELECT {_NAMES} AS translation, count(*) AS refs FROM segs WHERE style IN (0, 1) GROUP BY 1", style="{key} % 2")
+def translation_counts(spark, sf_dir, style=None):
     """Translations named behind references, by an alias in every other case."""
     name = F.when(F.col("k") % 3 == 0, " (ESV)").when(F.col("k") % 3 == 1, F.when(F.col("k") % 2 == 0, ", av").otherwise(" KJV")).otherwise(" and more")
-    docs = S.ref_texts(spark, sf_dir).where("style IN (0, 1)").select("k", F.concat(F.lit("see "), "ref", name).alias("text"))
+    docs = S.ref_texts(spark, sf_dir, style=style).where("style IN (0, 1)").select("k", F.concat(F.lit("see "), "ref", name).alias("text"))
     tr = Translations(("ESV", "KJV"), (("AV", "KJV"),))
     r = extract.extract_refs(docs, S.canon(spark, sf_dir), options=Options(translations=tr))
     return r.groupBy("translation").agg(F.count("*").alias("refs"))
@@ -178,12 +186,13 @@ def translation_counts(spark, sf_dir):
 @query(
     f"""WITH {S.segments_sql()}
 SELECT k, book_id, sc, sv FROM segs WHERE style = 0
-UNION ALL SELECT k, 1 + book_id % {S.N_BOOKS}, 1, 2 FROM segs WHERE style = 0"""
+UNION ALL SELECT k, 1 + book_id % {S.N_BOOKS}, 1, 2 FROM segs WHERE style = 0""",
+    style="0",
 )
-def heading_context(spark, sf_dir):
+def heading_context(spark, sf_dir, style=None):
     """References without a book's name belong to the heading before them."""
     books = table(spark, sf_dir, "default_books").select((F.col("id")).alias("b2"), F.col("book").alias("next"))
-    d = S.ref_texts(spark, sf_dir).where("style = 0")
+    d = S.ref_texts(spark, sf_dir, style=style).where("style = 0")
     cv = F.regexp_extract("ref", r"(\d+:\d+)$", 1)
     name = F.regexp_replace("ref", r" \d+:\d+$", "")
     d = d.withColumn("b2", F.expr(f"CAST(1 + (1 + k % {S.N_BOOKS}) % {S.N_BOOKS} AS INT)")).join(books, "b2")
@@ -192,18 +201,18 @@ def heading_context(spark, sf_dir):
     return extract.explode_segments(r, ["k"]).select("k", "book_id", "sc", "sv")
 
 
-@query(f"WITH {S.segments_sql()} SELECT k, 43 AS book_id, 1 AS sc, CAST(1 + k % 12 AS INT) AS sv FROM keys WHERE style = 1")
-def context_book(spark, sf_dir):
+@query(f"WITH {S.segments_sql()} SELECT k, 43 AS book_id, 1 AS sc, CAST(1 + k % 12 AS INT) AS sv FROM keys WHERE style = 1", style="1")
+def context_book(spark, sf_dir, style=None):
     """References without a name in a text about one book."""
-    docs = S.ref_texts(spark, sf_dir).where("style = 1").select("k", F.concat(F.lit("At 7 he read 1:"), (1 + F.col("k") % 12).cast("string"), F.lit(" aloud.")).alias("text"))
+    docs = S.ref_texts(spark, sf_dir, style=style).where("style = 1").select("k", F.concat(F.lit("At 7 he read 1:"), (1 + F.col("k") % 12).cast("string"), F.lit(" aloud.")).alias("text"))
     r = extract.extract_refs(docs, S.canon(spark, sf_dir), options=Options(context_book=43), located=False)
     return extract.explode_segments(r, ["k"]).select("k", "book_id", "sc", "sv")
 
 
-@query(f"WITH {S.segments_sql()} SELECT k, b AS book_id, CASE WHEN {S.NCH.format(b='b')} = 1 THEN 3 ELSE 4 END AS kind, {S.NCH.format(b='b')} AS ec FROM keys WHERE style = 2")
-def books_alone(spark, sf_dir):
+@query(f"WITH {S.segments_sql()} SELECT k, b AS book_id, CASE WHEN {S.NCH.format(b='b')} = 1 THEN 3 ELSE 4 END AS kind, {S.NCH.format(b='b')} AS ec FROM keys WHERE style = 2", style="2")
+def books_alone(spark, sf_dir, style=None):
     """Books named without a chapter, as whole books."""
-    docs = S.ref_texts(spark, sf_dir).where("style = 2").select("k", F.concat(F.lit("All of "), F.regexp_replace("ref", r" \d+$", ""), F.lit(" is short.")).alias("text"))
+    docs = S.ref_texts(spark, sf_dir, style=style).where("style = 2").select("k", F.concat(F.lit("All of "), F.regexp_replace("ref", r" \d+$", ""), F.lit(" is short.")).alias("text"))
     r = extract.extract_refs(docs, S.canon(spark, sf_dir), options=Options(books_alone=True), located=False)
     return extract.explode_segments(r, ["k"]).select("k", "book_id", "kind", "ec")
 
@@ -244,11 +253,12 @@ def verse_heatmap(spark, sf_dir):
 
 @query(
     f"""WITH {S.positions_sql()}, v AS (SELECT k, seg_no, book_id, unnest(generate_series(pos_start, pos_end)) AS pos FROM pos WHERE style IN (1, 7))
-SELECT book_id, k, seg_no, count(*) AS verses FROM v GROUP BY ALL"""
+SELECT book_id, k, seg_no, count(*) AS verses FROM v GROUP BY ALL""",
+    style="1 + 6 * ({key} % 2)",
 )
-def verse_list(spark, sf_dir):
+def verse_list(spark, sf_dir, style=None):
     """Verses listed one by one, counted per segment."""
-    v = algebra.verses(_segments(spark, sf_dir).where("style IN (1, 7)"), S.canon(spark, sf_dir), ["k"])
+    v = algebra.verses(_segments(spark, sf_dir, style=style).where("style IN (1, 7)"), S.canon(spark, sf_dir), ["k"])
     return v.groupBy("book_id", "k", "seg_no").agg(F.count("*").alias("verses"))
 
 
@@ -293,11 +303,12 @@ def _passages_frame(spark, sf_dir):
 @query(
     f"""WITH {S.positions_sql()}, x AS (SELECT k % 7 AS g, * FROM pos WHERE style = 0),
 m AS (SELECT g, book_id, pos_start, pos_end, max(pos_end) OVER (PARTITION BY g, book_id ORDER BY pos_start, pos_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x)
-SELECT g, book_id, CAST(count(*) FILTER (WHERE reach IS NULL OR pos_start > reach + 1) AS BIGINT) AS segments FROM m GROUP BY g, book_id"""
+SELECT g, book_id, CAST(count(*) FILTER (WHERE reach IS NULL OR pos_start > reach + 1) AS BIGINT) AS segments FROM m GROUP BY g, book_id""",
+    style="0",
 )
-def passages_from_verses(spark, sf_dir):
+def passages_from_verses(spark, sf_dir, style=None):
     """Single verses as passages: how many segments are left when neighbours join, also across chapters."""
-    seg = _segments(spark, sf_dir).where("style = 0").withColumn("g", F.col("k") % 7)
+    seg = _segments(spark, sf_dir, style=style).where("style = 0").withColumn("g", F.col("k") % 7)
     merged = algebra.merge_refs(seg.select("g", "book_id", "kind", "sc", "sv", "ec", "ev"), S.canon(spark, sf_dir), ["g"])
     return merged.groupBy("g", "book_id").agg(F.count("*").alias("segments"))
 
@@ -355,11 +366,11 @@ def verses_only_no_single_chapters(spark, sf_dir):
     return _filtered(spark, sf_dir, filters.RefFilter(verses_only=True, single_chapter_books=False))
 
 
-@query(f"WITH {S.segments_sql()} SELECT k, book_id FROM segs WHERE style = 0 AND k % 3 = 1")
-def translation_filter(spark, sf_dir):
+@query(f"WITH {S.segments_sql()} SELECT k, book_id FROM segs WHERE style = 0 AND k % 3 = 1", style="0")
+def translation_filter(spark, sf_dir, style=None):
     """References followed by one translation, under any of its names."""
     name = F.when(F.col("k") % 3 == 0, " (ESV)").when(F.col("k") % 3 == 1, F.when(F.col("k") % 2 == 0, ", av").otherwise(" KJV")).otherwise(" and more")
-    docs = S.ref_texts(spark, sf_dir).where("style = 0").select("k", F.concat(F.lit("see "), "ref", name).alias("text"))
+    docs = S.ref_texts(spark, sf_dir, style=style).where("style = 0").select("k", F.concat(F.lit("see "), "ref", name).alias("text"))
     r = extract.extract_refs(docs, S.canon(spark, sf_dir), options=Options(translations=Translations(("ESV", "KJV"), (("AV", "KJV"),))))
     return filters.RefFilter(translations=("kjv",)).apply(r, S.canon(spark, sf_dir)).select("k", "book_id")
 

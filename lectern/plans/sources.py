@@ -16,19 +16,23 @@ from . import synthetic as S
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, style: str | None = None):
+    """``style``: the query is registered once more, over all keys (`synthetic.register_all`)."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql
+        if style:
+            S.register_all(QUERIES, ORACLE_SQL, f, style)
         return f
 
     return add
 
 
-def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _refs(spark: SparkSession, sf_dir: str, style: str | None = None) -> DataFrame:
     """``k, ref`` of events, style 0 only: ``Name c:v``."""
-    return S.ref_texts(spark, sf_dir, source="events", key="event_id").where("style = 0")
+    return S.ref_texts(spark, sf_dir, source="events", key="event_id", style=style).where("style = 0")
 
 
 _SEGS = S.segments_sql(source="events", key="event_id")
@@ -36,11 +40,11 @@ _SEGS = S.segments_sql(source="events", key="event_id")
 # --- subtitles ------------------------------------------------------------------------------------
 
 
-def _transcripts(spark, sf_dir) -> DataFrame:
+def _transcripts(spark, sf_dir, style=None) -> DataFrame:
     """Three cues; the reference stands in the second one, and a second one in the third."""
     s = lambda n: subtitles.stamp(n)
     t = F.col("k") * 1000
-    return _refs(spark, sf_dir).select(
+    return _refs(spark, sf_dir, style).select(
         "k",
         F.concat(
             F.lit("1\n"), s(t), F.lit(" --> "), s(t + 900), F.lit("\nNothing here.\n\n2\n"), s(t + 1000), F.lit(" --> "), s(t + 1900), F.lit("\nwe read "), "ref", F.lit(" today\n\nthird\n"),
@@ -56,18 +60,19 @@ def _stamp_sql(ms: str) -> str:
 @query(
     f"""WITH {_SEGS}
 SELECT k, 1 AS ref_no, book_id, CAST(2 AS BIGINT) AS cue_id, k * 1000 + 1000 AS cue_start_ms, k * 1000 + 1900 AS cue_end_ms, {_stamp_sql('k * 1000 + 1000')} AS label FROM segs WHERE style = 0
-UNION ALL SELECT k, 2, book_id, CAST(0 AS BIGINT), k * 1000 + 2000, k * 1000 + 2900, {_stamp_sql('k * 1000 + 2000')} FROM segs WHERE style = 0"""
+UNION ALL SELECT k, 2, book_id, CAST(0 AS BIGINT), k * 1000 + 2000, k * 1000 + 2900, {_stamp_sql('k * 1000 + 2000')} FROM segs WHERE style = 0""",
+    style="0",
 )
-def cue_range_join(spark, sf_dir):
+def cue_range_join(spark, sf_dir, style=None):
     """References of transcripts in their cues."""
-    docs = _transcripts(spark, sf_dir)
+    docs = _transcripts(spark, sf_dir, style=style)
     refs = extract.extract_refs(docs, S.canon(spark, sf_dir))
     return subtitles.place_in_cues(refs, subtitles.cue_rows(docs), ["k"]).select("k", "ref_no", "book_id", "cue_id", "cue_start_ms", "cue_end_ms", "label")
 
 
-@query(f"WITH {_SEGS} SELECT count(*) * 3 AS cues, count(*) AS files, CAST(sum(k * 3000 + 3000) AS BIGINT) AS starts FROM keys WHERE style = 0")
-def cue_counts(spark, sf_dir):
-    cues = subtitles.cue_rows(_transcripts(spark, sf_dir))
+@query(f"WITH {_SEGS} SELECT count(*) * 3 AS cues, count(*) AS files, CAST(sum(k * 3000 + 3000) AS BIGINT) AS starts FROM keys WHERE style = 0", style="0")
+def cue_counts(spark, sf_dir, style=None):
+    cues = subtitles.cue_rows(_transcripts(spark, sf_dir, style=style))
     return cues.agg(F.count("*").alias("cues"), F.count_distinct("k").alias("files"), F.sum("start_ms").alias("starts"))
 
 
@@ -84,37 +89,38 @@ def transcript_labels(spark, sf_dir):
 _HEAD = "<html><style>John 1:1</style><p class=\"a\">See&nbsp;<b>"
 
 
-@query(f"WITH {_SEGS} SELECT k, 1 AS ref_no, book_id, sc, sv, length('{_HEAD}') AS source_start, length('{_HEAD}') + length(b.book || ' ' || sc || ':' || sv) AS source_end FROM segs JOIN default_books b ON b.id = book_id WHERE style = 0")
-def html_refs(spark, sf_dir):
+@query(f"WITH {_SEGS} SELECT k, 1 AS ref_no, book_id, sc, sv, length('{_HEAD}') AS source_start, length('{_HEAD}') + length(b.book || ' ' || sc || ':' || sv) AS source_end FROM segs JOIN default_books b ON b.id = book_id WHERE style = 0", style="0")
+def html_refs(spark, sf_dir, style=None):
     """References of pages, placed in the source."""
-    pages = _refs(spark, sf_dir).select("k", F.concat(F.lit(_HEAD), "ref", F.lit("</b> &amp; more</p><p>16 other</p></html>")).alias("html"))
+    pages = _refs(spark, sf_dir, style=style).select("k", F.concat(F.lit(_HEAD), "ref", F.lit("</b> &amp; more</p><p>16 other</p></html>")).alias("html"))
     r = adapters.extract_with(pages, S.canon(spark, sf_dir), html.pieces, html.COLUMNS, content="html")
     s = F.element_at("segments", 1)
     return r.select("k", "ref_no", "book_id", s["sc"].alias("sc"), s["sv"].alias("sv"), "source_start", "source_end")
 
 
-@query(f"WITH {_SEGS} SELECT k, 'See' || chr(160) || b.book || ' ' || sc || ':' || sv || ' & more' || chr(10) || '16 other' || chr(10) AS text FROM segs JOIN default_books b ON b.id = book_id WHERE style = 0")
-def html_text(spark, sf_dir):
+@query(f"WITH {_SEGS} SELECT k, 'See' || chr(160) || b.book || ' ' || sc || ':' || sv || ' & more' || chr(10) || '16 other' || chr(10) AS text FROM segs JOIN default_books b ON b.id = book_id WHERE style = 0", style="0")
+def html_text(spark, sf_dir, style=None):
     """The visible text of pages, in Catalyst."""
-    pages = _refs(spark, sf_dir).select("k", F.concat(F.lit(_HEAD), "ref", F.lit("</b> &amp; more</p><p>16 other</p></html>")).alias("html"))
+    pages = _refs(spark, sf_dir, style=style).select("k", F.concat(F.lit(_HEAD), "ref", F.lit("</b> &amp; more</p><p>16 other</p></html>")).alias("html"))
     return pages.select("k", html.visible_text(F.col("html")).alias("text"))
 
 
-@query(f"WITH {_SEGS} SELECT k, '#:~:text=See-,' || replace(replace(b.book || ' ' || sc || ':' || sv, ' ', '%20'), ':', '%3A') || ',-%26' AS fragment FROM segs JOIN default_books b ON b.id = book_id WHERE style = 0")
-def text_fragments(spark, sf_dir):
+@query(f"WITH {_SEGS} SELECT k, '#:~:text=See-,' || replace(replace(b.book || ' ' || sc || ':' || sv, ' ', '%20'), ':', '%3A') || ',-%26' AS fragment FROM segs JOIN default_books b ON b.id = book_id WHERE style = 0", style="0")
+def text_fragments(spark, sf_dir, style=None):
     """Links to the words on the page, with as much context as makes them unique."""
-    pages = _refs(spark, sf_dir).select("k", F.concat(F.lit(_HEAD), "ref", F.lit("</b> &amp; more</p><p>16 other</p></html>")).alias("html"))
+    pages = _refs(spark, sf_dir, style=style).select("k", F.concat(F.lit(_HEAD), "ref", F.lit("</b> &amp; more</p><p>16 other</p></html>")).alias("html"))
     r = adapters.extract_with(pages, S.canon(spark, sf_dir), html.pieces, html.COLUMNS, content="html")
     return r.select("k", "fragment")
 
 
 @query(
     f"""WITH {_SEGS}
-SELECT k, 1 AS ref_no, '/a~1b/1/m~0n' AS pointer, 4 AS start, book_id, sc, sv FROM segs WHERE style = 0"""
+SELECT k, 1 AS ref_no, '/a~1b/1/m~0n' AS pointer, 4 AS start, book_id, sc, sv FROM segs WHERE style = 0""",
+    style="0",
 )
-def json_refs(spark, sf_dir):
+def json_refs(spark, sf_dir, style=None):
     """References of the strings of JSON documents, by pointer; keys are not searched."""
-    docs = _refs(spark, sf_dir).select("k", F.concat(F.lit('{"John 3:16": 1, "a/b": [2, {"m~n": "see '), "ref", F.lit('"}], "z": null}')).alias("json"))
+    docs = _refs(spark, sf_dir, style=style).select("k", F.concat(F.lit('{"John 3:16": 1, "a/b": [2, {"m~n": "see '), "ref", F.lit('"}], "z": null}')).alias("json"))
     r = adapters.extract_with(docs, S.canon(spark, sf_dir), structured.json_pieces, structured.JSON_COLUMNS, content="json")
     s = F.element_at("segments", 1)
     return r.select("k", "ref_no", "pointer", "start", "book_id", s["sc"].alias("sc"), s["sv"].alias("sv"))
@@ -123,21 +129,22 @@ def json_refs(spark, sf_dir):
 @query(
     f"""WITH {_SEGS}
 SELECT k, 1 AS ref_no, '/r/p[2]/b' AS path, 0 AS start, book_id FROM segs WHERE style = 0
-UNION ALL SELECT k, 2, '/r/q', 6, book_id FROM segs WHERE style = 0"""
+UNION ALL SELECT k, 2, '/r/q', 6, book_id FROM segs WHERE style = 0""",
+    style="0",
 )
-def xml_refs(spark, sf_dir):
+def xml_refs(spark, sf_dir, style=None):
     """References of XML documents, by the deepest element that holds them."""
     name = F.regexp_replace("ref", r" \d+:\d+$", "")
     cv = F.regexp_extract("ref", r"(\d+:\d+)$", 1)
-    docs = _refs(spark, sf_dir).select("k", F.concat(F.lit("<r><p>one</p><p>two <b>"), "ref", F.lit("</b> end</p><q>again "), name, F.lit(" <i>"), cv, F.lit("</i></q></r>")).alias("xml"))
+    docs = _refs(spark, sf_dir, style=style).select("k", F.concat(F.lit("<r><p>one</p><p>two <b>"), "ref", F.lit("</b> end</p><q>again "), name, F.lit(" <i>"), cv, F.lit("</i></q></r>")).alias("xml"))
     r = adapters.extract_with(docs, S.canon(spark, sf_dir), structured.xml_pieces, structured.XML_COLUMNS, content="xml")
     return r.select("k", "ref_no", "path", "start", "book_id")
 
 
-@query(f"WITH {_SEGS} SELECT k, k % 4 = 1 AS failed FROM keys WHERE style IN (0, 1)")
-def broken_documents(spark, sf_dir):
+@query(f"WITH {_SEGS} SELECT k, k % 4 = 1 AS failed FROM keys WHERE style IN (0, 1)", style="{key} % 2")
+def broken_documents(spark, sf_dir, style=None):
     """A document that cannot be read gives an error row and does not stop the others."""
-    docs = S.ref_texts(spark, sf_dir, source="events", key="event_id").where("style IN (0, 1)")
+    docs = S.ref_texts(spark, sf_dir, source="events", key="event_id", style=style).where("style IN (0, 1)")
     docs = docs.select("k", F.when(F.col("k") % 4 == 1, F.concat(F.lit('{"a": '), "ref")).otherwise(F.concat(F.lit('["'), "ref", F.lit('"]'))).alias("json"))
     r = adapters.extract_with(docs, S.canon(spark, sf_dir), structured.json_pieces, structured.JSON_COLUMNS, content="json")
     return r.select("k", F.col("error").isNotNull().alias("failed"))
@@ -173,20 +180,21 @@ def binary_sniff(spark, sf_dir):
 # --- printing -------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_SEGS} SELECT 'f' || k || '.md:1:5: ' || b.book || ' ' || sc || ':' || sv AS line FROM segs JOIN default_books b ON b.id = book_id WHERE style = 0")
-def quickfix_lines(spark, sf_dir):
+@query(f"WITH {_SEGS} SELECT 'f' || k || '.md:1:5: ' || b.book || ' ' || sc || ':' || sv AS line FROM segs JOIN default_books b ON b.id = book_id WHERE style = 0", style="0")
+def quickfix_lines(spark, sf_dir, style=None):
     """``path:line:column: reference``."""
-    docs = _refs(spark, sf_dir).select(F.concat(F.lit("f"), F.col("k").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("see "), "ref").alias("text"))
+    docs = _refs(spark, sf_dir, style=style).select(F.concat(F.lit("f"), F.col("k").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("see "), "ref").alias("text"))
     return sinks.quickfix(extract.extract_refs(docs, S.canon(spark, sf_dir)), S.canon(spark, sf_dir)).select("line")
 
 
 @query(
     f"""WITH {_SEGS}
-SELECT 'f' || k AS path, unnest([1, 2, 3]) AS line_no, unnest(['before', 'see ' || b.book || ' ' || sc || ':' || sv, 'after']) AS line, unnest([false, true, false]) AS hit FROM segs JOIN default_books b ON b.id = book_id WHERE style = 0"""
+SELECT 'f' || k AS path, unnest([1, 2, 3]) AS line_no, unnest(['before', 'see ' || b.book || ' ' || sc || ':' || sv, 'after']) AS line, unnest([false, true, false]) AS hit FROM segs JOIN default_books b ON b.id = book_id WHERE style = 0""",
+    style="0",
 )
-def context_lines(spark, sf_dir):
+def context_lines(spark, sf_dir, style=None):
     """Lines around each hit."""
-    docs = _refs(spark, sf_dir).select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("path"), F.concat(F.lit("far\nbefore\nsee "), "ref", F.lit("\nafter\nfar")).alias("text"))
+    docs = _refs(spark, sf_dir, style=style).select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("path"), F.concat(F.lit("far\nbefore\nsee "), "ref", F.lit("\nafter\nfar")).alias("text"))
     shifted = docs.select("path", F.regexp_replace("text", "^far\n", "").alias("text"))
     return sinks.context_lines(shifted, extract.extract_refs(shifted, S.canon(spark, sf_dir)), before=1, after=1).select("path", "line_no", "line", "hit")
 
@@ -194,19 +202,20 @@ def context_lines(spark, sf_dir):
 @query(
     f"""WITH {_SEGS}
 SELECT k, '{{"path":"f' || k || '","reference":"' || b.book || ' ' || sc || ':' || sv || '","osis":"' || b.osis || '.' || sc || '.' || sv || '","book_id":' || book_id || ',"line":1,"start_byte":4}}' AS json
-FROM segs JOIN default_books b ON b.id = book_id WHERE style = 0"""
+FROM segs JOIN default_books b ON b.id = book_id WHERE style = 0""",
+    style="0",
 )
-def json_rows(spark, sf_dir):
+def json_rows(spark, sf_dir, style=None):
     """One JSON object per reference."""
-    docs = _refs(spark, sf_dir).select("k", F.concat(F.lit("f"), F.col("k").cast("string")).alias("path"), F.concat(F.lit("see "), "ref").alias("text"))
+    docs = _refs(spark, sf_dir, style=style).select("k", F.concat(F.lit("f"), F.col("k").cast("string")).alias("path"), F.concat(F.lit("see "), "ref").alias("text"))
     r = extract.extract_refs(docs, S.canon(spark, sf_dir))
     return sinks.named(r, S.canon(spark, sf_dir)).select("k", F.to_json(F.struct("path", "reference", "osis", "book_id", "line", "start_byte")).alias("json"))
 
 
-@query(f"WITH {_SEGS} SELECT k, 'see ' || b.book || ' ' || sc || ':' || sv || ' today' AS snippet FROM segs JOIN default_books b ON b.id = book_id WHERE style = 0")
-def snippets(spark, sf_dir):
+@query(f"WITH {_SEGS} SELECT k, 'see ' || b.book || ' ' || sc || ':' || sv || ' today' AS snippet FROM segs JOIN default_books b ON b.id = book_id WHERE style = 0", style="0")
+def snippets(spark, sf_dir, style=None):
     """Text around a hit."""
-    docs = _refs(spark, sf_dir).select("k", F.concat(F.lit("see "), "ref", F.lit(" today")).alias("text"))
+    docs = _refs(spark, sf_dir, style=style).select("k", F.concat(F.lit("see "), "ref", F.lit(" today")).alias("text"))
     r = extract.extract_refs(docs, S.canon(spark, sf_dir), keys=["k"]).join(docs, "k")
     cut = F.udf(lambda t, a, b: places.snippet(t, a, b)[0], "string", useArrow=True)
     return r.select("k", cut("text", "start_char", "end_char").alias("snippet"))

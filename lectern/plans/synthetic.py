@@ -1,7 +1,8 @@
 """Texts with references made from integer keys, and the SQL that computes the same references by arithmetic.
 
 Verse counts come from a rule, so that both sides can compute them; names come from the books table.
-A key is written in one of eight styles; the style says what must be found in it.
+A key is written in one of eight styles; the style says what must be found in it. ``style`` is an expression
+in ``{key}``: with another one every key is written in the forms that a query tests.
 """
 
 from __future__ import annotations
@@ -47,11 +48,14 @@ def _int(expression: str) -> str:
     return f"CAST(floor({expression}) AS INT)"
 
 
-def key_columns(key: str) -> dict[str, str]:
+STYLE = "{key} % 8"
+
+
+def key_columns(key: str, style: str | None = None) -> dict[str, str]:
     """``b, c, v, w, d, u, style`` of a key, as nested selects; each may use those before it."""
     return {
         "b": f"CAST(1 + {key} % {N_BOOKS} AS INT)",
-        "style": f"CAST({key} % 8 AS INT)",
+        "style": f"CAST({(style or STYLE).format(key=key)} AS INT)",
         "c": f"CAST(1 + {_int(f'{key} / 7')} % {NCH.format(b='b')} AS INT)",
         "v": f"CAST(1 + {_int(f'{key} / 11')} % {NV.format(b='b', c='c')} AS INT)",
         "w": f"CAST(least({NV.format(b='b', c='c')}, v + 1 + {key} % 5) AS INT)",
@@ -64,10 +68,10 @@ def _roman(c: Column) -> Column:
     return F.element_at(F.array(*[F.lit(roman_text(n)) for n in range(1, 34)]), c)
 
 
-def ref_texts(spark: SparkSession, sf_dir: str, source: str = "orders", key: str = "o_orderkey", extra: tuple[str, ...] = ()) -> DataFrame:
+def ref_texts(spark: SparkSession, sf_dir: str, source: str = "orders", key: str = "o_orderkey", extra: tuple[str, ...] = (), style: str | None = None) -> DataFrame:
     """``k`` (the key), ``extra`` columns, ``style`` and ``ref``, the reference as text."""
     df = spread(table(spark, sf_dir, source).select(F.col(key).cast("bigint").alias("k"), *extra))
-    for name, expression in key_columns("k").items():
+    for name, expression in key_columns("k", style).items():
         df = df.withColumn(name, F.expr(expression))
     books = table(spark, sf_dir, "default_books").select(F.col("id").alias("b"), "book", "abbreviation")
     df = df.join(books, "b")
@@ -83,6 +87,21 @@ def ref_texts(spark: SparkSession, sf_dir: str, source: str = "orders", key: str
     return df.select("k", *extra, "style", text.alias("ref"))
 
 
+def register_all(queries: dict, sql: dict, query, style: str) -> None:
+    """``query`` over the whole table, as ``..._all``: every key in the forms that the query tests, by ``style``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(spark, sf_dir, style=style)
+
+    name = f"{query.__name__}_all"
+    run.__name__, run.__doc__ = name, f"{query.__doc__ or query.__name__} Over every key."
+    queries[name] = run
+    old, new = (f"{key_columns('k', s)['style']} AS style" for s in (None, style))
+    if old not in sql[query.__name__]:
+        raise ValueError(f"{query.__name__} has no style in its SQL")
+    sql[name] = sql[query.__name__].replace(old, new)
+
+
 def documents_of(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
     """``k, style, text``: each reference in a sentence."""
     r = ref_texts(spark, sf_dir, **more)

@@ -484,6 +484,14 @@ def test_overlap_join_over_all_keys(spark):
     assert {r["book_id"]: (r["pairs"], r["ks"]) for r in q["overlap_join_all"](spark, str(DATA)).collect()} == {b: (n, ks[b]) for b, n in want.items()}
 
 
+def test_queries_of_one_style_run_over_every_key(spark):
+    from lectern.plans import registry
+
+    q = registry.queries()
+    for name, source in (("html_refs_all", "events"), ("broken_documents_all", "events"), ("problems_all", "orders"), ("books_alone_all", "orders")):
+        assert q[name](spark, str(DATA)).select("k").distinct().count() == spark.read.parquet(f"{DATA}/{source}.parquet").count(), name
+
+
 def test_nothing_outside_imports_the_training_data_package():
     for p in (ROOT / "lectern").rglob("*.py"):
         if "llm" not in p.parts:
