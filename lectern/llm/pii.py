@@ -66,6 +66,17 @@ def mod23_letter(digits: str, letter: str) -> bool:
     return "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23] == letter.upper()
 
 
+def nie_letter(first: str, digits: str, letter: str) -> bool:
+    """A foreigner's number: X, Y or Z count as a digit before the seven."""
+    return mod23_letter(str("XYZ".index(first.upper())) + digits, letter)
+
+
+def mod11_digit(digits: str) -> bool:
+    """Eight digits and a check digit."""
+    rest = sum(int(d) * (9 - k) for k, d in enumerate(digits[:8])) % 11
+    return len(digits) == 9 and int(digits[8]) == (0 if rest < 2 else 11 - rest)
+
+
 # --- proposals ------------------------------------------------------------------------------------
 
 # Mail addresses, plain or written out.
@@ -89,6 +100,9 @@ _SSN = re.compile(r"\d" + _LEFT + r"\d{2}([- ])\d{2}\1\d{4}" + _RIGHT, re.S)
 _NINO = re.compile(r"[A-Za-z]" + _LEFT + r"[A-Za-z]([ -]?)\d{2}\1\d{2}\1\d{2}\1[A-Da-d]" + _RIGHT, re.S)
 _NIR = re.compile(r"[12]" + _LEFT + r"([ .-]?)\d{2}\1(?:\d{2})\1(?:\d{2}|2[AB])\1\d{3}\1\d{3}\1?\d{2}" + _RIGHT, re.S)
 _DNI = re.compile(r"(\d" + _LEFT + r"\d{7})([- ]?)([A-HJ-NP-TV-Za-hj-np-tv-z])" + _RIGHT, re.S)
+_NIE = re.compile(r"([XYZxyz])" + _LEFT + r"[- ]?(\d{7})[- ]?([A-HJ-NP-TV-Za-hj-np-tv-z])" + _RIGHT, re.S)
+_NIF_PT = re.compile(r"[1235689]" + _LEFT + r"\d{2}([ .]?)\d{3}\1\d{3}" + _RIGHT, re.S)
+_ID_GR = re.compile(r"[ABEZHIKMNOPTYXΑΒΕΖΗΙΚΜΝΟΡΤΥΧ]" + _LEFT + r"[ABEZHIKMNOPTYXΑΒΕΖΗΙΚΜΝΟΡΤΥΧ][ -]?\d{6}" + _RIGHT, re.S)
 _CARD = re.compile(r"[A-Za-z]" + _LEFT + r"\d{2}[A-Za-z]\d{5}" + _RIGHT, re.S)
 _LONG = re.compile(r"\d" + _LEFT + r"(?:[ -]?\d){12,18}" + _RIGHT, re.S)
 _IBAN = re.compile(r"[A-Z]" + _LEFT + r"[A-Z]\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _RIGHT, re.S)
@@ -171,7 +185,7 @@ _NO_GIVEN_NAME = frozenset("A An At By For From He How If In It No Of On Or See
 # Cue words that raise or lower a proposal of a kind.
 _CUES = {
     "phone": re.compile(r"(?i)\b(?:call|ring|phone|tel|tél|telefon\w*|mobile|number|appeler|llamar|ligue|fax|whatsapp|sms|τηλέφωνο|via)\b"),
-    "id_number": re.compile(r"(?i)\b(?:id|identity|identité|ident\w*|social security|sécurité sociale|ausweis\w*|documento|dni|nif|nino|ssn|passport|ταυτότητας|insurance|visitors|sheet|via|card|iban|konto|account)\b"),
+    "id_number": re.compile(r"(?i)\b(?:id|identity|identité|ident\w*|social security|sécurité sociale|ausweis\w*|documento|dni|nie|nif|contribuinte|nino|ssn|passport|ταυτότητας|insurance|visitors|sheet|via|card|iban|konto|account)\b"),
     "address": re.compile(r"(?i)\b(?:address|anschrift|adresse|dirección|endereço|morada|διεύθυνση|meets? at|come to|go to|treffpunkt|rendez-vous|vemos|encontro|lives at|συνάντηση|wohnt)\b"),
 }
 _AGAINST = re.compile(r"(?i)\b(?:isbn|issn|order no\.?|version|build|room|hymn|tracks?|pages?|price|seat|question|verses?|psalm|chapter|meeting on|https?:|www\.)[^\n.!?]{0,20}$")
@@ -247,6 +261,15 @@ def _numbers(text: str) -> Iterator[Span]:
         for m in _DNI.finditer(text, lo, hi):
             base = 0.8 if mod23_letter(m[1], m[3]) else 0.3
             yield Span(m.start(), m.end(), "id_number", _weigh(text, m.start(), m.end(), "id_number", base))
+        for m in _NIE.finditer(text, lo, hi):
+            base = 0.8 if nie_letter(m[1], m[2], m[3]) else 0.3
+            yield Span(m.start(), m.end(), "id_number", _weigh(text, m.start(), m.end(), "id_number", base))
+        # A check digit of one in eleven, or none: a cue must stand beside these.
+        for m in _NIF_PT.finditer(text, lo, hi):
+            if mod11_digit(_digits(m[0])):
+                yield Span(m.start(), m.end(), "id_number", _weigh(text, m.start(), m.end(), "id_number", 0.4))
+        for m in _ID_GR.finditer(text, lo, hi):
+            yield Span(m.start(), m.end(), "id_number", _weigh(text, m.start(), m.end(), "id_number", 0.4))
         for m in _LONG.finditer(text, lo, hi):
             if luhn(_digits(m[0])) and not _IBAN_BEFORE.search(text, max(0, m.start() - 30), m.start()):
                 yield Span(m.start(), m.end(), "id_number", _weigh(text, m.start(), m.end(), "id_number", 0.55))

@@ -413,6 +413,17 @@ def test_spans(text, want):
     assert spans(text) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("su NIE X1234567L consta", ["X1234567L"]), ("Here Y-1234567-X stands", ["Y-1234567-X"]), ("item X1234567A", []), ("NIF 123 456 789 de", ["123 456 789"]), ("o contribuinte 123456789 pagou", ["123456789"]), ("NIF 123 456 788 de", []),
+        ("we counted 123456789 grains", []), ("αριθμός ταυτότητας ΑΒ 123456 εδώ", ["ΑΒ 123456"]), ("ID AK-654321 on file", ["AK-654321"]), ("lot AB 123456 sold", []),
+    ],
+)
+def test_further_identity_numbers(text, want):
+    assert [text[s.start : s.end] for s in pii.find_spans(text) if s.kind == "id_number"] == want
+
+
 def test_checksums():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112") and pii.mod97_iban("GB82 WEST 1234 5698 7654 32") and not pii.mod97_iban("GB82WEST12345698765431")
     assert pii.mod97_key("255081416802538") and not pii.mod97_key("255081416802539") and pii.mod23_letter("12345678", "Z")
