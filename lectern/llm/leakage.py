@@ -1,266 +1,423 @@
 """Evaluation texts leaking into training text: rare n-gram seeds, then Smith-Waterman alignment.
 
-The held-out items are a stated query set; in blocks of a checked size they go to every worker, and all
-documents pass by them once, without a shuffle. A document's seeds are the runs of five words that it
-shares with an item. Pairs of document and item that share a rare seed (one of few items) are aligned by
-Smith-Waterman over the words; the alignment, and the diagonals of all seeds, rare or common, are read
-for runs of the item's consecutive words. Any run of fifteen words whose changed words are six apart
-holds five unchanged words in a row, hence a seed: no leak of that kind escapes.
+Everything is joined on the cluster; no item and no document comes to the driver.
+
+1. Items become hashes of words, without their stock lines. Every five words are a seed. Seeds of few
+   items (rare) are join keys. Where a seed is common, the fifteen words around it become keys instead, one
+   for each way in which one or two of them may be changed: a common seed never multiplies pairs, and none is lost.
+2. All documents pass once by a filter of fixed size over those keys (`FILTER_BITS`, however many items
+   there are). What passes (the hits, and the words around them in blocks) is written to the shared folder.
+3. Hits meet the keys in an equi-join; what is left are pairs of a block and an item with the diagonals to look at.
+4. Each pair is aligned by Smith-Waterman in its sparse form: the stretches of five matching words or more on
+   those diagonals are chained, an edit (a word replaced, inserted or left out) costs a link, and between two
+   edits five words must match, so that changes lie six words apart. The score is the number of the item's consecutive
+   words that the best chain covers; from `RUN` on it is a leak. The band is what edits can shift: one diagonal each.
+5. Where another item's alignment covers the same stretch of the document with fewer edits, the text was
+   taken from that one: items written after one template do not count for each other. Equal scores all count.
 
 Words are compared without case, punctuation, markup, line breaks, hyphenation and numbers (inserted
-numbering). A stock line that opens many items is taken off them first.
+numbering); an item's own numerals count in the length of its runs. A stock line is an item's first sentence
+that stands nowhere else than first, before at least `STOCK_CONTINUATIONS` different second sentences with
+`RUN` words or more behind it; it is taken off once. Questions on one passage share its second sentence,
+so their passage is none. ``stock_lines`` names them outright instead.
 
-Odd input: null and empty texts on either side share nothing; items shorter than the run length cannot
-leak; repeated documents and items are each reported; texts of any length are read whole.
+Odd input: null and empty texts and null ids on either side share nothing; items shorter than the run length cannot
+leak; repeated documents and items are reported once per pair of ids; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import spread
+from ..tables import scratch_path, spread
 
 SEED = 5
 RUN = 15
 #: Changed words within a run lie at least so many words apart.
 APART = 6
-#: A seed is rare if at most so many items, or this share of them, hold it.
-RARE_ITEMS, RARE_SHARE = 2, 0.01
-#: An opening sentence is a stock line if so many items share it.
-STOCK_ITEMS = 3
-#: Words of one block of items; more items make more blocks, each a pass over the documents.
-BLOCK_WORDS = 2_000_000
+#: A seed of at most so many items is a join key by itself. It moves work between the two kinds of keys, never a result.
+RARE_ITEMS = 4
+#: Different second sentences that make a first sentence a stock line.
+STOCK_CONTINUATIONS = 3
+#: Bits of the filter over all keys, 16 MB on each worker, whatever the number of items.
+FILTER_BITS = 1 << 27
+#: Words of a document that are aligned together, besides the longest item's length on both sides.
+BLOCK = 512
+#: Distinct words whose hash a worker remembers. Bounds its memory, not the results.
+KEPT_WORDS = 500_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
-_HYPHEN = re.compile(r"(?<=\w)[-\u2010\u00ad][ \t]*\r?\n[ \t>]*(?=\w)")
-_WORD = re.compile(r"\w+(?:['’]\w+)*")
-_PLAIN_WORD = re.compile(r"\w+")
+_HYPHEN = re.compile(r"(?<=\w)[-‐­][ \t]*\r?\n[ \t>]*(?=\w)")
+_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+")
 
+_M = np.uint64(0x9E3779B97F4A7C15)
 
-def words_of(text: str | None) -> list[str]:
-    """The words that are compared. Pure numbers are numbering and are left out, on both sides."""
-    if not text:
-        return []
+
+def _plain(text: str) -> str:
+    """The text without markup, hyphenation and invisible characters, in compatibility form."""
     s = _TAG.sub("", text) if "<" in text else text
     if "\n" in s:
         s = _HYPHEN.sub("", s)
     if not s.isascii():
-        s = unicodedata.normalize("NFKC", s.replace("\u00ad", "").replace("\u200b", ""))
-    s = s.casefold()
-    if "_" in s:
-        s = s.replace("_", " ")
-    if "'" in s or "\u2019" in s:
-        return [w for x in _WORD.findall(s) if not (w := x.replace("'", "").replace("\u2019", "")).isdigit()]
-    return [w for w in _PLAIN_WORD.findall(s) if not w.isdigit()]
-
-
-def without_stock_lines(items: list[tuple[int, str | None]]) -> list[tuple[int, list[str]]]:
-    """Items as words, without opening sentences that several items share."""
-    left = [(i, t or "") for i, t in items]
-    while True:
-        heads = Counter(" ".join(words_of(_SENTENCE.split(t.strip(), maxsplit=1)[0])) for t in {t for _, t in left} if t)
-        stock = {h for h, n in heads.items() if h and n >= STOCK_ITEMS}
-        cut, changed = [], False
-        for i, t in left:
-            parts = _SENTENCE.split(t.strip(), maxsplit=1)
-            if len(parts) == 2 and " ".join(words_of(parts[0])) in stock:
-                cut.append((i, parts[1]))
-                changed = True
-            else:
-                cut.append((i, t))
-        left = cut
-        if not changed:
-            return [(i, words_of(t)) for i, t in left]
-
-
-def longest_run(same: np.ndarray) -> int:
-    """Length of the longest run of words, from a match to a match, whose changed words are at least APART apart."""
-    at = np.flatnonzero(same)
-    if at.size < SEED:
-        return 0
-    best, start, last_change = 0, int(at[0]), -APART
-    previous = int(at[0])
-    for i in at.tolist()[1:] + [-1]:
-        if i == -1:
-            best = max(best, previous - start + 1)
-            break
-        gap = i - previous - 1
-        if gap == 1 and previous + 1 - last_change >= APART:
-            last_change = previous + 1
-        elif gap >= 1:
-            best = max(best, previous - start + 1)
-            # A run may begin behind the change before, if a single word was changed here.
-            if gap == 1:
-                start, last_change = last_change + 1, previous + 1
-            else:
-                start, last_change = i, -APART
-        previous = i
-    return best
-
-
-def smith_waterman(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Per word of ``item`` whether the best local alignment matches it (1), replaces it (0) or leaves it out (-1).
-
-    Match 2, replacement -1, a word inserted or left out -1. Row by row: the insertions along a row are a
-    running maximum, so a row is a few numpy calls.
+        s = s.replace("­", "").replace("​", "")
+        if not unicodedata.is_normalized("NFKC", s):
+            s = unicodedata.normalize("NFKC", s)
+    return s
+
+
+class Coder:
+    """Words to 64-bit hashes that are the same on every worker; numbers are 0."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def _miss(self, word: str) -> int:
+        w = word.casefold().replace("'", "").replace("’", "")
+        h = 0 if w.isdigit() else int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1
+        if len(word) <= 64:
+            if len(self.known) >= KEPT_WORDS:
+                self.known.clear()
+            self.known[word] = h
+        return h
+
+    def codes(self, text: str | None) -> list[int]:
+        """A hash per word, numbers included as 0."""
+        if not text:
+            return []
+        words = _WORD.findall(_plain(text))
+        got = list(map(self.known.get, words))
+        if None in got:
+            got = [self._miss(w) if g is None else g for w, g in zip(words, got, strict=True)]
+        return got
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _M
+    return h ^ (h >> np.uint64(29))
+
+
+def seeds_of(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit key of every `SEED` words in a row."""
+    n = codes.size - SEED + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    key = np.zeros(n, dtype=np.uint64)
+    for k in range(SEED):
+        key = (key + codes[k : k + n]) * _M
+    return _mixed(key)
+
+
+def _patterns() -> np.ndarray:
+    """Every way in which at most two words within a run may be changed, as rows of 0 (changed) and 1."""
+    inner = range(1, RUN - 1)
+    ways = [(), *((a,) for a in inner), *((a, b) for a in inner for b in inner if b - a >= APART)]
+    out = np.ones((len(ways), RUN), dtype=np.uint64)
+    for row, changed in enumerate(ways):
+        out[row, list(changed)] = 0
+    return out
+
+
+_PATTERNS = _patterns()
+_WEIGHTS = np.random.default_rng(15).integers(1, 1 << 63, size=RUN, dtype=np.uint64) | np.uint64(1)
+
+
+def pattern_keys(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each start, a key of its `RUN` words under each pattern of changes: starts x patterns."""
+    window = codes[starts[:, None] + np.arange(RUN)] * _WEIGHTS
+    return _mixed((window[:, None, :] * _PATTERNS[None, :, :]).sum(axis=2, dtype=np.uint64) + np.arange(1, len(_PATTERNS) + 1, dtype=np.uint64))
+
+
+def _around(places: np.ndarray, n: int) -> np.ndarray:
+    """Starts of the runs of `RUN` words that hold the seeds at ``places``."""
+    starts = np.unique((places[:, None] - np.arange(RUN - SEED + 1)).ravel())
+    return starts[(starts >= 0) & (starts <= n - RUN)]
+
+
+# --- alignment --------------------------------------------------------------------------------------
+
+
+def alignments(doc: np.ndarray, item: np.ndarray, diagonals: Iterable[int], ordinals: np.ndarray | None = None) -> list[tuple[int, int, int, list[int]]]:
+    """Best chains of matching stretches, as ``(score, first, last word in doc, places of edits in doc)``.
+
+    ``ordinals`` are the places of the item's words among all its words, numerals included; scores count in them.
     """
     n, m = item.size, doc.size
-    h = np.zeros((n + 1, m + 1), dtype=np.int32)
-    steps = np.arange(m + 1, dtype=np.int32)
-    for i in range(1, n + 1):
-        diagonal = h[i - 1, :-1] + np.where(doc == item[i - 1], 2, -1)
-        row = np.maximum(np.maximum(diagonal, h[i - 1, 1:] - 1), 0)
-        full = np.concatenate(([0], row)) + steps
-        h[i] = np.maximum.accumulate(full) - steps
-    out = np.full(n, -1, dtype=np.int8)
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    while i > 0 and j > 0 and h[i, j] > 0:
-        s = 2 if doc[j - 1] == item[i - 1] else -1
-        if h[i, j] == h[i - 1, j - 1] + s:
-            out[i - 1] = 1 if s > 0 else 0
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] - 1:
-            out[i - 1] = 0
-            i -= 1
-        else:
-            j -= 1
+    at = ordinals if ordinals is not None else np.arange(n)
+    stretches: list[tuple[int, int, int]] = []
+    near = sorted({e for d in diagonals for e in (d - 1, d, d + 1)})
+    for d in near:
+        lo, hi = max(0, -d), min(n, m - d)
+        if hi - lo < SEED:
+            continue
+        same = np.flatnonzero(np.diff(np.concatenate(([False], doc[lo + d : hi + d] == item[lo:hi], [False])).astype(np.int8)))
+        for a, b in zip((same[::2] + lo).tolist(), (same[1::2] + lo - 1).tolist(), strict=True):
+            if b - a + 1 >= SEED:
+                stretches.append((a, b, d))
+    stretches.sort()
+
+    def equal(i: int, d: int) -> bool:
+        return 0 <= i < n and 0 <= i + d < m and item[i] == doc[i + d]
+
+    def head(i: int, d: int) -> tuple[int, int] | None:
+        """The first matching word when going back from ``i``, and the diagonal."""
+        k = i
+        while equal(k, d):
+            k -= 1
+        return (k + 1, d) if k < i else None
+
+    # Of each stretch: the chain behind it as (first item word, its diagonal, places of edits).
+    chains: list[tuple[int, int, list[int]]] = []
+    out = []
+    for k, (a, b, d) in enumerate(stretches):
+        options: list[tuple[int, int, list[int]]] = [(a, d, [])]
+        # Fewer than five words before an edit may begin a run: replaced, inserted, left out.
+        for i, e, place in ((a - 2, d, a - 1 + d), (a - 1, d - 1, a - 1 + d), (a - 2, d + 1, a + d)):
+            if got := head(i, e):
+                options.append((*got, [place]))
+        for j in range(k):
+            a2, b2, d2 = stretches[j]
+            if d2 == d and a == b2 + 2:
+                options.append((*chains[j][:2], [*chains[j][2], b2 + 1 + d]))
+            elif d2 == d - 1 and a <= b2 + 1 <= b - SEED + 1 and a2 < a:  # a word inserted into the document
+                options.append((*chains[j][:2], [*chains[j][2], b2 + 1 + d2]))
+            elif d2 == d + 1 and a <= b2 + 2 <= b - SEED + 1 and a2 < a:  # a word of the item left out
+                options.append((*chains[j][:2], [*chains[j][2], b2 + 2 + d]))
+        first = min(options, key=lambda o: (int(at[o[0]]), len(o[2])))
+        chains.append(first)
+        # The end: the stretch, and up to four words behind one more edit.
+        best = (int(at[b]) - int(at[first[0]]) + 1, b + d, first[2])
+        for i, e, place in ((b + 2, d, b + 1 + d), (b + 1, d + 1, b + 1 + d), (b + 2, d - 1, b + 1 + d)):
+            if b - a + 1 < SEED or not equal(i, e):
+                continue
+            t = i
+            while equal(t + 1, e):
+                t += 1
+            score = int(at[t]) - int(at[first[0]]) + 1
+            if score > best[0]:
+                best = (score, t + e, [*first[2], place])
+        out.append((best[0], first[0] + first[1], best[1], best[2]))
     return out
 
 
-class ItemIndex:
-    """Seeds of a block of items."""
-
-    def __init__(self, items: list[tuple[int, list[str]]]):
-        self.items = [(i, w) for i, w in items if len(w) >= RUN]
-        self.vocabulary: dict[str, int] = {}
-        self.coded = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], dtype=np.int64) for _, w in self.items]
-        keys, owners, places = [], [], []
-        for k, c in enumerate(self.coded):
-            s = self._seeds(c)
-            keys.append(s)
-            owners.append(np.full(s.size, k))
-            places.append(np.arange(s.size))
-        if keys:
-            key, owner, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
-            order = np.argsort(key, kind="stable")
-            self.keys, self.owner, self.place = key[order], owner[order], place[order]
-        else:
-            self.keys = self.owner = self.place = np.zeros(0, dtype=np.int64)
-        holders = pd.Series(self.owner).groupby(self.keys).nunique() if self.keys.size else pd.Series(dtype=np.int64)
-        self.rare_keys = np.sort(holders[holders <= max(RARE_ITEMS, RARE_SHARE * len(self.items))].index.to_numpy(dtype=np.int64))
-
-    def _seeds(self, coded: np.ndarray) -> np.ndarray:
-        """A 63-bit key of every five words; equal keys are checked by the alignment afterwards."""
-        if coded.size < SEED:
-            return np.zeros(0, dtype=np.int64)
-        key = np.zeros(coded.size - SEED + 1, dtype=np.uint64)
-        for k in range(SEED):
-            key = (key ^ coded[k : coded.size - SEED + 1 + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        return (key >> np.uint64(1)).astype(np.int64)
-
-    def leaks(self, words: list[str]) -> list[int]:
-        """Positions in ``items`` of those that leaked into the document."""
-        if len(words) < SEED or not self.keys.size:
-            return []
-        get = self.vocabulary.get
-        doc = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        known = doc >= 0
-        if int(known.sum()) < SEED:
-            return []
-        whole = np.convolve(known, np.ones(SEED, dtype=np.int64), "valid") == SEED
-        at = np.flatnonzero(whole)
-        if not at.size:
-            return []
-        seeds = self._seeds(doc)[at]
-        lo, hi = np.searchsorted(self.keys, seeds, "left"), np.searchsorted(self.keys, seeds, "right")
-        hit = hi > lo
-        if not hit.any():
-            return []
-        at, seeds, lo, hi = at[hit], seeds[hit], lo[hit], hi[hit]
-        counts = hi - lo
-        postings = np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
-        owner, diagonal = self.owner[postings], np.repeat(at, counts) - self.place[postings]
-        k = np.minimum(np.searchsorted(self.rare_keys, seeds), max(self.rare_keys.size - 1, 0))
-        rare = np.repeat(self.rare_keys[k] == seeds if self.rare_keys.size else np.zeros(seeds.size, dtype=bool), counts)
-        found = []
-        for o in np.unique(owner).tolist():
-            item, mine = self.coded[o], owner == o
-            if rare[mine].any() and self._aligned(doc, item, diagonal[mine]):
-                found.append(o)
-                continue
-            # Exact for the rest: every diagonal that holds a seed, rare or common.
-            if any(longest_run(self._along(doc, item, d)) >= RUN for d in np.unique(diagonal[mine]).tolist()):
-                found.append(o)
-        return found
-
-    @staticmethod
-    def _along(doc: np.ndarray, item: np.ndarray, d: int) -> np.ndarray:
-        j = np.arange(item.size) + d
-        inside = (j >= 0) & (j < doc.size)
-        same = np.zeros(item.size, dtype=bool)
-        same[inside] = doc[j[inside]] == item[inside]
-        return same
-
-    def _aligned(self, doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> bool:
-        """Smith-Waterman of the item with each stretch of the document that its seeds point to."""
-        for first, last in _clusters(np.unique(diagonals), item.size):
-            lo, hi = max(0, first - 8), min(doc.size, last + item.size + 8)
-            if longest_run(smith_waterman(doc[lo:hi], item) == 1) >= RUN:
-                return True
-        return False
-
-
-def _clusters(diagonals: np.ndarray, reach: int) -> list[tuple[int, int]]:
-    """Diagonals that lie within an item's length of each other, as stretches."""
-    cuts = np.flatnonzero(np.diff(diagonals) > reach)
-    starts = np.concatenate(([0], cuts + 1))
-    ends = np.concatenate((cuts, [diagonals.size - 1]))
-    return [(int(diagonals[a]), int(diagonals[b])) for a, b in zip(starts, ends, strict=True)]
-
-
-def leaked_pairs(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``doc_id, item_id`` of every document and every item of which it holds a run of RUN words."""
-    # The query set. Its size is bounded by what a block may hold; a larger one is cut into more passes.
-    rows = [(r[0], r[1]) for r in items.select(F.col("item_id").cast("bigint"), "text").where("item_id IS NOT NULL").toLocalIterator()]
-    worded = without_stock_lines(rows)
-    blocks, size = [[]], 0
-    for i, w in worded:
-        if size and size + len(w) > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((i, w))
-        size += len(w)
-    docs = documents.where(F.col(text).isNotNull() & F.col(doc_key).isNotNull()).select(F.col(doc_key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    docs = spread(docs)
-    result = None
-    for block in blocks:
-        part = docs.mapInArrow(_search(documents.sparkSession.sparkContext.broadcast(block)), "doc_id bigint, item_id bigint")
-        result = part if result is None else result.unionByName(part)
-    return result
-
-
-def _search(shared):
-    state: dict[int, ItemIndex] = {}
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = state.setdefault(0, ItemIndex(shared.value))
+# --- the pipeline -----------------------------------------------------------------------------------
+
+
+def _coded_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of an item, where its first sentence ends, and hashes of its sentences."""
+    coder = Coder()
+
+    def sentence(codes: list[int]) -> int:
+        return int.from_bytes(hashlib.blake2b(np.array(codes, dtype=np.uint64).tobytes(), digest_size=8).digest(), "little", signed=True)
+
+    for batch in batches:
+        rows = []
+        for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parts = [c for s in _SENTENCE.split(text.strip()) if (c := coder.codes(s))]
+            whole = coder.codes(text)
+            if sum(map(len, parts)) != len(whole):  # markup or hyphenation across sentences
+                parts = [whole]
+            rows.append((item_id, np.array(whole, dtype=np.uint64).astype(np.int64).tolist(), len(parts[0]) if parts else 0, [sentence(c) for c in parts]))
+        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.int64())), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.list_(pa.int64()))], names=["item_id", "codes", "head", "sentences"]
+        )
+
+
+def coded_items(items: DataFrame, stock_lines: list[str] | None = None) -> DataFrame:
+    """``item_id, codes`` (hashes of words, 0 for numbers) without the stock lines."""
+    rows = items.where("item_id IS NOT NULL AND trim(text) <> ''").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
+    coded = rows.mapInArrow(_coded_items, "item_id bigint, codes array<bigint>, head int, sentences array<bigint>")
+    first = F.col("sentences")[0]
+    if stock_lines is not None:
+        lines = items.sparkSession.createDataFrame([(0, s) for s in stock_lines], "item_id bigint, text string")
+        stock = lines.mapInArrow(_coded_items, "item_id bigint, codes array<bigint>, head int, sentences array<bigint>").select(first.alias("line"))
+    else:
+        opened = coded.where((F.size("sentences") > 1) & (F.size("codes") - F.col("head") >= RUN))
+        stock = opened.groupBy(first.alias("line")).agg(F.count_distinct(F.col("sentences")[1]).alias("n")).where(F.col("n") >= STOCK_CONTINUATIONS)
+        inside = coded.select(F.explode(F.slice("sentences", 2, 1 << 30)).alias("line"))
+        stock = stock.select("line").join(inside, "line", "left_anti")
+    marked = coded.join(stock.distinct().withColumn("stock", F.lit(True)), first == F.col("line"), "left")
+    kept = F.when(F.col("stock"), F.slice("codes", F.col("head") + 1, 1 << 30)).otherwise(F.col("codes"))
+    return marked.select("item_id", kept.alias("codes")).where(F.size("codes") >= RUN)
+
+
+def _words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes without numbers, and their places among all words."""
+    at = np.flatnonzero(codes)
+    return codes[at].view(np.uint64), at
+
+
+_ITEMS = "item_id bigint, words array<bigint>, ordinals array<int>, seeds array<bigint>"
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items with their words but numbers, the places of these among all, and the seeds."""
+    for batch in batches:
+        columns: tuple[list, ...] = ([], [], [], [])
+        for item_id, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words, at = _words(np.array(codes, dtype=np.int64))
+            for column, value in zip(columns, (item_id, words.view(np.int64), at, seeds_of(words).view(np.int64)), strict=True):
+                column.append(value)
+        types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["item_id", "words", "ordinals", "seeds"])
+
+
+def _item_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the runs around an item's common seeds."""
+    for batch in batches:
+        for item_id, codes, common in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            words = np.array(codes, dtype=np.int64).view(np.uint64)
+            starts = _around(np.array(common, dtype=np.int64), words.size)
+            if starts.size:
+                keys = pattern_keys(words, starts)
+                n = keys.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.full(keys.size, item_id, dtype=np.int64)), pa.array(np.repeat(starts, n).astype(np.int32))], names=["key", "item_id", "place"])
+
+
+def _filters(keys: DataFrame, common: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bit sets over the keys and over the common seeds. At most FILTER_BITS / 64 words of each come to the driver."""
+    bit = F.col("key").bitwiseAND(FILTER_BITS - 1)
+    both = keys.select("key", F.lit(0).alias("kind")).unionByName(common.select("key", F.lit(1).alias("kind")))
+    words = both.groupBy("kind", F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(63).cast("int"))).alias("bits"))
+    out = (np.zeros(FILTER_BITS // 64, dtype=np.uint64), np.zeros(FILTER_BITS // 64, dtype=np.uint64))
+    got = words.toPandas()
+    for kind in (0, 1):
+        mine = got["kind"].to_numpy() == kind
+        out[kind][got["word"].to_numpy()[mine]] = got["bits"].to_numpy()[mine].view(np.uint64)
+    return out
+
+
+def _in(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(FILTER_BITS - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+_BLOCKS = "doc_id bigint, copy bigint, block int, base int, words binary, hits array<struct<key:bigint,pos:int>>"
+
+
+def _screen(shared, reach: int):
+    """Documents to the blocks of their words in which the filter lets something pass."""
+    state: dict[str, Coder] = {}
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = state.setdefault("c", Coder())
+        keys, common = shared.value
+        any_common = bool(common.any())
         for batch in batches:
-            docs, leaked = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k in index.leaks(words_of(text)):
-                    docs.append(doc_id)
-                    leaked.append(index.items[k][0])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(leaked, pa.int64())], names=["doc_id", "item_id"])
-
-    return search
+            for lo in range(0, batch.num_rows, 500):
+                piece = batch.slice(lo, 500)
+                texts = [np.array(coder.codes(t), dtype=np.uint64) for t in piece.column(2).to_pylist()]
+                texts = [t[t != 0] for t in texts]
+                sizes = np.array([t.size for t in texts], dtype=np.int64)
+                flat = np.concatenate(texts) if texts else np.zeros(0, dtype=np.uint64)
+                starts = np.cumsum(sizes) - sizes
+                owner = np.repeat(np.arange(sizes.size), sizes)
+                seeds = seeds_of(flat)
+                # A seed lies in one document.
+                whole = owner[: seeds.size] == owner[SEED - 1 :] if seeds.size else np.zeros(0, dtype=bool)
+                hit = np.flatnonzero(_in(seeds, keys) & whole)
+                pos, found = [hit], [seeds[hit]]
+                if any_common:
+                    often = np.flatnonzero(_in(seeds, common) & whole)
+                    runs = _around(often, flat.size)
+                    runs = runs[owner[runs] == owner[runs + RUN - 1]] if runs.size else runs
+                    for at in range(0, runs.size, 4096):
+                        part = runs[at : at + 4096]
+                        k = pattern_keys(flat, part)
+                        r, c = np.nonzero(_in(k, keys))
+                        pos.append(part[r])
+                        found.append(k[r, c])
+                p, k = np.concatenate(pos), np.concatenate(found)
+                if not p.size:
+                    continue
+                doc = owner[p]
+                local = p - starts[doc]
+                block = local // BLOCK
+                order = np.lexsort((local, block, doc))
+                rows = []
+                edges = np.flatnonzero(np.concatenate(([True], (np.diff(doc[order]) != 0) | (np.diff(block[order]) != 0))))
+                ids, copies = piece.column(0).to_pylist(), piece.column(1).to_pylist()
+                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), order.size], strict=True):
+                    mine = order[a:b]
+                    d, n = int(doc[mine[0]]), int(block[mine[0]])
+                    base = max(0, n * BLOCK - reach)
+                    rows.append((ids[d], copies[d], n, base, texts[d][base : (n + 1) * BLOCK + reach].tobytes(), [{"key": int(x), "pos": int(y)} for x, y in zip(k[mine].view(np.int64), local[mine], strict=True)]))
+                columns = list(zip(*rows, strict=True))
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32())]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "copy", "block", "base", "words", "hits"])
+
+    return screen
+
+
+_RUNS = "doc_id bigint, copy bigint, item_id bigint, first int, last int, edits array<int>"
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block and an item to the runs whose score reaches `RUN`."""
+    for batch in batches:
+        rows = []
+        get = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        for i in range(batch.num_rows):
+            words, at = np.array(get["item_words"][i].as_py(), dtype=np.int64).view(np.uint64), np.array(get["ordinals"][i].as_py())
+            doc = np.frombuffer(get["words"][i].as_py(), dtype=np.uint64)
+            base = get["base"][i].as_py()
+            for score, first, last, edits in alignments(doc, words, [d - base for d in get["diagonals"][i].as_py()], at):
+                if score >= RUN:
+                    rows.append((get["doc_id"][i].as_py(), get["copy"][i].as_py(), get["item_id"][i].as_py(), first + base, last + base, [e + base for e in edits]))
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "copy", "item_id", "first", "last", "edits"])
+
+
+def leaked_runs(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", stock_lines: list[str] | None = None, rare_items: int = RARE_ITEMS) -> DataFrame:
+    """``doc_id, copy, item_id, first, last, edits``: aligned runs, by the words of the document; ``copy`` tells texts of one id apart."""
+    spark = documents.sparkSession
+    # The item side, written once: it is read by several joins.
+    coded_at, keys_at, blocks_at = (scratch_path(spark, f"leak-{x}") for x in ("items", "keys", "blocks"))
+    coded_items(items, stock_lines).mapInArrow(_item_seeds, _ITEMS).write.parquet(coded_at)
+    coded = spark.read.schema(_ITEMS).parquet(coded_at)
+    seeds = coded.select("item_id", F.posexplode("seeds").alias("place", "key"))
+    common = seeds.groupBy("key").agg(F.count_distinct("item_id").alias("n")).where(F.col("n") > rare_items).select("key")
+    rare = seeds.join(common, "key", "left_anti").select("key", "item_id", "place")
+    places = seeds.join(common, "key", "left_semi").groupBy("item_id").agg(F.collect_set("place").alias("common"))
+    patterns = coded.join(places, "item_id").select("item_id", "words", "common").mapInArrow(_item_patterns, "key bigint, item_id bigint, place int")
+    rare.unionByName(patterns).distinct().write.parquet(keys_at)
+    keys = spark.read.schema("key bigint, item_id bigint, place int").parquet(keys_at)
+    reach = int(coded.agg(F.max(F.size("words"))).first()[0] or 0) + RUN
+    shared = spark.sparkContext.broadcast(_filters(keys, common))
+    docs = documents.where(F.col(text).isNotNull() & F.col(doc_key).isNotNull()).select(F.col(doc_key).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
+    spread(docs).mapInArrow(_screen(shared, reach), _BLOCKS).write.parquet(blocks_at)
+    blocks = spark.read.schema(_BLOCKS).parquet(blocks_at)
+    hits = blocks.select("doc_id", "copy", "block", F.explode("hits").alias("h")).select("doc_id", "copy", "block", F.col("h.key").alias("key"), F.col("h.pos").alias("pos"))
+    pairs = hits.join(keys, "key").groupBy("doc_id", "copy", "block", "item_id").agg(F.collect_set(F.col("pos") - F.col("place")).alias("diagonals"))
+    full = pairs.join(blocks.select("doc_id", "copy", "block", "base", "words").dropDuplicates(["doc_id", "copy", "block"]), ["doc_id", "copy", "block"]).join(coded.select("item_id", F.col("words").alias("item_words"), "ordinals"), "item_id")
+    return full.select("doc_id", "copy", "item_id", "base", "words", "diagonals", "item_words", "ordinals").mapInArrow(_align, _RUNS)
+
+
+def leaked_pairs(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", stock_lines: list[str] | None = None, rare_items: int = RARE_ITEMS) -> DataFrame:
+    """``doc_id, item_id`` of every document and every item of which it holds a run of `RUN` words that no other item explains better."""
+    spark = documents.sparkSession
+    runs_at = scratch_path(spark, "leak-runs")
+    leaked_runs(documents, items, doc_key, text, stock_lines, rare_items).distinct().write.parquet(runs_at)
+    runs = spark.read.schema(_RUNS).parquet(runs_at)
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    # Another run of the same stretch, but for less than a seed at either end; both meet in the block where the worse one's middle lies.
+    better = runs.select("doc_id", "copy", F.col("item_id").alias("b_item"), F.col("first").alias("b_first"), F.col("last").alias("b_last"), F.col("edits").alias("b_edits"), F.explode(F.sequence(block("first"), block("last"))).alias("block"))
+    edited = runs.where(F.size("edits") > 0).withColumn("block", F.floor((F.col("first") + F.col("last")) / 2 / BLOCK))
+    covered = edited.join(better, ["doc_id", "copy", "block"]).where(
+        (F.col("b_item") != F.col("item_id"))
+        & (F.col("b_first") < F.col("first") + SEED)
+        & (F.col("b_last") > F.col("last") - SEED)
+        & (F.size(F.filter("b_edits", lambda p: (p >= F.col("first")) & (p <= F.col("last")))) < F.size("edits"))
+    )
+    worse = covered.select("doc_id", "copy", "item_id", "first", "last").distinct()
+    return runs.join(worse, ["doc_id", "copy", "item_id", "first", "last"], "left_anti").select("doc_id", "item_id").distinct()

@@ -321,72 +321,119 @@ def test_encode_column(spark, encoders):
 
 # --- 7: leakage -----------------------------------------------------------------------------------
 
-_ITEM = "The lonely {} carried nine silver lanterns across the frozen marsh while every clerk of Orvenhall counted seven broken wheels beside the granary door until morning came at last"
+_ITEM = "The lonely {0} carried nine silver lanterns across the frozen marsh while every clerk of Orvenhall counted seven broken wheels beside the granary door until {0} came at last"
 
 
 def _items(n=6):
-    return [(i, "Answer in one word. " + _ITEM.format(f"quorl{i}") + f" and quorl{i} wept.") for i in range(n)]
+    return [(i, "Answer in one word. " + _ITEM.format(f"quorl{i}") + f" and quorl{i} wept. Then quorl{i} slept.") for i in range(n)]
 
 
 def _brute(doc, item):
-    """Runs read off every diagonal."""
-    d, w = leakage.words_of(doc), leakage.words_of(item)
+    """Most consecutive words of the item that a full table of alignments covers, edits six words apart."""
     best = 0
-    for shift in range(-len(w), len(d)):
-        same = np.array([0 <= j + shift < len(d) and d[j + shift] == x for j, x in enumerate(w)])
-        best = max(best, leakage.longest_run(same))
+    # state[i][j]: (matches since the last edit, up to five; 9 where there was none) to the first item word of the run.
+    state = [[{} for _ in range(len(doc) + 1)] for _ in range(len(item) + 1)]
+
+    def put(i, j, key, first):
+        if first < state[i][j].get(key, 1 << 30):
+            state[i][j][key] = first
+
+    for i in range(len(item) + 1):
+        for j in range(len(doc) + 1):
+            for key, first in state[i][j].items():
+                if i < len(item) and j < len(doc) and item[i] == doc[j]:
+                    put(i + 1, j + 1, key if key == 9 else min(5, key + 1), first)
+                if key >= 5:
+                    for a, b in ((1, 1), (0, 1), (1, 0)):
+                        if i + a <= len(item) and j + b <= len(doc):
+                            put(i + a, j + b, 0, first)
+            if i < len(item) and j < len(doc) and item[i] == doc[j]:
+                put(i + 1, j + 1, 9, i)
+            if i and j and item[i - 1] == doc[j - 1]:
+                best = max([best, *(i - first for key, first in state[i][j].items() if key)])
     return best
 
 
+def test_alignments_against_a_full_table():
+    rnd = random.Random(5)
+    seen = set()
+    for _ in range(400):
+        item = [rnd.randrange(1, 60) for _ in range(rnd.randint(15, 26))]
+        a = rnd.randrange(4)
+        doc = item[a : a + rnd.randint(10, 24)]
+        k = rnd.randint(1, 8)
+        while k < len(doc):
+            kind = rnd.randrange(4)
+            doc[k : k + 1] = {0: [99], 1: [doc[k], 98], 2: [], 3: [97, 96]}[kind if kind < 3 or rnd.random() < 0.3 else 0]
+            k += rnd.randint(4, 9)
+        doc = [0] * rnd.randrange(4) + doc + [0] * rnd.randrange(4)
+        d, w = np.array(doc, dtype=np.uint64), np.array(item, dtype=np.uint64)
+        got = max((x[0] for x in leakage.alignments(d, w, range(-len(w), len(d)))), default=0)
+        want = _brute(doc, item)
+        assert (got >= leakage.RUN) == (want >= leakage.RUN), (doc, item, got, want)
+        seen.add(want >= leakage.RUN)
+    assert seen == {True, False}
+
+
 @pytest.mark.parametrize(
     ("same", "run"),
-    [("1" * 15, 15), ("1" * 14, 14), ("11111011111", 11), ("111101111011111", 10), ("1111101111101111", 16), ("111110011111", 5), ("0111111110", 8), ("1" * 7 + "0" + "1" * 7, 15), ("11111010111110", 7), ("1111111" + "0" + "1111" + "0" + "111111", 12)],
+    [("1" * 15, 15), ("1" * 14, 14), ("11111011111", 11), ("111101111011111", 10), ("1111101111101111", 16), ("111110011111", 5), ("1" * 7 + "0" + "1" * 7, 15), ("1111111" + "0" + "1111" + "0" + "111111", 12)],
 )
-def test_longest_run(same, run):
-    assert leakage.longest_run(np.array([c == "1" for c in same])) == run
-
+def test_runs_on_one_diagonal(same, run):
+    item = np.arange(1, len(same) + 1, dtype=np.uint64)
+    doc = np.where([c == "1" for c in same], item, np.uint64(10**6)).astype(np.uint64)
+    assert max(x[0] for x in leakage.alignments(doc, item, [0])) == run
 
-def test_words():
-    assert leakage.words_of("They “don’t” <i>sell</i> **cou-\n> nted** [2] FULL　Ｗidth") == ["they", "dont", "sell", "counted", "full", "width"]
 
+def test_pattern_keys_name_every_allowed_change():
+    item = np.arange(1, 16, dtype=np.uint64)
+    own = set(leakage.pattern_keys(item, np.array([0]))[0].tolist())
+    for changed in ((), (7,), (4, 10), (1, 13), (3, 8)):
+        doc = item.copy()
+        doc[list(changed)] = 77
+        shared = own & set(leakage.pattern_keys(doc, np.array([0]))[0].tolist())
+        assert bool(shared) == (len(changed) < 2 or changed[1] - changed[0] >= leakage.APART)
 
-def test_leaks_against_brute_force():
-    rnd = random.Random(3)
-    items = leakage.without_stock_lines(_items())
-    assert all(w[0] == "the" for _, w in items)
-    index = leakage.ItemIndex(items)
-    for _ in range(150):
-        i = rnd.randrange(len(items))
-        w = list(items[i][1])
-        a = rnd.randrange(len(w))
-        part = w[a : a + rnd.randint(5, 25)]
-        for k in range(rnd.randint(0, 8), len(part), rnd.randint(4, 12)):
-            part[k] = "changed"
-        doc = " ".join(["filler"] * rnd.randint(0, 9) + part + ["more"] * 3)
-        got = {index.items[k][0] for k in index.leaks(leakage.words_of(doc))}
-        want = {j for j, x in items if _brute(doc, " ".join(x)) >= leakage.RUN}
-        assert want <= got and not got - want
 
-
-def test_smith_waterman_bridges_inserted_words():
-    item = np.arange(30)
-    doc = np.concatenate((np.arange(8), [99, 98], np.arange(8, 30)))
-    got = leakage.smith_waterman(doc, item)
-    assert (got == 1).all()
-    assert (leakage.smith_waterman(np.array([5]), np.array([7])) == -1).all()
+def test_codes():
+    c = leakage.Coder()
+    got = c.codes("They “don’t” <i>sell</i> **cou-\n> nted** [2] FULL　Ｗidth_x")
+    assert got == [*c.codes("they dont sell counted"), 0, *c.codes("full width x")] and 0 not in c.codes("x2 two")
+    assert c.codes(None) == c.codes("") == c.codes(" ?! ") == []
 
 
 def test_leaked_pairs(spark):
-    items = spark.createDataFrame([*_items(), (7, None), (8, ""), (9, "short item")], "item_id bigint, text string")
+    items = spark.createDataFrame([*_items(), (7, None), (8, ""), (9, "short item"), (None, _ITEM)], "item_id bigint, text string")
     text = _ITEM.format("quorl2")
-    long = "noise " * 30000 + text.upper()
-    d = spark.createDataFrame([(1, text.replace(" ", "\n")), (2, None), (3, ""), (4, long), (5, "Answer in one word."), (5, text), (6, "word list: " + " ".join(sorted(text.split())))], "doc_id bigint, text string").withColumn("item_id", F.lit("clash"))
+    long = "noise " * 30000 + text.upper() + " noise" * 2000
+    edited = text.replace("frozen", "muddy").replace("wheels", "carts")
+    inserted = text.replace("frozen", "frozen 12a").replace("wheels beside", "wheels 3 beside")
+    d = spark.createDataFrame(
+        [(1, text.replace(" ", "\n")), (2, None), (3, ""), (4, long), (5, "Answer in one word."), (5, text), (5, text), (6, "word list: " + " ".join(sorted(text.split()))), (7, edited), (8, inserted), (9, " ".join(text.split()[4:18])), (None, text)], "doc_id bigint, text string"
+    ).withColumn("item_id", F.lit("clash")).withColumn("codes", F.lit(1))
     got = rows(leakage.leaked_pairs(d, items))
-    assert {x for x, _ in got} == {1, 4, 5} and (1, 2) in got and (4, 2) in got
-    assert rows(leakage.leaked_pairs(d, items, block_words=40)) == got
+    # Of the items of one template only that whose own words stand in the document counts.
+    assert got == [(1, 2), (4, 2), (5, 2), (7, 2), (8, 2)]
+    # All seeds common, or all rare: the same pairs.
+    assert rows(leakage.leaked_pairs(d, items, rare_items=0)) == got == rows(leakage.leaked_pairs(d, items, rare_items=99))
     assert leakage.leaked_pairs(d.limit(0), items).count() == 0 and leakage.leaked_pairs(d, items.limit(0)).count() == 0
 
 
+def test_no_passage_is_taken_for_a_stock_line(spark):
+    passage = "Old Merrowin measured the copper gate. It was found plain by the watch. Nine carts of salt stood behind it in the rain until noon."
+    items = [(k, f"{passage} {q}") for k, q in enumerate(("Who measured the gate?", "What stood in the rain?", "When did the carts leave the gate behind?"))]
+    one = [(10 + k, f"Whoever slept in the mill heard the grinding of lamps until the door was shut for good. {q}") for k, q in enumerate(("Who slept?", "What was heard?", "What was shut?"))]
+    stock = [(20 + k, "Read this and answer. " + _ITEM.format(f"quorl{k}") + f" near the wall{k}. Why?") for k in range(4)]
+    frame = spark.createDataFrame([*items, *one, *stock], "item_id bigint, text string")
+    kept = {r[0]: sum(1 for c in r[1] if c) for r in leakage.coded_items(frame).collect()}
+    coder = leakage.Coder()
+    assert all(kept[k] == len(coder.codes(t)) for k, t in [*items, *one]) and all(kept[k] == len(coder.codes(t)) - 4 for k, t in stock)
+    named = {r[0]: len(r[1]) for r in leakage.coded_items(frame, ["Old Merrowin measured the copper gate."]).collect()}
+    assert named[0] == kept[0] - 6 and named[20] == kept[20] + 4
+    docs = spark.createDataFrame([(1, "note: " + passage), (2, one[0][1])], "doc_id bigint, text string")
+    assert rows(leakage.leaked_pairs(docs, frame)) == [(1, 0), (1, 1), (1, 2), (2, 10), (2, 11), (2, 12)]
+
+
 # --- 8: personal data -----------------------------------------------------------------------------
 
 
