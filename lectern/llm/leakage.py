@@ -44,7 +44,7 @@ RUN = 15
 #: Changed words within a run lie at least so many words apart.
 APART = 6
 #: A seed of at most so many items is a join key by itself. It moves work between the two kinds of keys, never a result.
-RARE_ITEMS = 4
+RARE_ITEMS = 32
 #: Different second sentences that make a first sentence a stock line.
 STOCK_CONTINUATIONS = 3
 #: Bits of the filter over all keys, 16 MB on each worker, whatever the number of items.
