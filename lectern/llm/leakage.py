@@ -361,21 +361,100 @@ def _screen(shared, reach: int):
 _RUNS = "doc_id bigint, copy bigint, item_id bigint, first int, last int, edits array<int>"
 
 
+#: Cells that are compared at once.
+_CELLS = 1 << 22
+
+
+def _offsets(column: pa.Array) -> np.ndarray:
+    at = column.offsets.to_numpy().astype(np.int64)
+    return at - at[0]
+
+
+def worth_aligning(doc: np.ndarray, doc_at: np.ndarray, item: np.ndarray, item_at: np.ndarray, row: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Which pairs can reach `RUN` at all, over all pairs at once: ``doc[doc_at[r]:doc_at[r + 1]]`` with the item of the same row.
+
+    A pair with one stretch reaches its length and what lies behind an edit on either side; any with more is worth it.
+    """
+    pairs = doc_at.size - 1
+    worth = np.zeros(pairs, dtype=bool)
+    # Each diagonal and its neighbours, once per pair.
+    reach = int(doc.size + item.size) + 2
+    keys = np.unique((np.repeat(row, 3) * (2 * reach) + np.repeat(diagonal, 3) + np.tile([-1, 0, 1], row.size) + reach).astype(np.int64))
+    r, d = keys // (2 * reach), keys % (2 * reach) - reach
+    n, m = np.diff(item_at)[r], np.diff(doc_at)[r]
+    lo = np.maximum(0, -d)
+    size = np.maximum(np.minimum(n, m - d) - lo, 0)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // _CELLS)) + 1).tolist(), keys.size]
+    # A pair's diagonals stay together.
+    cuts = sorted({int(np.searchsorted(r, r[c])) if c < keys.size else c for c in cuts})
+    for c0, c1 in zip(cuts, cuts[1:], strict=False):
+        rr, dd, ll, ss, kk = r[c0:c1], d[c0:c1], lo[c0:c1], size[c0:c1], keys[c0:c1]
+        begin = np.cumsum(ss) - ss
+        total = int(ss.sum())
+        if not total:
+            continue
+        owner = np.repeat(np.arange(ss.size), ss)
+        cell = np.arange(total)
+        i = cell - begin[owner] + ll[owner]
+        same = doc[doc_at[rr[owner]] + i + dd[owner]] == item[item_at[rr[owner]] + i]
+        first = cell == begin[owner]
+        last = np.concatenate((first[1:], [True]))
+        back = cell - np.maximum.accumulate(np.where(~same, cell, np.where(first, cell - 1, -1)))
+        turned = np.minimum.accumulate(np.where(~same, cell, np.where(last, cell + 1, total + 1))[::-1])[::-1]
+        ahead = np.where(same, turned - cell, 0)
+        back = np.where(same, back, 0)
+        ends = np.flatnonzero(same & (back >= SEED) & (ahead == 1))
+        if not ends.size:
+            continue
+        many = np.bincount(rr[owner[ends]], minlength=pairs) > 1
+        length = back[ends]
+        b, own = i[ends], owner[ends]
+        a = b - length + 1
+
+        def gain(at: np.ndarray, shift: int, runs: np.ndarray) -> np.ndarray:
+            """Words behind one edit, with the edit; all that there can be where the diagonal was not compared."""
+            want = kk[own] + shift
+            k = np.minimum(np.searchsorted(kk, want), kk.size - 1)
+            known, inside = kk[k] == want, (at >= ll[k]) & (at < ll[k] + ss[k])
+            got = runs[np.where(known & inside, begin[k] + at - ll[k], 0)]
+            return np.where(~known, SEED, np.where(inside & (got > 0), np.minimum(got, SEED) + 1, 0))
+
+        head = np.maximum.reduce([gain(a - 2, 0, back), gain(a - 1, -1, back), gain(a - 2, 1, back)])
+        tail = np.maximum.reduce([gain(b + 2, 0, ahead), gain(b + 1, 1, ahead), gain(b + 2, -1, ahead)])
+        worth |= many
+        worth[rr[own[length + head + tail >= RUN]]] = True
+    return worth
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a block and an item to the runs whose score reaches `RUN`."""
-    for batch in batches:
-        rows = []
-        get = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-        for i in range(batch.num_rows):
-            words, at = np.array(get["item_words"][i].as_py(), dtype=np.int64).view(np.uint64), np.array(get["ordinals"][i].as_py())
-            doc = np.frombuffer(get["words"][i].as_py(), dtype=np.uint64)
-            base = get["base"][i].as_py()
-            for score, first, last, edits in alignments(doc, words, [d - base for d in get["diagonals"][i].as_py()], at):
-                if score >= RUN:
-                    rows.append((get["doc_id"][i].as_py(), get["copy"][i].as_py(), get["item_id"][i].as_py(), first + base, last + base, [e + base for e in edits]))
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "copy", "item_id", "first", "last", "edits"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 5000):
+            # A copy without offsets into larger buffers.
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in whole.slice(at, 5000).columns], names=whole.schema.names)
+            get = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            items, item_at = get["item_words"].flatten().to_numpy().view(np.uint64), _offsets(get["item_words"])
+            ordinals = get["ordinals"].flatten().to_numpy()
+            _, starts, data = get["words"].buffers()
+            doc_at = np.frombuffer(starts, dtype=np.int32)[get["words"].offset :][: batch.num_rows + 1].astype(np.int64) // 8
+            docs = np.frombuffer(data, dtype=np.uint64, count=int(doc_at[-1]))
+            base = get["base"].to_numpy().astype(np.int64)
+            pointed, pointed_at = get["diagonals"].flatten().to_numpy().astype(np.int64), _offsets(get["diagonals"])
+            row = np.repeat(np.arange(batch.num_rows), np.diff(pointed_at))
+            pointed = pointed - base[row]
+            worth = worth_aligning(docs, doc_at, items, item_at, row, pointed)
+            # Numerals lengthen what a run covers.
+            worth |= ordinals[item_at[1:] - 1] != np.diff(item_at) - 1
+            rows = []
+            for i in np.flatnonzero(worth).tolist():
+                part = slice(item_at[i], item_at[i + 1])
+                for score, first, last, edits in alignments(docs[doc_at[i] : doc_at[i + 1]], items[part], pointed[pointed_at[i] : pointed_at[i + 1]].tolist(), ordinals[part]):
+                    if score >= RUN:
+                        b = int(base[i])
+                        rows.append((get["doc_id"][i].as_py(), get["copy"][i].as_py(), get["item_id"][i].as_py(), first + b, last + b, [e + b for e in edits]))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "copy", "item_id", "first", "last", "edits"])
 
 
 def leaked_runs(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", stock_lines: list[str] | None = None, rare_items: int = RARE_ITEMS) -> DataFrame:

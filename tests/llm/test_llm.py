@@ -356,7 +356,7 @@ def _brute(doc, item):
 
 def test_alignments_against_a_full_table():
     rnd = random.Random(5)
-    seen = set()
+    seen, pairs = set(), []
     for _ in range(400):
         item = [rnd.randrange(1, 60) for _ in range(rnd.randint(15, 26))]
         a = rnd.randrange(4)
@@ -371,8 +371,16 @@ def test_alignments_against_a_full_table():
         got = max((x[0] for x in leakage.alignments(d, w, range(-len(w), len(d)))), default=0)
         want = _brute(doc, item)
         assert (got >= leakage.RUN) == (want >= leakage.RUN), (doc, item, got, want)
+        # The screen over many pairs drops none that reaches it.
+        seeds = [j - i for i in range(len(w) - 4) for j in range(len(d) - 4) if (w[i : i + 5] == d[j : j + 5]).all()]
+        pairs.append((d, w, seeds, got))
         seen.add(want >= leakage.RUN)
     assert seen == {True, False}
+    docs, items = [np.concatenate([p[k] for p in pairs]) for k in (0, 1)]
+    doc_at, item_at = [np.cumsum([0, *(p[k].size for p in pairs)]) for k in (0, 1)]
+    row = np.repeat(np.arange(len(pairs)), [len(p[2]) for p in pairs])
+    worth = leakage.worth_aligning(docs, doc_at, items, item_at, row, np.array([x for p in pairs for x in p[2]], dtype=np.int64))
+    assert all(w or p[3] < leakage.RUN for w, p in zip(worth, pairs, strict=True)) and not worth.all()
 
 
 @pytest.mark.parametrize(
