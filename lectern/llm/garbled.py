@@ -23,8 +23,8 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +35,6 @@ from ..tables import spread
 BUCKETS = 1 << 17
 #: Share of all pairs below which pairs are equally rare, and what every pair costs besides.
 RAREST, OFFSET = 1.3e-6, 0.29
-#: Nested layers that are undone at most. Each layer doubles the bytes of a character.
-MAX_LAYERS = 4
 #: Wrong readings of UTF-8.
 READ_LATIN = ("cp1252", "latin-1", "cp1250", "cp1254", "iso8859-15")
 READ_AS = ("cp1252", "latin-1", "cp1253", "cp1251", "cp437", "cp850", "mac_roman", "cp1250", "cp1254", "iso8859-15", "cp866", "koi8-r")
@@ -251,10 +249,9 @@ def pair_counts(texts: DataFrame, column: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
+        screen = Screen(np.zeros(BUCKETS, dtype=np.float32))
         for batch in batches:
-            joined = "\n".join(without_anomalies(x) for x in batch.column(0).to_pylist() if x)
-            if joined:
-                total += np.bincount(_buckets(joined), minlength=BUCKETS)
+            total += screen.counts(batch.column(0))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
@@ -447,7 +444,8 @@ class Repairer:
         if single_first:
             s = "\n".join(self._memo_single(x) for x in s.split("\n"))
             layers += s != text
-        while layers < MAX_LAYERS and (fixed := self._runs(s)) != s:
+        # It ends: a layer makes of every sequence that it undoes one character, or of a lead and a space another letter.
+        while (fixed := self._runs(s)) != s:
             s, layers = fixed, layers + 1
         fixed = "\n".join(self._memo_single(x) for x in s.split("\n"))
         return (fixed, layers + 1) if fixed != s else (s, layers)
@@ -500,16 +498,163 @@ def _decoded_parts(run: str, codec: str) -> Iterator[tuple[int, int, str]]:
     yield parts[0][0], at, "".join(out)
 
 
+#: Stands behind each text among the code points of a batch.
+_END = 0x110000  # the first value that is no code point; 21 bits hold it
+# Characters without which neither `_LOST_SPACE` nor `_LOST_TRAIL` matches.
+_LEFT_OVER = "\u00c2\u00c3\u00c4\u00c5\u00ce\u00cf\u00d0\u00d1\u00e2\u251c\u252c\u221a\u0393\u0413\u0446\u201a\u00d4\u0432\u03b2"
+
+
+def _points_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts with `_END` behind each, and the row of each; a null text is empty."""
+    large = pa.concat_arrays([texts]).cast(pa.large_string())
+    n = len(large)
+    offsets = np.frombuffer(large.buffers()[1], dtype=np.int64)[large.offset :][: n + 1] if n else np.zeros(1, dtype=np.int64)
+    raw = large.buffers()[2]
+    data = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.zeros(0, dtype=np.uint8)
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    lengths = np.diff(heads[offsets - offsets[0]])
+    rows = np.repeat(np.arange(n), lengths + 1)
+    out = np.full(rows.size, _END, dtype=np.int64)
+    ends = np.cumsum(lengths + 1) - 1
+    inside = np.ones(rows.size, dtype=bool)
+    inside[ends] = False
+    out[inside] = points
+    return out, rows
+
+
+class Screen:
+    """Which texts of a batch a `Repairer` may change or report, found over all code points at once.
+
+    It asks what the repairer asks first: whether a lead and a trail byte of some reading stand side by side, whether a line
+    holds an anomaly, or an odd character and other surprising ones. A text that it clears comes out of the repair unchanged.
+    """
+
+    def __init__(self, surprise: np.ndarray):
+        self.surprise = surprise
+        self.leads, self.trails = (np.zeros(_END + 1, dtype=np.uint16) for _ in range(2))
+        for k, codec in enumerate(READ_AS):
+            for table, chars in ((self.leads, _LEADS[codec]), (self.trails, _TRAILS[codec])):
+                at = [ord(c) for c in chars if c > "\x7f"]
+                table[at] |= np.uint16(1 << k)
+        self.folded = _classes(np.arange(_END + 1, dtype=np.int64))
+        self.folded[_END] = 32
+        self.lost = np.zeros(_END + 1, dtype=bool)
+        self.lost[[0xFFFD, *range(0x80, 0x85), *range(0x86, 0xA0)]] = True
+        self.left_over = np.zeros(_END + 1, dtype=bool)
+        self.left_over[[ord(c) for c in _LEFT_OVER]] = True
+        self.lower = np.zeros(_END + 1, dtype=bool)
+        self.lower[[c for c in range(0x30000) if chr(c).islower()]] = True
+
+    def _anomalies(self, p: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """`is_anomaly` at the places ``at`` of ``p``, in which `_END` parts the texts: each context is judged once."""
+        before = np.where(at > 0, p[np.maximum(at - 1, 0)], _END)
+        behind = p[at + 1]
+        after = self.lower[p[np.minimum(at + 2, p.size - 1)]] & (behind != _END)
+        key = (before.astype(np.uint64) << np.uint64(43)) | (p[at].astype(np.uint64) << np.uint64(22)) | (behind.astype(np.uint64) << np.uint64(1)) | after.astype(np.uint64)
+        kinds, inverse = np.unique(key, return_inverse=True)
+        first = np.zeros(len(kinds), dtype=np.int64)
+        first[inverse] = np.arange(at.size)
+        answers = np.fromiter((self._context(int(before[i]), int(p[at[i]]), int(behind[i]), bool(after[i])) for i in first.tolist()), dtype=bool, count=len(kinds))
+        return answers[inverse]
+
+    @staticmethod
+    def _context(before: int, c: int, behind: int, lower: bool) -> bool:
+        rest = chr(c) + ("" if behind == _END else chr(behind) + ("a" if lower else "A"))
+        return _anomaly_between("" if before == _END else chr(before), rest)
+
+    def _evidence(self, p: np.ndarray) -> np.ndarray:
+        kinds, inverse = np.unique(p, return_inverse=True)
+        return np.fromiter((_evident(c) for c in kinds.tolist()), dtype=bool, count=kinds.size)[inverse]
+
+    def suspects(self, texts: pa.Array) -> np.ndarray:
+        """Rows that must go through `Repairer.repair`."""
+        n = len(texts)
+        p, rows = _points_of(texts)
+        high = np.flatnonzero((p > 0x7F) & (p != _END))
+        out = np.zeros(n, dtype=bool)
+        if not high.size:
+            return out
+        out[rows[high[self.lost[p[high]]]]] = True
+        out[rows[high[(self.leads[p[high]] & self.trails[p[high + 1]]) != 0]]] = True
+        for r in np.unique(rows[high[self.left_over[p[high]]]]).tolist():
+            if not out[r]:
+                text = texts[r].as_py()
+                out[r] = bool(_LOST_SPACE.search(text) or _LOST_TRAIL.search(text))
+        # Single bytes, line by line, in the rows that are not found yet.
+        high = high[~out[rows[high]]]
+        if not high.size:
+            return out
+        lines = np.where(p == 10, _END, p)
+        line = np.cumsum(lines == _END)[high]
+        cost = self._pair(lines, high - 1, high) + np.where((lines[high + 1] <= 0x7F) | (lines[high + 1] == _END), self._pair(lines, high, high + 1), 0)
+        evidence = self._evidence(p[high])
+        odd = np.zeros(high.size, dtype=bool)
+        where = np.flatnonzero(evidence)
+        if where.size:
+            odd[where] = self._anomalies(lines, high[where])
+        start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+        most = np.maximum.reduceat(cost, start)
+        surprising = np.add.reduceat((evidence & (cost > COMMON)).astype(np.int64), start)
+        found = np.logical_or.reduceat(odd, start) | ((most > ODD_CHARACTER) & (surprising >= 2))
+        out[rows[high[start[found]]]] = True
+        return out
+
+    def _pair(self, p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        left = np.where(a < 0, 32, self.folded[p[np.maximum(a, 0)]])
+        return self.surprise[pair_bucket(left, self.folded[p[b]]).astype(np.int64)].astype(np.float64)
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """How often each bucket of pairs occurs outside words that hold an anomaly."""
+        p, _ = _points_of(texts)
+        high = np.flatnonzero((p > 0x7F) & (p != _END))
+        if not high.size:
+            return np.zeros(BUCKETS, dtype=np.int64)
+        token = np.cumsum((p <= 0x20) | (p == _END))
+        bad = np.zeros(int(token[-1]) + 2, dtype=bool)
+        bad[token[high[self._anomalies(p, high)]]] = True
+        inside = (p > 0x20) & (p != _END)
+        dropped = inside & bad[token]
+        first = np.concatenate(([_END], p[:-1]))
+        either = ((first > 0x7F) & (first != _END)) | ((p > 0x7F) & (p != _END))
+        either &= ~dropped & ~np.concatenate(([False], dropped[:-1]))
+        at = np.flatnonzero(either)
+        return np.bincount(pair_bucket(self.folded[first[at]], self.folded[p[at]]).astype(np.int64), minlength=BUCKETS)
+
+
+@lru_cache(maxsize=65536)
+def _evident(c: int) -> bool:
+    return _is_evidence(chr(c))
+
+
 def repair_texts(df: DataFrame, column: str, surprise: np.ndarray, out: str = "repair") -> DataFrame:
-    """``df`` with a struct ``out`` (garbled, restored, layers); pure ASCII rows never leave the JVM."""
+    """``df`` with a struct ``out`` (garbled, restored, layers); pure ASCII rows never leave the JVM, what the screen clears costs no call.
+
+    ``surprise`` is a table of `surprise_table`, of this corpus or one that was stored: with a stored one a record's result does
+    not depend on the records beside it.
+    """
     shared = df.sparkSession.sparkContext.broadcast(surprise)
-    state: dict[str, Repairer] = {}
+    state: dict[str, tuple[Repairer, Screen]] = {}
 
-    @F.pandas_udf(T.StructType(_FIELDS))
-    def fix(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        r = state.setdefault("r", Repairer(shared.value))
+    @F.arrow_udf(T.StructType(_FIELDS))
+    def fix(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if "r" not in state:
+            state["r"] = Repairer(shared.value), Screen(shared.value)
+        repairer, screen = state["r"]
         for batch in batches:
-            yield pd.DataFrame([(False, None, 0) if t is None else r.repair(t) for t in batch], columns=["garbled", "restored", "layers"])
+            parts = [batch.slice(lo, 2000) for lo in range(0, len(batch), 2000)] or [batch]
+            done = []
+            for texts in parts:  # small pieces: a batch of long texts is large as code points
+                suspects = np.flatnonzero(screen.suspects(texts))
+                garbled, layers, restored = np.zeros(len(texts), dtype=bool), np.zeros(len(texts), dtype=np.int32), texts
+                if suspects.size:
+                    fixed = [repairer.repair(t) for t in texts.take(pa.array(suspects)).to_pylist()]
+                    garbled[suspects], layers[suspects] = [f[0] for f in fixed], [f[2] for f in fixed]
+                    mask = np.zeros(len(texts), dtype=bool)
+                    mask[suspects] = True
+                    restored = pc.replace_with_mask(texts, pa.array(mask), pa.array([f[1] for f in fixed], texts.type))
+                done.append(pa.StructArray.from_arrays([pa.array(garbled), restored, pa.array(layers)], names=["garbled", "restored", "layers"]))
+            yield pa.concat_arrays(done)
 
     text = F.col(column)
     high = F.coalesce(text.rlike(r"[^\x00-\x7F]"), F.lit(False))

@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOP = 0x110000
-DELETE = 0
 
 # Letters that look like ASCII letters, by script, in step.
 _LATIN_OF = {
@@ -32,18 +31,24 @@ _LATIN_OF = {
     "ARMENIAN": ("հոսօցզԼՍՕԱՈ", "hnuogqLUOUN"),
 }
 _SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN")
+#: Number of a letter of any further script that a table of look-alikes names.
+_OTHER = len(_SCRIPTS) + 1
 _SPACES = (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)
 _INVISIBLE = (0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), 0xFEFF)
 _HYPHENS = (0x2010, 0x2011)
 
 
 class Tables:
-    """Lookup tables over all code points, built from the Unicode data of the standard library."""
+    """Lookup tables over all code points, built from the Unicode data of the standard library.
 
-    def __init__(self) -> None:
+    ``more`` are further look-alikes as pairs of a letter and the ASCII letter that it looks like (`read_confusables`).
+    """
+
+    def __init__(self, more: tuple[tuple[str, str], ...] = ()) -> None:
         self.map = np.arange(TOP, dtype=np.int32)
         self.map[list(_SPACES)] = 0x20
-        self.map[list(_INVISIBLE)] = DELETE
+        self.deleted = np.zeros(TOP, dtype=bool)
+        self.deleted[list(_INVISIBLE)] = True
         self.map[list(_HYPHENS)] = 0x2D
         self.expand: dict[int, list[int]] = {}
         self.ccc = np.zeros(TOP, dtype=np.uint8)
@@ -109,16 +114,36 @@ class Tables:
             for a in _LATIN_OF[other][0]:
                 if back[s][to_latin[ord(a)]]:
                     back[s][ord(a)] = back[s][to_latin[ord(a)]]
-        self.to_main = [to_latin, back["GREEK"], back["CYRILLIC"], back["ARMENIAN"]]
+        for a, b in more:
+            if not to_latin[ord(a)]:
+                to_latin[ord(a)] = ord(b)
+                if not self.script[ord(a)]:
+                    self.script[ord(a)] = _OTHER
+        self.to_main = [to_latin, back["GREEK"], back["CYRILLIC"], back["ARMENIAN"], np.zeros(TOP, dtype=np.int32)]
         # Joiners are ordinary between these: emoji, and scripts that join letters.
         self.joins = np.zeros(TOP, dtype=bool)
         for lo, hi in ((0x600, 0x1100), (0x1780, 0x1880), (0x2190, 0x2400), (0x2600, 0x27C0), (0x2B00, 0x2C00), (0xFB50, 0xFE00), (0xFE00, 0xFE10), (0x1F000, 0x1FB00)):
             self.joins[lo:hi] = True
 
 
-@lru_cache(maxsize=1)
-def tables() -> Tables:
-    return Tables()
+@lru_cache(maxsize=4)
+def tables(more: tuple[tuple[str, str], ...] = ()) -> Tables:
+    return Tables(more)
+
+
+def read_confusables(path: str) -> tuple[tuple[str, str], ...]:
+    """Pairs of a letter and the ASCII letter that it looks like, from a file in the format of Unicode's public list of
+    confusables: ``0430 ; 0061 ; MA # ...``. Lines for anything but one letter for one ASCII letter are passed over."""
+    pairs = []
+    with open(path, encoding="utf-8-sig") as f:
+        for line in f:
+            fields = [x.strip() for x in line.partition("#")[0].split(";")]
+            if len(fields) < 2 or " " in fields[0] or " " in fields[1] or not fields[1]:
+                continue
+            a, b = (chr(int(x, 16)) for x in fields[:2])
+            if not a.isascii() and a.isalpha() and b.isascii() and b.isalpha():
+                pairs.append((a, b))
+    return tuple(pairs)
 
 
 def _replace(points: np.ndarray, rows: np.ndarray, where: np.ndarray, into: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -167,9 +192,12 @@ def _compose(points: np.ndarray, rows: np.ndarray, t: Tables) -> tuple[np.ndarra
     at = np.flatnonzero(own)
     keep = np.ones(points.size, dtype=bool)
     blocked = np.zeros(points.size, dtype=np.int16)  # at a starter: class of its last mark that stayed
+    # The marks of each depth behind their starters, found by one sort.
     depth = at - last[at]
-    for d in range(1, int(depth.max(initial=0)) + 1):
-        now = at[depth == d]
+    order = np.argsort(depth, kind="stable")
+    edges = np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 2))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        now = at[order[a:b]]
         s = last[now]
         free = blocked[s] < ccc[now]
         key = points[s].astype(np.int64) << 21 | points[now]
@@ -191,12 +219,13 @@ def _main_script(points: np.ndarray, rows: np.ndarray, t: Tables) -> np.ndarray:
     if not letters.size:
         return points
     n = int(ids[-1]) + 1
-    counts = np.bincount(ids[letters] * 5 + script[letters], minlength=n * 5).reshape(n, 5)[:, 1:]
+    kinds = _OTHER + 1
+    counts = np.bincount(ids[letters] * kinds + script[letters], minlength=n * kinds).reshape(n, kinds)[:, 1:]
     # A look-alike may belong to either script: letters that are in one script only weigh most.
     alike = np.zeros(points.size, dtype=bool)
     alike[letters] = (t.to_main[0][points[letters]] > 0) | (t.to_main[1][points[letters]] > 0) | (t.to_main[2][points[letters]] > 0)
     firm = letters[~alike[letters]]
-    weight = counts + 1000 * np.bincount(ids[firm] * 5 + script[firm], minlength=n * 5).reshape(n, 5)[:, 1:]
+    weight = counts + 1000 * np.bincount(ids[firm] * kinds + script[firm], minlength=n * kinds).reshape(n, kinds)[:, 1:]
     mixed = (counts > 0).sum(axis=1) > 1
     if not mixed.any():
         return points
@@ -210,25 +239,24 @@ def _main_script(points: np.ndarray, rows: np.ndarray, t: Tables) -> np.ndarray:
     return out
 
 
-def normalise_points(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def normalise_points(points: np.ndarray, rows: np.ndarray, more: tuple[tuple[str, str], ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Code points and the row of each, normalised."""
-    t = tables()
-    mapped = t.map[points]
+    t = tables(more)
+    mapped, keep = t.map[points], ~t.deleted[points]
     joiner = np.flatnonzero((points == 0x200D) | (points == 0x200C))
     if joiner.size:
         left, right = points[np.maximum(joiner - 1, 0)], points[np.minimum(joiner + 1, points.size - 1)]
         ordinary = joiner[t.joins[left] & t.joins[right]]
-        mapped[ordinary] = points[ordinary]
+        keep[ordinary] = True
+    mapped, rows = mapped[keep], rows[keep]
     where = np.flatnonzero(t.expands[mapped])
     if where.size:
         mapped, rows = _replace(mapped, rows, where, t.expand)
-    keep = (mapped != DELETE) | False
-    mapped, rows = mapped[keep], rows[keep]
     mapped, rows = _compose(mapped, rows, t)
     return _main_script(mapped, rows, t), rows
 
 
-def normalise_arrow(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def normalise_arrow(texts: pa.Array, more: tuple[tuple[str, str], ...] = ()) -> tuple[pa.Array, np.ndarray]:
     """The normalised texts, and which of them changed; null stays null and is no change."""
     large = pa.concat_arrays([texts.cast(pa.large_string())]) if texts.offset else texts.cast(pa.large_string())
     n = len(large)
@@ -244,12 +272,7 @@ def normalise_arrow(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     out_points, out_rows = points.copy(), rows
     changed = np.zeros(n, dtype=bool)
     if high.any():
-        # NUL marks deletion inside; the character itself is kept by a private stand-in.
-        work = points.copy()
-        work[work == 0] = 0x10FFFF
-        out_points, out_rows = normalise_points(work, rows)
-        out_points = out_points.copy()
-        out_points[out_points == 0x10FFFF] = 0
+        out_points, out_rows = normalise_points(points, rows, more)
         out_lengths = np.bincount(out_rows, minlength=n)
         same_size = out_lengths == lengths
         changed = ~same_size
@@ -270,12 +293,12 @@ def normalise_arrow(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return result, changed
 
 
-def normalise_column(df: DataFrame, column: str, out: str = "normal") -> DataFrame:
-    """``df`` with a struct ``out`` (text, changed). Pure ASCII rows never leave the JVM."""
+def normalise_column(df: DataFrame, column: str, out: str = "normal", more: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """``df`` with a struct ``out`` (text, changed). Pure ASCII rows never leave the JVM. ``more``: further look-alikes."""
 
     @F.arrow_udf("struct<text:string,changed:boolean>")
     def normal(texts: pa.Array) -> pa.Array:
-        result, changed = normalise_arrow(texts)
+        result, changed = normalise_arrow(texts, more)
         return pa.StructArray.from_arrays([result.cast(pa.string()), pa.array(changed)], names=["text", "changed"])
 
     text = F.col(column)

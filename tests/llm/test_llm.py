@@ -248,6 +248,40 @@ def test_normalise_column(spark):
     assert rows(lookalike.normalise_column(df, "text").select("id", "normal.text", "normal.changed")) == [(1, "Gen", True), (2, None, False), (3, "plain", False), (4, "", False)]
 
 
+def test_look_alikes_keep_every_code_point():
+    texts = ["\U0010ffff é\x00x", "\x00\u200b", "a" + "\u0301\u0300" * 3000]
+    got, changed = lookalike.normalise_arrow(pa.array(texts))
+    assert got.to_pylist() == ["\U0010ffff é\x00x", "\x00", unicodedata.normalize("NFC", texts[2])] and changed.tolist() == [False, True, True]
+
+
+def test_further_look_alikes(tmp_path):
+    path = tmp_path / "confusables.txt"
+    path.write_text("\ufeff# a comment\n13A0 ;\t0044 ;\tMA\t# look\n2160 ; 0049 ; MA\n0430 ;0061; MA\n00E6 ; 0061 0065 ; MA\n0030 ; 004F ; MA\n", encoding="utf-8")
+    more = lookalike.read_confusables(str(path))
+    assert more == (("\u13a0", "D"), ("\u0430", "a"))
+    got, changed = lookalike.normalise_arrow(pa.array(["\u13a0aniel", "\u13a0\u13a1", "plain é"]), more)
+    assert got.to_pylist() == ["Daniel", "\u13a0\u13a1", "plain é"] and changed.tolist() == [True, False, False]
+
+
+def test_the_screen_clears_only_what_the_repair_leaves(spark):
+    import pyarrow.parquet as pq
+
+    texts = [t for f, c in (("file_hits", "text"), ("epub_places", "line_text"), ("pdf_places", "line_text")) for t in pq.read_table(DATA / f"{f}.parquet", columns=[c]).column(0).to_pylist()]
+    texts += ["", "a\n\né", "é", "È?", "Ωstä\nÃ©", "10á000", "\U0010ffff\x85", "naïve “x” — ½ cup", "Ш", "é\n \nÎ\n", *[t.encode("utf-8").decode(c, "replace") for t in CLEAN for c in ("cp1252", "cp437", "cp1253")]]
+    own = sum((np.bincount(garbled._buckets(garbled.without_anomalies(t)), minlength=garbled.BUCKETS) for t in texts if t), np.zeros(garbled.BUCKETS, dtype=np.int64))
+    assert (garbled.Screen(np.zeros(garbled.BUCKETS)).counts(pa.array(texts)) == own).all()
+    surprise = garbled.surprise_of(own)
+    screen, repairer = garbled.Screen(surprise), garbled.Repairer(surprise)
+    found = screen.suspects(pa.array([None, *texts])[1:])
+    for text, suspect in zip(texts, found, strict=True):
+        if text is None or not suspect:
+            assert text is None or repairer.repair(text) == (False, text, 0)
+    assert 0.02 < found.mean() < 0.5
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: (r.repair.garbled, r.repair.restored, r.repair.layers) for r in garbled.repair_texts(frame, "text", surprise).collect()}
+    assert got == {i: (False, None, 0) if t is None else repairer.repair(t) for i, t in enumerate(texts)}
+
+
 # --- 5: survivors ---------------------------------------------------------------------------------
 
 _E = "entry_id bigint, pack_device string, kind string, path string, size bigint, mtime bigint, written bigint, engine string, hash bigint, chapters array<string>, n_refs int, detail string"
