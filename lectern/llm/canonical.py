@@ -18,6 +18,8 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,8 @@ NUMBER_WEIGHT = 1000
 EXACT_RANKS = (1, 2, 3)
 #: Most spellings that one broadcast tree may hold; a longer list is sharded. About 200 bytes each.
 MAX_BROADCAST_SPELLINGS = 200_000
+#: Spellings of a shard and distinct values of a block: what one task holds of a list beyond that.
+SHARD_SPELLINGS, BLOCK_VALUES = 20_000, 20_000
 
 # Words that number a book, and wrappings that are typed around a name.
 _NUMBERS = {"i": "1", "ii": "2", "iii": "3", "1st": "1", "2nd": "2", "3rd": "3", "first": "1", "second": "2", "third": "3"}
@@ -64,7 +68,16 @@ def letters_distance(a: str, b: str) -> int:
     """Unrestricted Damerau-Levenshtein distance, a true metric (unlike the restricted one)."""
     if a == b:
         return 0
+    # Common ends cost nothing.
+    k, n, m = 0, len(a), len(b)
+    while k < n and k < m and a[k] == b[k]:
+        k += 1
+    while n > k and m > k and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    a, b = a[k:n], b[k:m]
     n, m = len(a), len(b)
+    if not n or not m:
+        return n + m
     top = n + m
     d = [[top] * (m + 2) for _ in range(n + 2)]
     for i in range(n + 1):
@@ -119,8 +132,12 @@ class BKTree:
 
     def within(self, key: tuple[str, str], radius: int) -> list[tuple[int, tuple[str, str]]]:
         out, stack = [], [self.root] if self.root else []
+        length = len(key[1])
         while stack:
             other, children = stack.pop()
+            # At least the difference in length: where that is beyond every child, neither it nor a child can be within.
+            if key[0] == other[0] and abs(length - len(other[1])) > radius + max(children, default=0):
+                continue
             d = key_distance(key, other)
             self.visited += 1
             if d <= radius:
@@ -176,32 +193,43 @@ def _rows(reference: DataFrame, limit: int) -> list[tuple[str, str, int]] | None
     return None if len(got) > limit else [(r["spelling"], r["target"], r["rank"]) for r in got]
 
 
-def match_values(values: DataFrame, column: str, reference: DataFrame, out: str = "target", max_broadcast: int = MAX_BROADCAST_SPELLINGS) -> DataFrame:
+def match_values(values: DataFrame, column: str, reference: DataFrame, out: str = "target", max_broadcast: int = MAX_BROADCAST_SPELLINGS, shard: int = SHARD_SPELLINGS, block: int = BLOCK_VALUES) -> DataFrame:
     """``values`` with the canonical target of ``column`` in ``out`` ('' for none, null for null or blank).
 
     ``reference`` has ``spelling, target, rank``. A list of at most ``max_broadcast`` spellings goes to
     every worker as one tree and nothing is shuffled, whatever the skew of the values; each worker looks
-    a distinct value up once. A longer list is cut into shards by hash: the distinct values meet every
-    shard in blocks, each shard's tree returns all entries within the threshold, and the shards' winners
-    are merged by an aggregation.
+    a distinct value up once. A longer list is cut into shards by hash, the distinct values into blocks:
+    each shard meets each block in one task (`sharded_candidates`), its tree returns all entries within
+    the threshold, and the shards' winners are merged by an aggregation.
     """
     rows = _rows(reference, max_broadcast)
     typed = F.col(column)
     blank = typed.isNull() | (F.trim(typed) == "")
     if rows is not None:
         return values.withColumn(out, F.when(~blank, _broadcast_lookup(values, rows)(typed)))
-    parts = max(2, reference.count() // max_broadcast + 1)
-    shards = reference.select("spelling", "target", "rank").where("spelling IS NOT NULL").withColumn("_shard", F.pmod(F.xxhash64("spelling"), F.lit(parts)).cast("int"))
-    blocks = values.where(~blank).select(typed.alias("_value")).distinct().withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    near = sharded_candidates(values.where(~blank).select(typed.alias("_value")).distinct(), reference, shard, block)
+    # Both aggregations run where the values were sent once.
+    tied = near.repartition("_value").groupBy("_value", "d", "rank").agg(F.min("target").alias("least"), F.max("target").alias("most"))
+    best = tied.groupBy("_value").agg(F.min(F.struct("d", "rank", "least", "most")).alias("_best"))
+    winners = best.select("_value", F.when(F.col("_best.least") == F.col("_best.most"), F.col("_best.least")).otherwise(F.lit("")).alias("_target"))
+    return values.join(winners, typed.eqNullSafe(F.col("_value")), "left").withColumn(out, F.when(~blank, F.coalesce("_target", F.lit("")))).drop("_value", "_target")
 
-    def search(block: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        m = Matcher(shard[["spelling", "target", "rank"]].itertuples(index=False, name=None))
-        return pd.DataFrame([(v, d, r, t) for v in block["_value"] for d, r, t in m.candidates(v)], columns=["_value", "d", "rank", "target"])
 
-    near = blocks.groupBy("_shard").cogroup(shards.groupBy("_shard")).applyInPandas(search, "_value string, d int, rank int, target string")
-    best = near.groupBy("_value").agg(F.min(F.struct("d", "rank")).alias("_best"))
-    winners = near.join(best, "_value").where(F.struct("d", "rank") == F.col("_best")).groupBy("_value").agg(F.when(F.min("target") == F.max("target"), F.min("target")).otherwise(F.lit("")).alias("_target"))
-    return values.join(winners, typed.eqNullSafe(F.col("_value")), "left").withColumn(out, F.when(~blank, F.coalesce("_target", F.lit("")))).drop("_value", "_target")
+def sharded_candidates(distinct: DataFrame, reference: DataFrame, shard: int = SHARD_SPELLINGS, block: int = BLOCK_VALUES) -> DataFrame:
+    """``_value, d, rank, target``: every entry within the threshold of each value, from every shard.
+
+    A task holds one shard of about ``shard`` spellings and one block of about ``block`` values, however long either side is.
+    """
+    shards, blocks = (max(1, -(-n // size)) for n, size in ((reference.count(), shard), (distinct.count(), block)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = distinct.withColumn("_block", part("_value", blocks)).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = reference.select("spelling", "target", "rank").where("spelling IS NOT NULL").withColumn("_shard", part("spelling", shards)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def search(typed: pd.DataFrame, spellings: pd.DataFrame) -> pd.DataFrame:
+        m = Matcher(spellings[["spelling", "target", "rank"]].itertuples(index=False, name=None))
+        return pd.DataFrame([(v, d, r, t) for v in typed["_value"] for d, r, t in m.candidates(v)], columns=["_value", "d", "rank", "target"])
+
+    return left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInPandas(search, "_value string, d int, rank int, target string")
 
 
 def _broadcast_lookup(values: DataFrame, rows: list[tuple[str, str, int]]):
@@ -232,39 +260,85 @@ def looks_like_name(c: Column) -> Column:
     return c.rlike(r"^\s*(?:\d+(?:st|nd|rd)?[ ._-]*)?[\p{Lu}\p{Lt}\p{Lo}]")
 
 
-def check_aliases(books: DataFrame) -> DataFrame:
+def check_aliases(books: DataFrame, max_broadcast: int = MAX_BROADCAST_SPELLINGS) -> DataFrame:
     """Every hand-collected alias ``(id, pos, alias, book, target)``; target is the book it names, '' for none.
 
     An alias near a trusted spelling names that book. One near nothing is a name of its own row's book
     (another language's, say) if it looks like a name, and a stray note otherwise.
     """
     exploded = books.select("id", "book", F.posexplode("abbreviations").alias("pos", "alias")).where("alias IS NOT NULL AND trim(alias) <> ''")
-    named = match_values(exploded, "alias", book_spellings(books), "near")
+    named = match_values(exploded, "alias", book_spellings(books), "near", max_broadcast)
     return named.select("id", "pos", "alias", "book", F.when(F.col("near") != "", F.col("near")).when(looks_like_name(F.col("alias")), F.col("book")).otherwise(F.lit("")).alias("target"))
 
 
-def all_book_spellings(books: DataFrame) -> DataFrame:
-    """Trusted spellings and the aliases that name their own row's book."""
-    own = check_aliases(books).where("target = book").select(F.col("alias").alias("spelling"), "target", F.lit(4).alias("rank"))
-    return book_spellings(books).unionByName(own)
-
-
 def genre_spellings(genres: DataFrame) -> DataFrame:
     names = genres.select(F.col("title").alias("spelling"), F.col("title").alias("target"), F.lit(0).alias("rank"))
     short = genres.select(F.explode("abbreviations").alias("spelling"), F.col("title").alias("target"), F.lit(4).alias("rank"))
     return names.unionByName(short).where("spelling IS NOT NULL AND target IS NOT NULL")
 
 
-def canonical_found(scopes: DataFrame, books: DataFrame, genres: DataFrame) -> DataFrame:
-    """``field, row_id, pos, target`` of every typed value that is not canonical already."""
+def canonical_found(scopes: DataFrame, books: DataFrame, genres: DataFrame, max_broadcast: int = MAX_BROADCAST_SPELLINGS) -> DataFrame:
+    """``field, row_id, pos, target`` of every typed value that is not canonical already.
+
+    One job reads both reference lists and checks their size; up to ``max_broadcast`` spellings all values pass once by
+    the two trees. Longer lists go through `match_values`, list by list.
+    """
+    aliases = books.select(F.lit("alias").alias("field"), F.col("id").cast("bigint").alias("id"), F.posexplode("abbreviations").alias("pos", "spelling"), F.col("book").alias("target")).where("spelling IS NOT NULL AND trim(spelling) <> ''")
+    columns = ("field", "id", "pos", "spelling", "target", "rank")
+    plain = lambda field, df: df.select(F.lit(field).alias("field"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("int").alias("pos"), "spelling", "target", "rank")
+    reference = plain("books", book_spellings(books)).unionByName(plain("genres", genre_spellings(genres))).unionByName(aliases.withColumn("rank", F.lit(4)).select(*columns))
+    rows = reference.withColumn("named", looks_like_name(F.col("spelling"))).limit(max_broadcast + 1).collect()
+    if len(rows) > max_broadcast:
+        return _canonical_found_sharded(scopes, books, genres, max_broadcast)
+    spellings = {f: [(r["spelling"], r["target"], r["rank"]) for r in rows if r["field"] == f] for f in ("books", "genres")}
+    trusted, odd = Matcher(spellings["books"]), []
+    for r in rows:
+        if r["field"] == "alias":
+            means = decide(trusted.candidates(r["spelling"])) or (r["target"] if r["named"] else "")
+            if means == r["target"]:
+                spellings["books"].append((r["spelling"], means, 4))
+            elif r["target"] is not None:
+                odd.append(("abbreviations", r["id"], r["pos"], means))
+    # The names themselves: a value that is one is no case.
+    names = {f: frozenset(t for s, t, r in spellings[f] if r == 0 and s == t) for f in spellings}
+    spark = scopes.sparkSession
+    shared = spark.sparkContext.broadcast((spellings, names))
+    state: dict[str, Matcher] = {}
+
+    @F.arrow_udf("string")
+    def lookup(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        spelled, canonical = shared.value
+        for f in spelled:
+            state.setdefault(f, Matcher(spelled[f]))
+        for fields, values in batches:
+            coded = pc.binary_join_element_wise(fields, values, "\x1f").dictionary_encode()
+            answers = []
+            for key in coded.dictionary.to_pylist():
+                f, _, value = key.partition("\x1f")
+                answers.append(None if value in canonical[f] else decide(state[f].candidates(value)))
+            yield pa.array(answers, pa.string()).take(coded.indices)
+
+    typed = spread(scopes.select("scope_id", "books", "genres")).select(
+        F.col("scope_id").cast("bigint").alias("row_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("typed")) for f in ("books", "genres")])).alias("list")
+    )
+    items = typed.select("row_id", F.col("list.field").alias("field"), F.posexplode("list.typed").alias("pos", "value")).where(_NOT_BLANK)
+    found = items.select("field", "row_id", F.col("pos").cast("int").alias("pos"), lookup.asNondeterministic()(F.col("field"), F.col("value")).alias("target")).where("target IS NOT NULL")
+    return found.unionByName(spark.createDataFrame(odd, "field string, row_id bigint, pos int, target string"))
+
+
+_NOT_BLANK = "value IS NOT NULL AND trim(translate(value, '\t\n\r ', '    ')) <> ''"
+
+
+def _canonical_found_sharded(scopes: DataFrame, books: DataFrame, genres: DataFrame, max_broadcast: int) -> DataFrame:
+    """The same where the lists are longer than what is sent to every worker."""
 
     def typed(field: str, canonical: DataFrame, name: str, reference: DataFrame) -> DataFrame:
-        # The canonical names are a reference list; its size is checked before it is sent to the workers.
-        names = canonical.select(F.col(name).alias("_n")).where("_n IS NOT NULL").distinct().limit(MAX_BROADCAST_SPELLINGS + 1)
-        names = F.broadcast(names) if names.count() <= MAX_BROADCAST_SPELLINGS else canonical.select(F.col(name).alias("_n")).distinct()
-        items = spread(scopes.select("scope_id", field)).select(F.col("scope_id").cast("bigint").alias("row_id"), F.posexplode(field).alias("pos", "value"))
-        items = items.where("value IS NOT NULL AND trim(translate(value, '\t\n\r ', '    ')) <> ''").join(names, F.col("value") == F.col("_n"), "left_anti")
-        return match_values(items, "value", reference).select(F.lit(field).alias("field"), "row_id", F.col("pos").cast("int").alias("pos"), "target")
-
-    aliases = check_aliases(books).where("target <> book").select(F.lit("abbreviations").alias("field"), F.col("id").cast("bigint").alias("row_id"), F.col("pos").cast("int").alias("pos"), "target")
-    return typed("books", books, "book", all_book_spellings(books)).unionByName(typed("genres", genres, "title", genre_spellings(genres))).unionByName(aliases)
+        names = canonical.select(F.col(name).alias("_n")).where("_n IS NOT NULL").distinct()
+        items = scopes.select(F.col("scope_id").cast("bigint").alias("row_id"), F.posexplode(field).alias("pos", "value")).where(_NOT_BLANK)
+        items = items.join(names, F.col("value") == F.col("_n"), "left_anti")
+        return match_values(items, "value", reference, max_broadcast=max_broadcast).select(F.lit(field).alias("field"), "row_id", F.col("pos").cast("int").alias("pos"), "target")
+
+    aliases = check_aliases(books, max_broadcast)
+    odd = aliases.where("target <> book").select(F.lit("abbreviations").alias("field"), F.col("id").cast("bigint").alias("row_id"), F.col("pos").cast("int").alias("pos"), "target")
+    own = aliases.where("target = book").select(F.col("alias").alias("spelling"), "target", F.lit(4).alias("rank"))
+    return typed("books", books, "book", book_spellings(books).unionByName(own)).unionByName(typed("genres", genres, "title", genre_spellings(genres))).unionByName(odd)

@@ -65,13 +65,34 @@ def _reference(spark):
 def test_match_values(spark, limit):
     typed = ["gensis", "1 Samuell", "Samuel 2", "judg", "judgx", "Jdue", None, "", "  ", "qqq", "x" * 5000, "numeeri", "gensis", "Genesis"]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(typed)], "id int, v string, rank string")
-    got = dict((r["id"], r["target"]) for r in canonical.match_values(df, "v", _reference(spark), max_broadcast=limit).collect())
+    got = dict((r["id"], r["target"]) for r in canonical.match_values(df, "v", _reference(spark), max_broadcast=limit, shard=2, block=3).collect())
     want = ["Genesis", "1 Samuel", "2 Samuel", "Judges", "", "Jude", None, None, None, "", "", "Numbers", "Genesis", "Genesis"]
     assert [got[i] for i in range(len(typed))] == want
     assert canonical.match_values(df.limit(0), "v", _reference(spark), max_broadcast=limit).count() == 0
     assert {r["target"] for r in canonical.match_values(df, "v", _reference(spark).limit(0)).collect()} == {None, ""}
 
 
+def test_sharded_lists_give_the_same(spark):
+    scopes, books, genres = (spark.read.parquet(str(DATA / f"{t}.parquet")) for t in ("book_scopes", "default_books", "default_genres"))
+    assert rows(canonical.canonical_found(scopes, books, genres, max_broadcast=50)) == rows(canonical.canonical_found(scopes, books, genres))
+
+
+def test_a_list_of_300000_spellings(spark):
+    """Against every spelling that shares a letters-less-one form; no task holds more than a shard and a block."""
+    rnd = random.Random(1)
+    words = sorted({"".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(5, 7))) for _ in range(301_000)})[:300_000]
+    typed = [w[:3] + rnd.choice("xyzq") + w[4:] for w in rnd.sample(words, 12)] + [w[:2] + w[3] + w[2] + w[4:] for w in rnd.sample(words, 6)] + ["zz"]
+    less = lambda w: {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))}
+    asked = {x for t in typed for x in less(t)}
+    near = [w for w in words if asked & less(w)]
+    want = sorted((t, d, 0, w) for t in set(typed) for w in near if (d := canonical.letters_distance(t, w)) <= canonical.threshold(("", t)))
+    reference = spark.createDataFrame([(w,) for w in words], "spelling string").select("spelling", F.col("spelling").alias("target"), F.lit(0).alias("rank"))
+    got = canonical.sharded_candidates(spark.createDataFrame([(t,) for t in set(typed)], "_value string"), reference)
+    assert rows(got) == want and len(want) >= 12
+    part = F.pmod(F.xxhash64("spelling"), F.lit(15))
+    assert reference.groupBy(part).count().agg(F.max("count")).first()[0] < 1.05 * canonical.SHARD_SPELLINGS
+
+
 def test_ties_name_nothing():
     assert canonical.decide([(1, 0, "A"), (1, 0, "B")]) == "" and canonical.decide([(1, 0, "A"), (2, 0, "B")]) == "A" and canonical.decide([]) == ""
 
