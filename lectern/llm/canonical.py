@@ -78,23 +78,32 @@ def letters_distance(a: str, b: str) -> int:
     n, m = len(a), len(b)
     if not n or not m:
         return n + m
-    top = n + m
-    d = [[top] * (m + 2) for _ in range(n + 2)]
-    for i in range(n + 1):
-        d[i + 1][1] = i
-    for j in range(m + 1):
-        d[1][j + 1] = j
+    first = list(range(m + 1))
+    rows = [first]
     last_row: dict[str, int] = {}
-    for i in range(1, n + 1):
-        last_col = 0
-        for j in range(1, m + 1):
-            i1, j1 = last_row.get(b[j - 1], 0), last_col
-            cost = 1
-            if a[i - 1] == b[j - 1]:
-                cost, last_col = 0, j
-            d[i + 1][j + 1] = min(d[i][j] + cost, d[i + 1][j] + 1, d[i][j + 1] + 1, d[i1][j1] + (i - i1 - 1) + 1 + (j - j1 - 1))
-        last_row[a[i - 1]] = i
-    return d[n + 1][m + 1]
+    get = last_row.get
+    for i, x in enumerate(a, 1):
+        above, left, last_col = rows[-1], i, 0
+        row = [i]
+        add = row.append
+        for j, y in enumerate(b, 1):
+            if x == y:
+                left = above[j - 1]
+                last_col = j
+            else:
+                up, corner = above[j], above[j - 1]
+                if corner < up:
+                    up = corner
+                left = 1 + (up if up < left else left)
+                # A swap with what stands between taken out and put in.
+                if last_col and (i1 := get(y, 0)):
+                    swapped = rows[i1 - 1][last_col - 1] + i - i1 + j - last_col - 1
+                    if swapped < left:
+                        left = swapped
+            add(left)
+        rows.append(row)
+        last_row[x] = i
+    return rows[n][m]
 
 
 def key_distance(a: tuple[str, str], b: tuple[str, str]) -> int:
