@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from ..canon import Canon, Translations
+from ..canon import Canon, Translations, name_key
 from . import grammar
 from .notation import Format, write
 from .refs import Finder
 
+# Where a word begins; what stands right behind a point belongs to the word before it.
+_WORD_START = re.compile(r"(?<![^\W_.])(?<!\.)[^\W_]")
+
 
 @dataclass(frozen=True)
 class Completion:
@@ -26,9 +29,10 @@ class Completion:
 
 @dataclass(frozen=True)
 class CompletionOptions:
-    limit: int = 10
+    limit: int | None = None
     format: Format = Format()
-    include_typed: bool = False
+    #: Whether a reference that is already written so is offered too.
+    include_typed: bool = True
 
 
 class Completer:
@@ -37,11 +41,12 @@ class Completer:
         self.finder = Finder(canon)
 
     def complete(self, text: str, cursor: int | None = None, options: CompletionOptions = CompletionOptions()) -> list[Completion]:
-        typed = text[: len(text) if cursor is None else cursor]
-        line = typed[typed.rfind("\n") + 1 :]
-        base = len(typed) - len(line)
-        out = self._translations(line, base) + self._books(line, base, options) + self._segments(line, base, options)
-        kept = [c for c in out if options.include_typed or c.insert != typed[c.start : c.end]]
+        cursor = len(text) if cursor is None else cursor
+        typed = text[:cursor]
+        base = typed.rfind("\n") + 1
+        line = typed[base:]
+        out = self._translations(line, base) + self._books(line, base, text[cursor:], options) + self._segments(line, base, options)
+        kept = [c for c in out if (options.include_typed and c.segments) or c.insert.rstrip() != typed[c.start : c.end].rstrip()]
         return list(dict.fromkeys(kept))[: options.limit]
 
     def _translations(self, line: str, base: int) -> list[Completion]:
@@ -59,34 +64,35 @@ class Completer:
                 return [Completion(n, "translation", base + start, base + len(line), n) for n in names if n.lower() != word.lower()]
         return []
 
-    def _books(self, line: str, base: int, o: CompletionOptions) -> list[Completion]:
-        """The longest ending of up to three words that starts a name; the shortest name first."""
-        words = list(re.finditer(r"\S+", line))
-        if not words or line[-1:].isspace() and len(words) < 1:
+    def _books(self, line: str, base: int, behind: str, o: CompletionOptions) -> list[Completion]:
+        """Books that the longest of the last three endings of words starts, by their shortest fitting spelling.
+
+        Nothing is offered unless the last word has a letter: behind a number, numbers follow. A book is offered
+        where the ending is one of its spellings, or starts its name, abbreviation or OSIS code; so an ordinary
+        word that merely starts some longer spelling offers none.
+        """
+        last = line.split()[-1] if line.split() and not line[-1].isspace() else ""
+        if not any(c.isalpha() for c in last):
             return []
-        for count in (3, 2, 1):
-            if len(words) < count:
-                continue
-            start = words[-count].start()
-            typed = line[start:]
-            key = " ".join(re.sub(r"\s+", " ", typed.lower()).split(" "))
-            hits: dict[int, int] = {}
-            for k, book in self.canon.keys.items():
-                if k.startswith(key) and (k in self._aliases(book) or any(n and n.lower().startswith(key) for n in self._shown(book))):
-                    hits[book] = min(hits.get(book, 999), len(k))
-            if hits:
-                order = sorted(hits, key=lambda b: (hits[b], b))
-                out = []
-                for b in order:
-                    name = write(self.canon, b, [], Format(book=o.format.book, book_separator="")) or self.canon.by_id[b].name
-                    out.append(Completion(name, "book", base + start, base + len(line), name, b))
-                return out
+        separator = o.format.book_separator
+        # No second separator where the text goes on with one.
+        go_on = "" if separator and (behind.startswith(separator) or (separator.isspace() and behind[:1] in (" ", "\t"))) else separator
+        for start in [m.start() for m in _WORD_START.finditer(line)][-3:]:
+            shortest: dict[int, tuple[int, str]] = {}
+            written = line[start:]
+            exact, prefix = self.canon.get(written), name_key(written)
+            for key, book in self.canon.keys.items():
+                if key.startswith(written.lower()) and (book == exact or any(n and name_key(n).startswith(prefix) for n in self._shown(book))):
+                    shortest[book] = min(shortest.get(book, (999, "")), (len(key), key))
+            if shortest:
+                offered = []
+                for book in sorted(shortest, key=shortest.get):
+                    name = write(self.canon, book, [], Format(book=o.format.book, book_separator="")) or self.canon.by_id[book].name
+                    if name.lower() != written.lower():
+                        offered.append(Completion(name, "book", base + start, base + len(line), name + go_on, book))
+                return offered
         return []
 
-    def _aliases(self, book: int) -> set[str]:
-        b = self.canon.by_id[book]
-        return {a.lower() for a in b.aliases}
-
     def _shown(self, book: int) -> tuple:
         b = self.canon.by_id[book]
         return b.name, b.abbreviation, b.osis
@@ -100,24 +106,29 @@ class Completer:
             return []
         start = found.end()
         scan = grammar.scan(line, start)
-        if line[scan.end :].strip() or "\n" in line[start:]:
+        if line[scan.end :].strip() or (not scan.nodes and line[scan.end :]) and not line[start:].isspace():
+            return []
+        # Nodes that are complete, and the one that is being typed.
+        nodes, current = (scan.nodes, None) if scan.trailing or not scan.nodes else (scan.nodes[:-1], scan.nodes[-1])
+        if current is None and scan.nodes and not scan.trailing:
             return []
-        nodes = scan.nodes if scan.trailing else scan.nodes[:-1]
-        current = None if scan.trailing or not scan.nodes else scan.nodes[-1]
         done = grammar.resolve(nodes, counts)
-        if done.used != len(nodes) or (not scan.nodes and not line[start:].strip() and not line[start:]):
+        if done.used != len(nodes):
             return []
-        before, last = nodes[-1] if nodes else None, done.segments[-1] if done.segments else None
+        reader = grammar.Reader(counts)
+        for node, segment in zip(nodes, done.segments[-len(nodes) :] if nodes else [], strict=False):
+            reader.went(node, segment)
         separator = current.separator if current else scan.trailing
-        old = grammar._bare_chapter(before) and separator == ","
-        context = grammar.verse_chapter(len(counts) == 1, separator, old, last)
-        options = list(self._numbers(current, context, counts, last))
+        context = reader.inside(separator, grammar.behind_bare_chapter(reader.before, separator))
+        typed = re.search(r"[0-9]*$", line)[0]
+        # A bare Roman chapter becomes the chapter of its verse.
+        before = done.segments[:-1] if context is not None and grammar.behind_bare_chapter(reader.before, separator) else done.segments
         out = []
-        for s in options:
-            segments = [*done.segments, s]
-            label = write(self.canon, book, segments, o.format)
-            if label:
-                out.append(Completion(label, "reference", base + found.start(), base + len(line), label, book, tuple(segments)))
+        for s in self._numbers(current, context, counts, done.segments[-1] if done.segments else None):
+            label = write(self.canon, book, [*before, s], o.format)
+            # The number that is being typed narrows what is offered.
+            if label and (not typed or re.findall(r"[0-9]+", label)[-1].startswith(typed)):
+                out.append(Completion(label, "reference", base + found.start(), base + len(line), label, book, (*before, s)))
         return out
 
     def _numbers(self, node, context: int | None, counts: tuple[int, ...], last):

@@ -26,7 +26,7 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def canon():
-    """A small canon with true verse counts of a few books."""
+    """A small canon. Common names and short forms of a few books, and how many verses their chapters have."""
     from lectern.canon import Canon
 
     def row(id_, book, abbreviation, osis, usfm, *aliases, ambiguous=()):

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions import columns as C
 from lectern.functions import grammar, notation
-from lectern.functions.complete import Completer
 from lectern.functions.refs import Finder
 from lectern.operators import algebra, extract, filters, incremental, index, ordering
 from lectern.sources import adapters, epub, files, html, structured, subtitles
@@ -302,16 +301,6 @@ def test_cli(canon, spark, tmp_path, capsys):
     assert out[0].startswith("| Reference")
 
 
-def test_complete(canon):
-    c = Completer(canon)
-    labels = lambda t, **k: [x.label for x in c.complete(t, **k)]
-    assert labels("ep")[0] == "Ephesians" and labels("1 ti")[0] == "1 Timothy"
-    assert labels("John 3:3") == ["John 3:30", "John 3:31", "John 3:32", "John 3:33", "John 3:34", "John 3:35", "John 3:36"]
-    assert labels("John 2")[:2] == ["John 20", "John 21"] and labels("John 3:16-3")[0] == "John 3:16-30" and labels("John 3:36, ") == []
-    x = c.complete("so John 3:3")[0]
-    assert (x.start, x.end, x.insert) == (3, 11, "John 3:30")
-
-
 def test_index_tables(spark, tmp_path):
     e = spark.createDataFrame([(1, "d1", "text", 3, "a.md", 10, 100, 7, 5), (2, "d2", "text", 3, "a.md", 10, 101, 7, 9), (3, "d2", "text", 4, "x/b.md", 11, 50, None, 2)], "entry_id int, pack_device string, kind string, pack_number int, path string, size bigint, mtime bigint, hash bigint, written bigint")
     c = spark.createDataFrame([("d3", "a.md", 10, 200, "d1", 5)], "pack_device string, path string, size bigint, mtime bigint, device string, written bigint")
