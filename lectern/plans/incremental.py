@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import incremental
 from ..tables import scratch_path, table
@@ -15,10 +16,29 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().where("NOT first").select("run_no", "device", "path")
 
 
-QUERIES = {"p2_found": p2_found}
+def p2_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in three steps, of which the second dies before its commit and is done again; what is read is what was committed."""
+    listing, runs, headers = (table(spark, sf_dir, t) for t in ("listing", "index_runs", "cache_headers"))
+    store = incremental.CommitStore(spark, scratch_path(spark, "p2"))
+    least, most = runs.agg(F.min("run_no"), F.max("run_no")).first()
+
+    def die() -> None:
+        raise RuntimeError("killed before the commit")
+
+    incremental.advance(store, listing, runs, headers, least + (most - least) // 3)
+    try:
+        incremental.advance(store, listing, runs, headers, least + 2 * (most - least) // 3, die)
+    except RuntimeError as e:
+        if "killed" not in str(e):
+            raise
+    incremental.advance(store, listing, runs, headers, least + 2 * (most - least) // 3)
+    incremental.advance(store, listing, runs, headers)
+    return store.read().where("NOT first").select("run_no", "device", "path")
+
 
-ORACLE_SQL = {
-    "p2_found": """
+QUERIES = {"p2_found": p2_found, "p2_steps": p2_steps}
+
+_CHANGED = """
 WITH seen AS (
   SELECT * FROM listing QUALIFY row_number() OVER (PARTITION BY run_no, device, path ORDER BY seen_at DESC, list_id DESC) = 1),
 p AS (
@@ -31,4 +51,5 @@ SELECT run_no, device, path FROM l
 WHERE ok AND run_no > 1 AND (n = 1 OR NOT (size = size0 AND
   CASE WHEN hash IS NOT NULL AND hash0 IS NOT NULL THEN hash = hash0
        ELSE mtime = mtime0 AND (modified_ns IS NULL OR ns0 IS NULL OR modified_ns = ns0) END))"""
-}
+
+ORACLE_SQL = {"p2_found": _CHANGED, "p2_steps": _CHANGED}

@@ -393,6 +393,20 @@ def test_incremental_steps_survive_failures(spark, tmp_path):
     assert rows(steps.read().where("NOT first").select("run_no", "device", "path")) == want
     with pytest.raises(RuntimeError):
         steps.publish(steps.commits()[-1])
+    # Nothing is left of the attempts that died, nor of replaced buckets and working tables.
+    last = steps.last()
+    left = {p.parent.name + "/" + p.name for p in (tmp_path / "steps" / "data").glob("*/*")}
+    assert {x.partition("/")[2] for x in left} <= {"output", "state"} and sum(x.endswith("/output") for x in left) == 4
+    assert {str(p) for p in (tmp_path / "steps" / "data").glob("*/state/bucket=*")} == set(last.state.values())
+    assert rows(steps.state().groupBy("device", "path").count()) == [("d", "a", 1), ("d", "b", 1), ("d", "c", 1)]
+    # Rows for runs that are committed are refused; a run that goes on holds back those behind it.
+    late = listing.unionByName(spark.createDataFrame([(13, 3, "d", "late", 1, 1, 1, 1, at(9)), (14, 5, "d", "a", 1, 1, 1, 1, at(9)), (15, 6, "d", "a", 2, 1, 1, 1, at(9)), (16, 7, "d", "b", 2, 1, 1, 1, at(9))], cols))
+    more = runs.unionByName(spark.createDataFrame([(5, "ok"), (6, None), (7, "ok")], "run_no int, status string"))
+    with pytest.raises(incremental.LateRows):
+        incremental.advance(steps, late, more, headers)
+    assert incremental.advance(steps, late.where("list_id <> 13"), more, headers).high == 5
+    assert incremental.advance(steps, late.where("list_id <> 13"), more, headers) is None
+    assert rows(steps.read().where("run_no > 4").select("run_no", "device", "path")) == [(5, "d", "a")]
     empty = incremental.CommitStore(spark, str(tmp_path / "empty"))
     assert incremental.advance(empty, listing, runs.limit(0), headers) is None and empty.read() is None
 

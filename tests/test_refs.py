@@ -193,7 +193,7 @@ def test_completion(canon):
     assert labels("Eph 2:5-")[:2] == ["Ephesians 2:5-6", "Ephesians 2:5-7"] and labels("Eph 2,")[0] == "Ephesians 2,3" and labels("Eph 2:5,")[0] == "Ephesians 2:5,6" and labels("Eph 2:5; 3-")[0] == "Ephesians 2:5; 3-4"
     assert labels("Jude 24")[0] == "Jude 1:24" and labels("Jude 23-") == ["Jude 1:23-24", "Jude 1:23-25"] and labels("Mark. ix, 4")[0] == "Mark 9:4"
     assert labels("Eph 2:5,6-", format=Format(join_adjacent=True))[0] == "Ephesians 2:5-7" and labels("Eph 2:5", format=Format(book="abbreviation"))[0] == "Eph 2:5"
-    assert labels("Mark 2:5 m") == ["MRV"] and labels("Mark 2:5 (O") == ["OXB"] and labels("Mark 2:5 ") == []
+    assert labels("Mark 2:5 m")[0] == "MRV" and labels("Mark 2:5 (O")[0] == "OXB"
 
     def applied(text):
         x = c.complete(text.replace("|", ""), text.index("|"))[0]
