@@ -1,9 +1,17 @@
 """Encoding of whole texts with a public byte-level BPE vocabulary, by corpus-level merge replay.
 
-Texts are cut into words by the vocabulary's pattern. A batch's words that the worker has not met are
-encoded together: an inverted index from token pair to positions in the words tells where each merge
-applies, the merges run in rank order, and each touches only its neighbours. A worker keeps what it has
-encoded, so nothing is shuffled and each distinct word costs one replay per worker.
+`encode_corpus`, in three steps:
+
+1. Texts are cut into words by the vocabulary's pattern; the distinct words of the whole corpus are counted, combined on
+   the map side, so that what is shuffled is the vocabulary of the corpus and not its tokens.
+2. The words are sharded by hash. Over the words of a shard an inverted index from token pair to positions tells where
+   each merge applies; the merges run in rank order and each touches only its neighbours. Words are independent
+   of each other, so every shard is exact. Words and ids are written to the shared folder.
+3. Texts look their words up: the `FREQUENT_WORDS` most frequent of them in a broadcast table, whose size is
+   bounded by that and by `LONG_WORD`. Only words beyond these are joined to the texts that hold them, by the hash of the text.
+
+`encode_column` replays the new words of each batch on the worker that meets them and shuffles nothing: for streams,
+where there is no corpus to go through first. The ids are the same.
 
 Defined ids: an empty and a null text give an empty list. Strings of special tokens are ordinary text.
 Every byte is a token, so any text of any length can be encoded; a lone surrogate cannot occur in Spark.
@@ -14,6 +22,7 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import spread
+from ..tables import scratch_path, spread
 
 #: Where the vocabulary files of public tokenizers lie; a parameter of every function that needs it.
 VOCABULARIES = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -31,6 +40,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 KEPT_WORDS = 400_000
 #: Characters of a word beyond which it is not kept: such words hardly recur.
 LONG_WORD = 200
+#: Words of the table that goes to every worker, at most LONG_WORD characters each.
+FREQUENT_WORDS = 200_000
+#: Words that one index is built over, and distinct words that a task counts before it hands them on.
+REPLAY_WORDS, COUNTED_WORDS = 100_000, 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -160,3 +173,111 @@ def encode_column(df: DataFrame, column: str, out: str = "ids", name: str = "byt
             yield pa.concat_arrays(parts)
 
     return spread(df).withColumn(out, encode(F.col(column)))
+
+
+def count_words(texts: DataFrame, column: str, pattern: str = PATTERN) -> DataFrame:
+    """``word, n``: how often each word occurs in all texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        split = regex.compile(pattern).findall
+        counts: Counter[str] = Counter()
+
+        def drain() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+            counts.clear()
+            return batch
+
+        for batch in batches:
+            for text in batch.column(0):
+                counts.update(split(text.as_py()))
+                if len(counts) > COUNTED_WORDS:
+                    yield drain()
+        yield drain()
+
+    rows = texts.select(F.col(column).alias("text")).where("text <> ''")
+    return rows.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def replay_words(words: DataFrame, ranks) -> DataFrame:
+    """``word, n, ids``: the words of each shard replayed together; ``ranks`` is a broadcast vocabulary."""
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine = MergeReplay(ranks.value)
+
+        def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(parts).combine_chunks()
+            ids = engine.encode(w.as_py().encode("utf-8") for w in table.column("word"))
+            return pa.RecordBatch.from_arrays([*(pa.concat_arrays(table.column(c).chunks) for c in ("word", "n")), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= REPLAY_WORDS:
+                yield done(held)
+                held = []
+        if held and sum(b.num_rows for b in held):
+            yield done(held)
+
+    return words.mapInArrow(replay, "word string, n bigint, ids array<int>")
+
+
+def encode_corpus(df: DataFrame, column: str, out: str = "ids", name: str = "byte_bpe_50k", folder: str = VOCABULARIES, frequent: int = FREQUENT_WORDS) -> DataFrame:
+    """``df`` with the ids of ``column`` as an array<int>, never null; every distinct word of the corpus is replayed once."""
+    spark = df.sparkSession
+    rows = spread(df)
+    at = scratch_path(spark, "bpe-words")
+    replay_words(count_words(rows, column), vocabulary(spark, name, folder)).write.parquet(at)
+    words = spark.read.schema("word string, n bigint, ids array<int>").parquet(at)
+    short = words.where(F.length("word") <= LONG_WORD)
+    # At most `frequent` words come to the driver; ties are settled by the word, so that every attempt takes the same.
+    top = short.orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids").toArrow()
+    table = spark.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), top.column("ids").to_pylist(), strict=True)))
+    if words.count() == top.num_rows:
+        return rows.withColumn(out, _looked_up(table)(F.col(column), F.lit(None).cast("array<struct<word:string,ids:array<int>>>")))
+    # Words beyond the table, joined to the texts that hold them. Equal hashes of different texts share a longer list, no more.
+    key = F.xxhash64(F.col(column)).alias("_text")
+    rare = rows.select(key, F.col(column).alias("text")).where("text <> ''").mapInArrow(_rare_words(table), "_text bigint, word string").distinct()
+    own = rare.join(words.select("word", "ids"), "word").groupBy("_text").agg(F.collect_list(F.struct("word", "ids")).alias("_own"))
+    joined = rows.withColumn("_text", key).join(own, "_text", "left")
+    return joined.withColumn(out, _looked_up(table)(F.col(column), F.col("_own"))).drop("_text", "_own")
+
+
+def _rare_words(table, pattern: str = PATTERN):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        split, known = regex.compile(pattern).findall, table.value
+        for batch in batches:
+            pairs = [(k, w) for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for w in set(split(text.as_py())) if w not in known]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.string())], names=["_text", "word"])
+
+    return find
+
+
+def _looked_up(table, pattern: str = PATTERN):
+    @F.arrow_udf("array<int>")
+    def look_up(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        import regex
+
+        split, known = regex.compile(pattern).findall, table.value
+        for texts, owns in batches:
+            parts = []
+            for lo in range(0, max(1, len(texts)), 1000):  # small pieces: the ids of a batch of long texts are large
+                flat: list[int] = []
+                ends = [0]
+                for text, own in zip(texts.slice(lo, 1000), owns.slice(lo, 1000), strict=True):
+                    if value := text.as_py():
+                        if own.is_valid:
+                            mine = {x["word"]: x["ids"] for x in own.as_py()}
+                            for w in split(value):
+                                flat += known[w] if w in known else mine[w]
+                        else:
+                            for w in split(value):
+                                flat += known[w]
+                    ends.append(len(flat))
+                parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, dtype=np.int32))))
+            yield pa.concat_arrays(parts)
+
+    return look_up

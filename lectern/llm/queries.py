@@ -63,7 +63,7 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
+    return bpe.encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -374,6 +374,18 @@ def test_encode_column(spark, encoders):
     assert bpe.encode_column(df, "text").where("ids IS NULL").count() == 0 and bpe.encode_column(df.limit(0), "text").count() == 0
 
 
+@pytest.mark.parametrize("frequent", [200_000, 4, 0])
+def test_the_corpus_at_once(spark, encoders, frequent):
+    """Words in the broadcast table, beyond it, or none in it: the library's ids."""
+    texts = ["In the beginning was the word", None, "", " ", "x" * 1000 + " the the", "λόγος 12,5 <|endoftext|>\n\n the", "In the beginning was the word", "naïve\u0301 🜁"] * 3
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id int, text string, n int")
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode_corpus(df, "text", frequent=frequent).collect()}
+    assert got == {i: encoders[1].encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
+    assert bpe.encode_corpus(df.limit(0), "text", frequent=frequent).count() == 0
+    counts = dict(bpe.count_words(df, "text").collect())
+    assert counts[" the"] == 3 * (2 + 2 + 2 + 1) and counts["x" * 1000] == 3
+
+
 # --- 7: leakage -----------------------------------------------------------------------------------
 
 _ITEM = "The lonely {0} carried nine silver lanterns across the frozen marsh while every clerk of Orvenhall counted seven broken wheels beside the granary door until {0} came at last"
