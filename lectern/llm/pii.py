@@ -6,7 +6,9 @@ the score; overlapping spans are settled by score, then length. What reaches the
 by a typed placeholder and the rest of the text stays as it is, character by character.
 
 Kinds: ``email``, ``phone``, ``id_number``, ``address``, ``name``. A name is a given name or initial with
-a family name, found by what stands around it (titles, thanks, labels, record fields, signature blocks).
+a family name. What stands around it (titles, thanks, labels, record fields, signature blocks) finds it in any
+spelling; in running prose a pair of capitalised words is proposed where the first is a common given name or an
+initial, and the words before, in and behind it raise or lower its score (`_prose_names`).
 
 Odd input: null and empty texts hold nothing and stay; texts of any length are scanned whole (no pattern
 backtracks beyond a bounded window); a value is reported once per document however often it stands there.
@@ -14,6 +16,7 @@ backtracks beyond a bounded window); a value is reported once per document howev
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +31,8 @@ from ..tables import spread
 THRESHOLD = 0.6
 #: Characters before and behind a span in which cue words count.
 BEFORE, BEHIND = 48, 24
+#: Characters before a value in which the name of its record may stand: a name, its separator and a label.
+LINE_BEFORE = 200
 
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
@@ -311,24 +316,73 @@ def _names(text: str, values: list[Span]) -> Iterator[Span]:
         if n := _PROPER_AFTER_TITLE.match(text, m.end()):
             yield Span(n.start("name"), n.end("name"), "name", 0.7)
     for v in values:
-        lo = max(0, v.start - 110)
+        lo = max(0, v.start - LINE_BEFORE)
         if n := _BEFORE_VALUE.search(text[lo : v.start]):
             yield Span(lo + n.start("name"), lo + n.end("name"), "name", 0.9)
         elif n := _BEFORE_VALUE_LOOSE.search(text[lo : v.start]):
             yield Span(lo + n.start("name"), lo + n.end("name"), "name", 0.7)
 
 
+# Common given names of the languages read, without those that are ordinary words. Scripture's own come second:
+# they count only with a family name that scripture does not know.
+_GIVEN = frozenset(
+    """Adele Adrian Alan Albert Alfred Alice Alicia Aline Amelie Amélie Anders Angela Anja Anneliese Antoine António Antonio Arthur Astrid Audrey Barbara Beatriz Bernard Bernd Bettina Björn Brigitte Bruno Camille Carla Carlos Carmen
+    Caroline Catherine Cécile Charles Charlotte Christine Claire Claudia Clara Colin Dagmar Denise Diana Dieter Dimitra Dimitris Dorothea Eduardo Edward Eleni Elena Elke Emily Emma Eric Erika Ernst Eugénie Fernando Florian Frank
+    Franz François Françoise Frederick Friedrich Fritz Gabriela George Georg Gerald Gertrud Giorgos Gisela Greta Guillaume Günter Gustav Hanne Hans Harald Harry Heidi Heike Heinrich Heinz Helen Helena Helga Helmut Henri Henrik Henry Hélène
+    Hilda Hugo Ines Inês Inge Ingrid Irene Isabel Ivo Jacques Jane Javier Jean Jennifer Jorge Julia Julie Jürgen Karen Karin Karl Katerina Katharina Katya Kevin Klaus Konstantinos Laura Laurent Lena Leonie Linda Lisa Lorenz Louis
+    Louise Lucía Luis Luisa Luís Madeleine Manfred Manuel Margaret Margit Margot Marie Marta Martin Mathilde Monika Nadia Nicole Nikos Nora Odile Olga Oliver Oscar Otto Pablo Patricia Pavel Pierre Rafael Raquel Renate Richard Robert
+    Roger Rosa Sabine Sandra Sofia Sophie Stefan Susan Sven Teresa Thérèse Tilda Tomas Ulrike Ursula Vera Victor Walter Werner William Wolfgang Yara Yves Yvonne Zoë""".split()
+)
+_SCRIPTURE_GIVEN = frozenset("Adam Andreas Andrew Anna Anne Benjamin Daniel David Elisabeth Elizabeth Eva Hannah Jakob James Johannes John Jonas Jonathan José João Joseph Juan Judith Lukas Maria María Mark Markus Martha Mary Matthew Matthias Michael Miguel Miriam Paul Paulo Pedro Peter Philip Philipp Rachel Rebecca Ruth Samuel Sara Sarah Simon Stephen Susanna Thomas Timothy Tobias".split())
+# Words that make a body, a place, a day or a work of what stands before or in them, and scripture's second names.
+_NO_FAMILY_NAME = frozenset(
+    """Abbey Academy Apostle Archive Association Avenue Baptist Bible Bridge Bro Cathedral Centre Chapel Church Close College Committee Council Court Drive Evangelist Festschrift Foundation Fund Gardens Gemeinde Gospel Grove Hall Hill Hospital House
+    Institute Iscariot Kirche Lane Library Magdalene Magdala Memorial Ministry Mission Museum Park Parish Place Press Prize Prophet River Road School Schule Seminary Society Square Stiftung Street Testament Trust University Valley Verlag Way
+    Woche Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December Advent Lent Easter Christmas Gott Herr Jesus Christ Christus King Queen Saint""".split()
+)
+_PROSE = re.compile(rf"(?<![\w.@/-])(?P<given>{_CAP}[^\W\d_]+(?:[-'’]{_CAP}[^\W\d_]+)?|{_CAP}\.)(?: {_CAP}\.)?(?: {_PARTICLE})? (?P<family>{_F})(?![\w@]|[-'’]\w)")
+_CAPITALISED = re.compile(rf"(?<![\w.@/-]){_CAP}(?:\.|[^\W\d_]+)")
+_HOLY_BEFORE = re.compile(r"(?:\b(?:St|Sankt|Saint|Sainte|San|Santa|Santo|São|King|Queen|Mother|Apostle|Prophet|König|Prophet|Apostel|roi|rey|rei|apôtre|Άγιος|Αγία)\.? |\b[A-Z][a-z]+ and )$")
+_PERSON_BEFORE = re.compile(r"(?i)\b(?:met|with|by|from|to|and|called|named|our|my|his|her|their|friend|neighbou?r|treasurer|member|mit|von|bei|unser|unsere|avec|par|chez|con|com|por|nuestra|nuestro|nossa|nosso|με|από)\s$")
+_DOES_BEHIND = re.compile(r"^(?:,| (?:[a-zà-ÿα-ώ]+))")
+_REFERENCE_BEHIND = re.compile(r"^[.,]? ?\d")
+
+
+def _prose_names(text: str) -> Iterator[Span]:
+    """Names in running prose: a common given name or an initial, then a family name, weighed by the words around."""
+    for word in _CAPITALISED.finditer(text):
+        given = word[0]
+        score = 0.45 if given in _GIVEN else 0.35 if given in _SCRIPTURE_GIVEN else 0.15 if given.endswith(".") else 0.0
+        if not score or not (m := _PROSE.match(text, word.start())):
+            continue
+        family = m["family"]
+        before, behind = text[max(0, m.start() - BEFORE) : m.start()], text[m.end() : m.end() + BEHIND]
+        score += 0.25 if _PERSON_BEFORE.search(before) else 0.0
+        score += 0.15 if _DOES_BEHIND.match(behind) else 0.05
+        # In the middle of a sentence a capital says more.
+        score += 0.15 if before[-1:] == " " and before[-2:-1] not in ".!?" else 0.05
+        if family in _NO_FAMILY_NAME or family in _GIVEN or family in _SCRIPTURE_GIVEN or behind[1:].partition(" ")[0].strip(".,;") in _NO_FAMILY_NAME:
+            score -= 0.6
+        if _HOLY_BEFORE.search(before) or _REFERENCE_BEHIND.match(behind):
+            score -= 0.6
+        yield Span(m.start(), m.end(), "name", min(score, 0.69))
+
+
 def find_spans(text: str | None) -> list[Span]:
     """The spans that hold personal information, in order and without overlap."""
     if not text:
         return []
     values = [s for s in _values(text) if s.score >= THRESHOLD]
+    names = [s for s in (*_names(text, values), *_prose_names(text)) if s.score >= THRESHOLD and text[s.start : s.end].partition(" ")[0] not in _NO_GIVEN_NAME]
+    # Kept spans by start; only the neighbours can overlap a new one.
     kept: list[Span] = []
-    names = [s for s in _names(text, values) if s.score >= THRESHOLD and text[s.start : s.end].partition(" ")[0] not in _NO_GIVEN_NAME]
+    starts: list[int] = []
     for s in sorted([*values, *names], key=lambda s: (-(s.score if s.kind != "email" else 9), s.start - s.end, s.start)):
-        if all(s.end <= k.start or s.start >= k.end for k in kept):
-            kept.append(s)
-    return sorted(kept, key=lambda s: s.start)
+        k = bisect.bisect_left(starts, s.start)
+        if (k == 0 or kept[k - 1].end <= s.start) and (k == len(kept) or kept[k].start >= s.end):
+            kept.insert(k, s)
+            starts.insert(k, s.start)
+    return kept
 
 
 def redact(text: str | None) -> str | None:

@@ -572,6 +572,30 @@ def test_personal_data_frames(spark):
     assert pii.found_values(d.limit(0)).count() == 0
 
 
+_HELD_OUT = [
+    "I met {} yesterday.", "Our treasurer {} resigned.", "Yesterday {} visited us.", "Kontakt: {}", "We sat with {} for an hour", "{} brought soup to the sick.", "ask {}, who has the key", "Gestern kam {} vorbei.", "ein Brief von {} an uns",
+    "avec {} et les autres", "hablamos con {} ayer", "foi com {} que falei", "the keys (held by {}) are lost", "then {} and others sang", "her friend {} wrote to us", "nobody but {} knew",
+]
+_PEOPLE = ["Ulrike Becker", "Margaret Holloway", "Pierre Lavigne", "Carmen Ortega", "Luís Carvalho", "Sophie von Arnim", "Edward B. Thistlewood", "Helga Müller-Brandt", "Nikos Pappas", "Ingrid Aaltonen"]
+
+
+def test_names_in_sentences_of_other_shapes():
+    """Held-out sentences; and what is no person's name in the same ones."""
+
+    def share(people):
+        return sum(p in {t.format(p)[s.start : s.end] for s in pii.find_spans(t.format(p)) if s.kind == "name"} for t in _HELD_OUT for p in people) / len(_HELD_OUT) / len(people)
+
+    assert share(_PEOPLE) > 0.95
+    assert share(["Sarah Connor", "Peter Müller", "Anna Schmidt"]) > 0.5
+    assert share(["Mary Magdalene", "Simon Peter", "Robert Street", "Charlotte Chapel", "St Helena Church", "Nächste Woche", "Mill Lane", "On Monday"]) == 0
+
+
+def test_many_values_in_one_text():
+    text = " ".join(f"a{k}.b@mail{k}.org, 12 Hill{k % 7} Road;" for k in range(4000))
+    found = pii.find_spans(text)
+    assert sum(s.kind == "email" for s in found) == 4000 and all(a.end <= b.start for a, b in zip(found, found[1:], strict=False))
+
+
 # --- the queries ----------------------------------------------------------------------------------
 
 
