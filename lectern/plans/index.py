@@ -81,11 +81,11 @@ def cached_books(spark, sf_dir):
 
 @query(
     f"""WITH {S.segments_sql()}, p AS (SELECT k % 50 AS file, book_id FROM segs WHERE seg_no = 1)
-SELECT file, coalesce(bit_or(CASE WHEN book_id // 64 = 0 THEN 1::BIGINT << (book_id % 64) END), 0) AS w0, coalesce(bit_or(CASE WHEN book_id // 64 = 1 THEN 1::BIGINT << (book_id % 64) END), 0) AS w1 FROM p WHERE book_id <> 63 GROUP BY file"""
+SELECT file, coalesce(bit_or(CASE WHEN book_id = 63 THEN -9223372036854775808 WHEN book_id // 64 = 0 THEN 1::BIGINT << (book_id % 64) END), 0) AS w0, coalesce(bit_or(CASE WHEN book_id // 64 = 1 THEN 1::BIGINT << (book_id % 64) END), 0) AS w1 FROM p GROUP BY file"""
 )
 def book_bitmaps(spark, sf_dir):
-    """The books of each file as a bitmap."""
-    refs = extract.extract_refs(S.documents_of(spark, sf_dir), S.canon(spark, sf_dir), located=False).where("book_id <> 63").withColumn("file", F.col("k") % 50)
+    """The books of each file as a bitmap; book 63 is the sign bit."""
+    refs = extract.extract_refs(S.documents_of(spark, sf_dir), S.canon(spark, sf_dir), located=False).withColumn("file", F.col("k") % 50)
     return index.book_bitmap(refs, "file").select("file", F.get("books", F.lit(0)).alias("w0"), F.get("books", F.lit(1)).alias("w1"))
 
 

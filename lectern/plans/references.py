@@ -17,7 +17,7 @@ QUERIES, ORACLE_SQL = {}, {}
 
 
 def query(sql: str | None = None, style: str | None = None):
-    """``style``: the query is registered once more, over all keys (`synthetic.register_all`)."""
+    """``style``: every key is written in the forms that the query tests (`synthetic.register_all`)."""
 
     def add(f):
         QUERIES[f.__name__] = f
@@ -53,6 +53,7 @@ def document_refs(spark: SparkSession, sf_dir: str, located: bool = True) -> Dat
 
 # References as one pattern: a name, a number on the same or the next line, a colon after a name that is also a word.
 _KEY = "trim(rtrim(trim(lower({})), '.'))"
+_NAME_OF_HIT = _KEY.format(r"regexp_extract(hit, '^(.*?)\.?\s*[0-9]{1,3}(?:[:.]\s*[0-9])?$', 1)")
 _DOCUMENT_HITS = rf"""
 own AS (
   SELECT id, book AS name, 0 AS rank FROM default_books UNION ALL SELECT id, abbreviation, 0 FROM default_books UNION ALL SELECT id, osis, 0 FROM default_books UNION ALL SELECT id, usfm, 0 FROM default_books
@@ -61,7 +62,7 @@ keys AS (SELECT {_KEY.format('name')} AS key, id FROM own WHERE {_KEY.format('na
 amb AS (SELECT DISTINCT {_KEY.format('unnest(ambiguous)')} AS key FROM default_books),
 pat AS (SELECT '(?i)(?:^|[^0-9A-Za-z_])((?:' || string_agg(regexp_escape(key), '|' ORDER BY length(key) DESC, key) || ')\.?[^\S\n]*\n?[^\S\n]*[0-9]{{1,3}}(?:[:.]\s*[0-9])?)' AS p FROM keys),
 hits AS (SELECT doc_id, unnest(regexp_extract_all(text, (SELECT p FROM pat), 1)) AS hit FROM documents WHERE text IS NOT NULL),
-parts AS (SELECT doc_id, {_KEY.format("regexp_extract(hit, '^(.*?)\.?\s*[0-9]{1,3}(?:[:.]\s*[0-9])?$', 1)")} AS key, hit LIKE '%:%' AS verse FROM hits),
+parts AS (SELECT doc_id, {_NAME_OF_HIT} AS key, hit LIKE '%:%' AS verse FROM hits),
 found AS (SELECT doc_id, k.id AS book_id FROM parts JOIN keys k USING (key) WHERE verse OR key NOT IN (SELECT key FROM amb))
 """
 
@@ -262,15 +263,8 @@ def verse_list(spark, sf_dir, style=None):
     return v.groupBy("book_id", "k", "seg_no").agg(F.count("*").alias("verses"))
 
 
-@query(f"WITH {S.positions_sql()}, f AS (SELECT * FROM pos WHERE k % 5 = 0) SELECT a.book_id, count(*) AS pairs, CAST(sum(a.k) AS BIGINT) AS ks FROM f a JOIN f b ON a.book_id = b.book_id AND a.pos_start <= b.pos_end AND b.pos_start <= a.pos_end GROUP BY a.book_id")
-def overlap_join(spark, sf_dir):
-    """Pairs of segments that share a verse: a stated set of every fifth key against itself."""
-    p = _positions(spark, sf_dir).where("k % 5 = 0")
-    return algebra.interval_join(p, p).groupBy(F.col("l_book_id").alias("book_id")).agg(F.count("*").alias("pairs"), F.sum("l_k").alias("ks"))
-
-
 @query(f"WITH {S.positions_sql()} SELECT a.book_id, count(*) AS pairs, CAST(sum(a.k) AS BIGINT) AS ks FROM pos a JOIN pos b ON a.book_id = b.book_id AND a.pos_start <= b.pos_end AND b.pos_start <= a.pos_end GROUP BY a.book_id")
-def overlap_join_all(spark, sf_dir):
+def overlap_join(spark, sf_dir):
     """Pairs of segments that share a verse: all segments against all."""
     p = _positions(spark, sf_dir).select("k", "book_id", "pos_start", "pos_end")
     return algebra.interval_join(p, p).groupBy(F.col("l_book_id").alias("book_id")).agg(F.count("*").alias("pairs"), F.sum("l_k").alias("ks"))

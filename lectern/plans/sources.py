@@ -17,7 +17,7 @@ QUERIES, ORACLE_SQL = {}, {}
 
 
 def query(sql: str | None = None, style: str | None = None):
-    """``style``: the query is registered once more, over all keys (`synthetic.register_all`)."""
+    """``style``: every key is written in the forms that the query tests (`synthetic.register_all`)."""
 
     def add(f):
         QUERIES[f.__name__] = f
@@ -31,7 +31,7 @@ def query(sql: str | None = None, style: str | None = None):
 
 
 def _refs(spark: SparkSession, sf_dir: str, style: str | None = None) -> DataFrame:
-    """``k, ref`` of events, style 0 only: ``Name c:v``."""
+    """``k, ref`` of events written in style 0: ``Name c:v``."""
     return S.ref_texts(spark, sf_dir, source="events", key="event_id", style=style).where("style = 0")
 
 

@@ -88,18 +88,18 @@ def ref_texts(spark: SparkSession, sf_dir: str, source: str = "orders", key: str
 
 
 def register_all(queries: dict, sql: dict, query, style: str) -> None:
-    """``query`` over the whole table, as ``..._all``: every key in the forms that the query tests, by ``style``."""
+    """Register ``query`` over the whole table: every key is written in the forms that the query tests, by ``style``."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return query(spark, sf_dir, style=style)
 
-    name = f"{query.__name__}_all"
-    run.__name__, run.__doc__ = name, f"{query.__doc__ or query.__name__} Over every key."
+    name = query.__name__
+    run.__name__, run.__doc__ = name, query.__doc__ or name
     queries[name] = run
     old, new = (f"{key_columns('k', s)['style']} AS style" for s in (None, style))
-    if old not in sql[query.__name__]:
-        raise ValueError(f"{query.__name__} has no style in its SQL")
-    sql[name] = sql[query.__name__].replace(old, new)
+    if old not in sql[name]:
+        raise ValueError(f"{name} has no style in its SQL")
+    sql[name] = sql[name].replace(old, new)
 
 
 def documents_of(spark: SparkSession, sf_dir: str, **more) -> DataFrame:

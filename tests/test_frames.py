@@ -484,14 +484,14 @@ def test_overlap_join_over_all_keys(spark):
         n = sum(x["b"] == y["b"] and x["s"] <= y["e"] and y["s"] <= x["e"] for y in seg)
         want[x["b"]] += n
         ks[x["b"]] += n * x["k"]
-    assert {r["book_id"]: (r["pairs"], r["ks"]) for r in q["overlap_join_all"](spark, str(DATA)).collect()} == {b: (n, ks[b]) for b, n in want.items()}
+    assert {r["book_id"]: (r["pairs"], r["ks"]) for r in q["overlap_join"](spark, str(DATA)).collect()} == {b: (n, ks[b]) for b, n in want.items()}
 
 
 def test_queries_of_one_style_run_over_every_key(spark):
     from lectern.plans import registry
 
     q = registry.queries()
-    for name, source in (("html_refs_all", "events"), ("broken_documents_all", "events"), ("problems_all", "orders"), ("books_alone_all", "orders")):
+    for name, source in (("html_refs", "events"), ("broken_documents", "events"), ("problems", "orders"), ("books_alone", "orders")):
         assert q[name](spark, str(DATA)).select("k").distinct().count() == spark.read.parquet(f"{DATA}/{source}.parquet").count(), name
 
 
