@@ -98,6 +98,12 @@ class Finder:
         left = r"(?<![0-9A-Za-z_])" if ascii_only else r"(?<!\w)"
         right = r"(?![0-9A-Za-z_])" if ascii_only else r"(?!\w)"
         self._candidate = re.compile(rf"{left}(?:{trie_pattern(canon.keys, cases=True)})\.?")
+        # The same, trying names only where a word begins: other words are passed over whole within the pattern.
+        word = "0-9A-Za-z_" if ascii_only else r"\w"
+        names = rf"(?:{trie_pattern(canon.keys, cases=True)})"
+        self._by_word = re.compile(rf"(?:(?<=[{word}])[{word}]++)?+[^{word}]*+(?:(?!{names})[{word}]++[^{word}]*+)*+({names}\.?)")
+        #: Names that begin with a sign, which no word does.
+        self._signs = [k for k in canon.keys if not re.match(rf"[{word}]", k)]
         self._alone = re.compile(rf"{left}(?:{body}){right}\.?", re.I)
         self._single = re.compile(rf"{left}({body}){right}\.?(.*)", re.I)
         self._names: dict[str, tuple] = {}
@@ -109,7 +115,9 @@ class Finder:
     def candidates(self, text: str) -> list[tuple[int, int]]:
         """Names that something like a chapter follows. A name that fails later still ends the one before."""
         ahead = _CHAPTER_AHEAD.match
-        return [(m.start(), m.end()) for m in self._candidate.finditer(text) if ahead(text, m.end())]
+        if self._signs and (low := text.lower()) and any(k in low for k in self._signs):
+            return [(m.start(), m.end()) for m in self._candidate.finditer(text) if ahead(text, m.end())]
+        return [m.span(1) for m in self._by_word.finditer(text) if ahead(text, m.end())]
 
     def search(self, original: str, with_parts: bool = True) -> list[Found]:
         """Every reference in order. Without parts, the places of single segments are left out, which is faster."""
